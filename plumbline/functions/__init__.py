@@ -2,17 +2,16 @@
 
 from .columns import Field, is_number, is_string, is_value, long_form, positional
 from .expressions import (
-    case_key,
+    fences,
     is_filled,
     is_numeric_text,
     outside,
-    percent,
     root_scale,
 )
 
 __all__ = [
     "Field",
-    "case_key",
+    "fences",
     "is_filled",
     "is_number",
     "is_numeric_text",
@@ -20,7 +19,6 @@ __all__ = [
     "is_value",
     "long_form",
     "outside",
-    "percent",
     "positional",
     "root_scale",
 ]

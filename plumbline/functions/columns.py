@@ -1,7 +1,9 @@
 """Naming and selecting columns.
 
 Checks address columns by position (``c0``, ``c1`` ...), so a name may hold
-dots, back-ticks or quotes, may be ``count``, and may occur twice.
+dots, back-ticks or quotes, may be ``count``, and may occur twice. What is
+repeated for every column is written as SQL text, because building a Column
+object costs a few round trips to the JVM and tables can be wide.
 """
 
 from __future__ import annotations
@@ -9,8 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
@@ -20,22 +21,24 @@ class Field(NamedTuple):
     type: T.DataType
 
     @property
-    def col(self) -> Column:
-        return F.col(f"c{self.idx}")
+    def col(self) -> str:
+        return f"c{self.idx}"
 
     @property
-    def number(self) -> Column:
+    def number(self) -> str:
         """The value as a double; adding zero turns -0.0 into 0.0."""
-        return self.col.cast("double") + F.lit(0.0)
+        return f"cast({self.col} as double) + 0D"
 
     @property
-    def text(self) -> Column:
-        return self.col.cast(T.StringType())
+    def text(self) -> str:
+        if self.type == T.StringType():
+            return self.col
+        return f"cast({self.col} as string)"
 
 
 def positional(df: DataFrame) -> tuple[DataFrame, list[Field]]:
     fields = [Field(i, f.name, f.dataType) for i, f in enumerate(df.schema)]
-    return df.toDF(*[f"c{f.idx}" for f in fields]), fields
+    return df.toDF(*[f.col for f in fields]), fields
 
 
 def is_number(field: Field) -> bool:
@@ -54,13 +57,13 @@ def is_value(field: Field) -> bool:
 def long_form(
     rows: DataFrame,
     fields: Iterable[Field],
-    value: Callable[[Field], Column],
+    value: Callable[[Field], str],
     name: str,
     keep: Iterable[str] = (),
 ) -> DataFrame:
     """One ``(idx, <name>)`` row per row and column, nulls included."""
     fields = list(fields)
     keep = list(keep)
-    wide = rows.select(*keep, *[value(f).alias(str(f.idx)) for f in fields])
+    wide = rows.selectExpr(*keep, *[f"{value(f)} as `{f.idx}`" for f in fields])
     long = wide.unpivot(keep, [str(f.idx) for f in fields], "idx", name)
-    return long.withColumn("idx", F.col("idx").cast("int"))
+    return long.selectExpr(*keep, "cast(idx as int) as idx", name)

@@ -1,49 +1,46 @@
-"""Scalar expressions, all built from Spark's own functions."""
+"""Scalar expressions as SQL text, all built from Spark's own functions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+# First characters of a text that may read as a number: blanks and control
+# characters, signs, the point and the digits.
+NUMBER_STARTS = [*range(0, 33), *map(ord, "+-.0123456789")]
+# How the words that read as a number begin (nan, infinity).
+WORD_STARTS = ["nan", "inf"]
 
-# First characters a text that reads as a number can have: blanks and control
-# characters, a sign, a point, a digit, or the i / n of infinity and nan.
-NUMBER_STARTS = [*range(0, 33), *map(ord, "+-.0123456789iInN")]
 
+def is_filled(text: str) -> str:
+    return f"({text} is not null and {text} <> '')"
 
-def is_filled(text: Column) -> Column:
-    return text.isNotNull() & (text != F.lit(""))
 
+def is_numeric_text(text: str) -> str:
+    """Whether a filled text casts to double.
 
-def is_numeric_text(text: Column) -> Column:
-    """Whether a text casts to double.
-
-    The look at the first character changes no answer. It spares ordinary
+    The look at the first characters changes no answer. It spares ordinary
     prose a failed parse, which costs far more than the look.
     """
-    parsed = F.when(F.ascii(text).isin(NUMBER_STARTS), text.try_cast("double"))
-    return is_filled(text) & parsed.isNotNull()
+    starts = ", ".join(map(str, NUMBER_STARTS))
+    words = ", ".join(f"'{w}'" for w in WORD_STARTS)
+    promising = (
+        f"ascii({text}) in ({starts}) or lower(substring({text}, 1, 3)) in ({words})"
+    )
+    parsed = f"case when {promising} then try_cast({text} as double) end"
+    return f"({is_filled(text)} and {parsed} is not null)"
 
 
-def case_key(text: Column) -> Column:
-    return F.lower(text)
+def fences(multiplier: float) -> tuple[str, str]:
+    """Lower and upper, over columns ``q1`` and ``q3``."""
+    reach = f"{float(multiplier)}D * (q3 - q1)"
+    return f"(q1 - {reach})", f"(q3 + {reach})"
 
 
-def outside(x: Column, q1: Column, q3: Column, multiplier: float) -> Column:
+def outside(x: str, multiplier: float) -> str:
     """Strictly beyond the fences. NaN sorts above every number, so it counts."""
-    lower, upper = fences(q1, q3, multiplier)
-    return (x < lower) | (x > upper)
-
-
-def fences(q1: Column, q3: Column, multiplier: float) -> tuple[Column, Column]:
-    reach = F.lit(float(multiplier)) * (q3 - q1)
-    return q1 - reach, q3 + reach
-
+    lower, upper = fences(multiplier)
+    return f"({x} < {lower} or {x} > {upper})"
 
-def is_finite(x: Column) -> Column:
-    return ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
-
-def root_scale(x: Column) -> Column:
+def root_scale(x: str) -> str:
     """An integer scale that never decreases as ``x`` grows.
 
     Eight square roots squeeze the magnitude of any finite double into
@@ -52,12 +49,8 @@ def root_scale(x: Column) -> Column:
     root is correctly rounded, so unlike a logarithm it keeps the order of its
     inputs exactly. Infinity gets a step of its own at the end.
     """
-    magnitude = F.abs(x)
+    magnitude = f"abs({x})"
     for _ in range(8):
-        magnitude = F.sqrt(magnitude)
-    step = F.floor(F.least(magnitude, F.lit(20.0)) * F.lit(65536.0))
-    return F.when(x < 0, -step).otherwise(step)
-
-
-def percent(share: Column) -> Column:
-    return F.format_string("%.2f%%", share * F.lit(100.0))
+        magnitude = f"sqrt({magnitude})"
+    step = f"floor(least({magnitude}, 20D) * 65536D)"
+    return f"case when {x} < 0 then -{step} else {step} end"

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..plans.findings import lint_rows
 from ..plans.samples import smallest
-from ..plans.sharing import shared
 from ..plans.table import Table
 from ..plans.values import spellings
 from .base import run, table_for
@@ -40,18 +39,13 @@ def variants(table: Table) -> DataFrame | None:
     return spellings(values)
 
 
-def surplus(table: Table, found: DataFrame) -> DataFrame:
-    name = F.element_at(
-        F.create_map(
-            *[F.lit(v) for f in table.text_fields(NAME) for v in (f.idx, f.name)]
-        ),
-        F.col("idx"),
-    )
+def surplus(found: DataFrame) -> DataFrame:
+    """Counted so that it reads all of ``found``, as the sample does: the two
+    then share one exchange."""
     return found.groupBy("idx").agg(
-        F.first(name).alias("column"),
-        F.count_if(F.col("first") != F.col("last")).alias("variant_groups"),
-        F.sum("rows").alias("rows"),
-        F.sum(F.col("n") - 1).alias("surplus"),
+        F.expr("count_if(first <> last) as variant_groups"),
+        F.expr("sum(rows) as rows"),
+        F.expr("sum(n - 1) as surplus"),
     )
 
 
@@ -59,13 +53,14 @@ def metrics(df: DataFrame, **options) -> DataFrame:
     """``(column, variant_groups, rows, surplus)`` for columns with variants."""
     table = table_for(sys.modules[__name__], df, options)
     found = variants(table)
-    names = ["column", "variant_groups", "rows", "surplus"]
     if found is None:
         return df.sparkSession.createDataFrame(
             [],
             "column string, variant_groups bigint, rows bigint, surplus bigint",
         )
-    return surplus(table, found).select(*names)
+    return surplus(found).select(
+        table.name.alias("column"), "variant_groups", "rows", "surplus"
+    )
 
 
 def lints(table: Table) -> DataFrame | None:
@@ -74,16 +69,16 @@ def lints(table: Table) -> DataFrame | None:
         return None
     sample = None
     if table.samples:
-        pairs = found.where((F.col("n") > 1) & (F.col("rows") > 1)).select(
-            "idx", "key", F.explode(F.array("first", "last")).alias("value")
+        pairs = found.where("n > 1 and rows > 1").selectExpr(
+            "idx", "key", "explode(array(first, last)) as value"
         )
         sample = smallest(
             pairs, ["idx"], ["key", "value"], F.col("value"), table.sample_size
         )
     return lint_rows(
-        table.with_sample(surplus(table, found), sample),
-        F.lit("Possible inconsistency of upper and lower case."),
-        occurrences=F.col("surplus"),
+        table.with_sample(surplus(found), sample),
+        occurrences="surplus",
+        message="'Possible inconsistency of upper and lower case.'",
     )
 
 

@@ -7,7 +7,6 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import percent
 from ..plans.findings import lint_rows
 from ..plans.table import Table
 from .base import run, table_for
@@ -16,23 +15,22 @@ from .empty_columns import empty_dataset
 NAME = "category_dominance"
 CODE = "DL003"
 OK_MESSAGE = "No dominant category found."
+MESSAGE = (
+    "Dominant category detected: \"%s\" accounts for %.2f%% of the rows."
+)
 OPTIONS = {"threshold": 0.90, "columns": None}
 
 
 def dominant(table: Table) -> DataFrame | None:
-    """``(idx, column, value, n, share)``; null is a value like any other."""
+    """``(idx, value, n, share)``; null is a value like any other."""
     fields = table.text_fields(NAME)
     if not fields:
         return None
-    share = F.col("n") / table.total
-    name = F.element_at(
-        F.create_map(*[F.lit(v) for f in fields for v in (f.idx, f.name)]), F.col("idx")
-    )
+    threshold = float(table.options[NAME]["threshold"])
     return (
         table.value_groups(NAME)
-        .withColumn("share", share)
-        .where(F.col("share") > F.lit(float(table.options[NAME]["threshold"])))
-        .select("idx", name.alias("column"), "value", "n", "share")
+        .withColumn("share", F.col("n") / table.total)
+        .where(F.col("share") > F.lit(threshold))
     )
 
 
@@ -44,7 +42,7 @@ def metrics(df: DataFrame, **options) -> DataFrame:
         return df.sparkSession.createDataFrame(
             [], "column string, value string, n bigint, share double"
         )
-    return found.select("column", "value", "n", "share")
+    return found.select(table.name.alias("column"), "value", "n", "share")
 
 
 def lints(table: Table) -> DataFrame:
@@ -52,13 +50,11 @@ def lints(table: Table) -> DataFrame:
     found = dominant(table)
     if found is None:
         return note
-    message = F.format_string(
-        "Dominant category detected: '%s' accounts for %s of the rows.",
-        F.coalesce("value", F.lit("null")),
-        percent(F.col("share")),
-    )
     return lint_rows(
-        found, message, occurrences=F.col("n"), sample=F.array("value")
+        found,
+        occurrences="n",
+        sample="array(value)",
+        message=f"format_string('{MESSAGE}', coalesce(value, 'null'), share * 100D)",
     ).unionByName(note)
 
 

@@ -38,7 +38,7 @@ def metrics(df: DataFrame) -> DataFrame:
 
 def sample(table: Table) -> DataFrame:
     """The first few repeated rows as JSON, each with its count."""
-    row = F.struct(*[f.col.alias(f.name) for f in table.fields])
+    row = F.struct(*[F.col(f.col).alias(f.name) for f in table.fields])
     text = F.to_json(F.struct(row.alias("row"), F.col("n").alias("count")), JSON)
     first = table.duplicates.select(text.alias("text")).orderBy("text")
     return first.limit(SAMPLE_SIZE).agg(
@@ -54,8 +54,8 @@ def lints(table: Table) -> DataFrame:
         )
     return lint_rows(
         found,
-        F.lit("Duplicate rows detected in the dataset."),
-        occurrences=F.col("surplus"),
+        occurrences="surplus",
+        message="'Duplicate rows detected in the dataset.'",
     )
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 import sys
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..plans.findings import lint_rows
 from ..plans.table import Table
-from ..schema import OK, one_row
+from ..schema import OK, one_row, quoted
 from .base import run, table_for
 
 NAME = "empty_columns"
@@ -22,26 +21,26 @@ OPTIONS: dict = {}
 def metrics(df: DataFrame) -> DataFrame:
     """``(column, total, nulls)`` for every column."""
     table = table_for(sys.modules[__name__], df, {})
-    return table.profile.select("column", "total", "nulls")
+    return table.profile.select(table.name.alias("column"), "total", "nulls")
 
 
 def lints(table: Table) -> DataFrame:
-    nulls = F.col("nulls")
-    empty = table.profile.where((nulls == F.col("total")) & (nulls > 0))
     found = lint_rows(
-        empty,
-        F.lit("Column is entirely empty."),
-        occurrences=nulls,
-        sample=F.array(F.lit(None)),
+        table.profile.where("nulls = total and nulls > 0"),
+        occurrences="nulls",
+        sample="array(null)",
+        message="'Column is entirely empty.'",
     )
     return found.unionByName(empty_dataset(table))
 
 
 def empty_dataset(table: Table) -> DataFrame:
     """An OK row that says so, if the table has no rows."""
-    no_rows = one_row(table.spark).where(table.total == 0)
     return lint_rows(
-        no_rows, F.lit(EMPTY_DATASET), status=OK, occurrences=F.lit(0)
+        one_row(table.spark).where(table.total == 0),
+        status=quoted(OK),
+        occurrences="0",
+        message=quoted(EMPTY_DATASET),
     )
 
 

@@ -7,35 +7,30 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import outside
-from ..functions.expressions import fences
+from ..functions import fences, outside
 from ..plans.findings import lint_rows
-from ..plans.table import Table, usable
+from ..plans.table import Table
 from .base import run, table_for
 
 NAME = "iqr_outliers"
 CODE = "DL007"
 OK_MESSAGE = "No outlier found in the numeric columns."
+MESSAGE = "Outliers detected by the IQR method. Fences: [%.2f, %.2f]."
 OPTIONS = {"method": "exact", "relative_error": 0.01, "multiplier": 1.5}
 
 
 def counts(table: Table) -> DataFrame | None:
-    """``(idx, column, q1, q3, outliers)`` for columns with usable fences."""
-    fields = table.number_fields
-    if not fields:
+    """``(idx, q1, q3, lower, upper, outliers)`` for columns with usable fences."""
+    if not table.number_fields:
         return None
-    quartiles = usable(table.fences)
-    q1, q3 = F.col("q1"), F.col("q3")
-    far = outside(F.col("x"), q1, q3, table.options[NAME]["multiplier"])
-    name = F.element_at(
-        F.create_map(*[F.lit(v) for f in fields for v in (f.idx, f.name)]), F.col("idx")
-    )
+    far = outside("x", table.options[NAME]["multiplier"])
+    lower, upper = fences(table.options[NAME]["multiplier"])
     return (
         table.numbers()
-        .join(F.broadcast(quartiles), "idx")
+        .join(F.broadcast(table.fences), "idx")
         .groupBy("idx", "q1", "q3")
-        .agg(F.count_if(far).alias("outliers"))
-        .withColumn("column", name)
+        .agg(F.expr(f"count_if({far}) as outliers"))
+        .selectExpr("*", f"{lower} as lower", f"{upper} as upper")
     )
 
 
@@ -49,9 +44,8 @@ def metrics(df: DataFrame, **options) -> DataFrame:
             "column string, q1 double, q3 double, lower double, upper double, "
             "outliers bigint",
         )
-    lower, upper = fences(F.col("q1"), F.col("q3"), table.options[NAME]["multiplier"])
     return found.select(
-        "column", "q1", "q3", lower.alias("lower"), upper.alias("upper"), "outliers"
+        table.name.alias("column"), "q1", "q3", "lower", "upper", "outliers"
     )
 
 
@@ -59,16 +53,11 @@ def lints(table: Table) -> DataFrame | None:
     found = counts(table)
     if found is None:
         return None
-    lower, upper = fences(F.col("q1"), F.col("q3"), table.options[NAME]["multiplier"])
-    message = F.format_string(
-        "Outliers detected by the IQR method. Fences: [%.2f, %.2f].", lower, upper
-    )
+    found = found.where("outliers > 0")
     return lint_rows(
-        table.with_sample(
-            found.where(F.col("outliers") > 0), table.number_samples(NAME)
-        ),
-        message,
-        occurrences=F.col("outliers"),
+        table.with_sample(found, table.number_samples(NAME)),
+        occurrences="outliers",
+        message=f"format_string('{MESSAGE}', lower, upper)",
     )
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import sys
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..plans.findings import lint_rows
 from ..plans.table import Table
@@ -18,22 +17,21 @@ OPTIONS: dict = {}
 
 
 def counts(table: Table) -> DataFrame:
-    return table.profile.where(F.col("negative").isNotNull())
+    return table.profile.where("negative is not null")
 
 
 def metrics(df: DataFrame) -> DataFrame:
     """``(column, total, negative)`` for every numeric column."""
     table = table_for(sys.modules[__name__], df, {})
-    return counts(table).select("column", "total", "negative")
+    return counts(table).select(table.name.alias("column"), "total", "negative")
 
 
 def lints(table: Table) -> DataFrame:
+    found = counts(table).where("negative > 0")
     return lint_rows(
-        table.with_sample(
-            counts(table).where(F.col("negative") > 0), table.number_samples(NAME)
-        ),
-        F.lit("Negative values detected in a numeric column."),
-        occurrences=F.col("negative"),
+        table.with_sample(found, table.number_samples(NAME)),
+        occurrences="negative",
+        message="'Negative values detected in a numeric column.'",
     )
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import sys
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..plans.findings import lint_rows
 from ..plans.table import Table
@@ -18,27 +17,25 @@ OPTIONS = {"low": 0.8, "high": 1.0}
 
 
 def shares(table: Table) -> DataFrame:
-    return table.profile.where(F.col("valid") > 0).withColumn(
-        "share", F.col("numeric") / F.col("valid")
+    return table.profile.where("valid > 0").selectExpr(
+        "idx", "valid", "numeric", "numeric / valid as share"
     )
 
 
 def metrics(df: DataFrame, **options) -> DataFrame:
     """``(column, valid, numeric, share)`` for text columns with any content."""
     table = table_for(sys.modules[__name__], df, options)
-    return shares(table).select("column", "valid", "numeric", "share")
+    return shares(table).select(table.name.alias("column"), "valid", "numeric", "share")
 
 
 def lints(table: Table) -> DataFrame:
-    options = table.options[NAME]
-    share = F.col("share")
-    flagged = shares(table).where(
-        (share > F.lit(float(options["low"]))) & (share < F.lit(float(options["high"])))
-    )
+    low = float(table.options[NAME]["low"])
+    high = float(table.options[NAME]["high"])
+    flagged = shares(table).where(f"share > {low}D and share < {high}D")
     return lint_rows(
         table.with_sample(flagged, table.text_samples(flagged)),
-        F.lit("Text column with mostly numeric values, but not only."),
-        occurrences=F.col("valid") - F.col("numeric"),
+        occurrences="valid - numeric",
+        message="'Text column with mostly numeric values, but not only.'",
     )
 
 

@@ -6,12 +6,10 @@ import re
 import sys
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.findings import lint_rows
 from ..plans.table import Table
-from ..schema import literal, one_row
+from ..schema import one_row
 from .base import run, table_for
 
 NAME = "unnamed_columns"
@@ -24,26 +22,20 @@ MARKER = "Unnamed"
 # What Spark itself calls a blank header.
 GENERATED = re.compile(r"_c\d+")
 
-ROW = T.StructType(
-    [T.StructField("idx", T.IntegerType()), T.StructField("column", T.StringType())]
-)
-
 
 def unnamed(table: Table) -> DataFrame:
     generated = table.options[NAME]["match_generated"]
     found = [
-        F.struct(
-            *[
-                literal(v, f.dataType).alias(f.name)
-                for v, f in zip((field.idx, field.name), ROW)
-            ]
-        )
+        str(field.idx)
         for field in table.fields
-        if MARKER in field.name
-        or (generated and GENERATED.fullmatch(field.name))
+        if MARKER in field.name or (generated and GENERATED.fullmatch(field.name))
     ]
-    rows = F.array(*found).cast(T.ArrayType(ROW))
-    return one_row(table.spark).select(F.inline(rows))
+    numbers = f"cast(array({', '.join(found)}) as array<int>)"
+    return (
+        one_row(table.spark)
+        .selectExpr(f"explode({numbers}) as idx")
+        .withColumn("column", table.name)
+    )
 
 
 def metrics(df: DataFrame, **options) -> DataFrame:
@@ -54,9 +46,9 @@ def metrics(df: DataFrame, **options) -> DataFrame:
 def lints(table: Table) -> DataFrame:
     return lint_rows(
         unnamed(table),
-        F.lit("Unnamed column found."),
-        occurrences=F.lit(1),
-        sample=F.array("column"),
+        occurrences="1",
+        sample="array(column)",
+        message="'Unnamed column found.'",
     )
 
 

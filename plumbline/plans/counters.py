@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import Field, is_filled, is_number, is_numeric_text, is_string
 from ..schema import one_row
@@ -18,15 +17,15 @@ COUNTERS_PER_PASS = 96
 COUNTERS = ("nulls", "valid", "numeric", "negative")
 
 
-def counters_of(field: Field, wanted: frozenset[str]) -> dict[str, Column]:
+def counters_of(field: Field, wanted: frozenset[str]) -> dict[str, str]:
     counters = {}
     if "nulls" in wanted:
-        counters["nulls"] = F.count_if(field.col.isNull())
+        counters["nulls"] = f"{field.col} is null"
     if "text" in wanted and is_string(field):
-        counters["valid"] = F.count_if(is_filled(field.text))
-        counters["numeric"] = F.count_if(is_numeric_text(field.text))
+        counters["valid"] = is_filled(field.text)
+        counters["numeric"] = is_numeric_text(field.text)
     if "negative" in wanted and is_number(field):
-        counters["negative"] = F.count_if(field.col < 0)
+        counters["negative"] = f"{field.col} < 0"
     return counters
 
 
@@ -40,7 +39,7 @@ def passes(fields: list[Field], wanted: frozenset[str]) -> list[list]:
         if len(counters) > room:
             groups.append([])
             room = COUNTERS_PER_PASS
-        groups[-1].append((field, counters))
+        groups[-1].append((field.idx, counters))
         room -= len(counters)
     return groups
 
@@ -48,48 +47,36 @@ def passes(fields: list[Field], wanted: frozenset[str]) -> list[list]:
 def profile(
     rows: DataFrame, fields: list[Field], wanted: frozenset[str]
 ) -> tuple[DataFrame, Column]:
-    """``(idx, column, total, nulls, valid, numeric, negative)``, and the total.
+    """``(idx, total, nulls, valid, numeric, negative)``, and the total.
 
     Both come from the same scalar subquery, so several readers cost one pass.
     A column without a wanted counter has no row.
     """
-    cells = []
-    for group in passes(fields, wanted):
-        aggregates = [F.count(F.lit(1)).alias("total")]
-        structs = []
-        for field, counters in group:
-            for name, counter in counters.items():
-                aggregates.append(counter.alias(f"{name}{field.idx}"))
-            structs.append(
-                F.struct(
-                    F.lit(field.idx).alias("idx"),
-                    F.lit(field.name).alias("column"),
-                    F.col("total"),
-                    *[
-                        (
-                            F.col(f"{name}{field.idx}")
-                            if name in counters
-                            else F.lit(None).cast("bigint")
-                        ).alias(name)
-                        for name in COUNTERS
-                    ],
-                )
-            )
-        counted = rows.agg(*aggregates)
-        cells.append(
-            counted.select(
-                F.struct(
-                    F.col("total"),
-                    (F.array(*structs) if structs else NO_ROWS).alias("rows"),
-                )
-            ).scalar()
-        )
     spark = rows.sparkSession
-    frames = [one_row(spark).select(F.inline(cell["rows"])) for cell in cells]
-    return reduce(DataFrame.unionByName, frames), cells[0]["total"]
+    cells = [counted(rows, group) for group in passes(fields, wanted)]
+    frames = [one_row(spark).select(cell["rows"].alias("rows")) for cell in cells]
+    lists = reduce(DataFrame.unionByName, frames)
+    return lists.selectExpr("inline(rows)"), cells[0]["total"]
 
 
-NO_ROWS = F.array().cast(
-    "array<struct<idx:int,column:string,total:bigint,nulls:bigint,"
-    "valid:bigint,numeric:bigint,negative:bigint>>"
-)
+def counted(rows: DataFrame, group: list) -> Column:
+    """``(total, rows)`` of one pass, as the value of a subquery."""
+    aggregates = ["count(1) as total"]
+    structs = []
+    for idx, counters in group:
+        aggregates += [
+            f"count_if({condition}) as {name}{idx}"
+            for name, condition in counters.items()
+        ]
+        values = [
+            (f"{name}{idx}" if name in counters else "cast(null as bigint)")
+            + f" as {name}"
+            for name in COUNTERS
+        ]
+        structs.append(f"struct({idx} as idx, total, {', '.join(values)})")
+    row_type = "array<struct<idx:int,total:bigint,{}>>".format(
+        ",".join(f"{name}:bigint" for name in COUNTERS)
+    )
+    per_column = f"cast(array({', '.join(structs)}) as {row_type})"
+    cell = f"struct(total, {per_column} as rows) as cell"
+    return rows.selectExpr(*aggregates).selectExpr(cell).scalar()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import Field
-from .values import SLOTS
+from .values import SLOTS, slot_of
 
 
 def duplicate_groups(rows: DataFrame, fields: list[Field]) -> DataFrame:
@@ -18,11 +18,11 @@ def duplicate_groups(rows: DataFrame, fields: list[Field]) -> DataFrame:
     size; they are then grouped by their actual values. Hashes that collide
     cost a little work and change no count.
     """
-    columns = [f"c{f.idx}" for f in fields]
+    columns = [f.col for f in fields]
     candidates = rows
     if columns and all(hashes_like_groups(f.type) for f in fields):
         hashed = rows.withColumn("hash", F.xxhash64(*columns))
-        slot = F.pmod("hash", F.lit(SLOTS)).alias("slot")
+        slot = slot_of("hash", SLOTS).alias("slot")
         slots = (
             hashed.groupBy("hash")
             .agg(F.count(F.lit(1)).alias("n"))

@@ -5,22 +5,19 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..schema import LINT, OK, literal
-
-LINT_SCHEMA = T.StructType(
-    [
-        T.StructField("idx", T.IntegerType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("column", T.StringType()),
-        T.StructField("occurrences", T.LongType()),
-        T.StructField("sample", T.ArrayType(T.StringType())),
-        T.StructField("message", T.StringType()),
-    ]
-)
+from pyspark.sql import DataFrame
+
+from ..schema import LINT, OK, quoted
+from .table import Table
+
+LINT_TYPES = {
+    "idx": "int",
+    "status": "string",
+    "occurrences": "bigint",
+    "sample": "array<string>",
+    "message": "string",
+}
+LINT_SCHEMA = ", ".join(f"{name} {type_}" for name, type_ in LINT_TYPES.items())
 
 
 class Part(NamedTuple):
@@ -33,84 +30,64 @@ class Part(NamedTuple):
     lints: DataFrame | None
 
 
-def lint_rows(
-    df: DataFrame, message: Column, status: str = LINT, column=None, **values
-) -> DataFrame:
-    """Project onto LINT_SCHEMA; ``values`` replace columns of ``df``."""
-    given = {"message": message, "status": F.lit(status), **values}
-    if column is not None:
-        given["column"] = column
-    columns = []
-    for field in LINT_SCHEMA:
-        if field.name in given:
-            value = given[field.name]
-        elif field.name in df.columns:
-            value = F.col(field.name)
-        else:
-            value = literal([] if field.name == "sample" else None, field.dataType)
-        columns.append(value.cast(field.dataType).alias(field.name))
-    return df.select(*columns)
-
-
-def assemble(spark: SparkSession, parts: list[Part]) -> DataFrame:
+def lint_rows(df: DataFrame, **values: str) -> DataFrame:
+    """One row per problem, from SQL expressions over ``df``.
+
+    ``idx`` is the offending column, -1 for the table as a whole. It and the
+    sample are taken from ``df`` where it has them.
+    """
+    present = set(df.columns)
+    given = {"status": quoted(LINT), "sample": "array()", "idx": "-1"}
+    given |= {name: name for name in ("idx", "sample") if name in present}
+    given |= values
+    return df.selectExpr(
+        *[f"cast({given[name]} as {type_}) as {name}" for name, type_ in LINT_TYPES.items()]
+    )
+
+
+def assemble(table: Table, parts: list[Part]) -> DataFrame:
     """Every check's rows in order, or its single OK row where it has none.
 
     The rows number at most one per check and column, so one small list holds
     them all, and the choice between rows and OK row is made inside the plan.
     """
+    names = ", ".join(LINT_TYPES)
     frames = [
-        p.lints.select(F.lit(p.position).alias("position"), F.struct(*LINT_SCHEMA.names).alias("row"))
+        p.lints.selectExpr(f"{p.position} as position", f"struct({names}) as row")
         for p in parts
         if p.lints is not None
     ]
     if not frames:
-        empty = spark.createDataFrame(
-            [],
-            T.StructType(
-                [
-                    T.StructField("position", T.IntegerType()),
-                    T.StructField("row", LINT_SCHEMA),
-                ]
-            ),
-        )
-        frames = [empty]
-    items = reduce(DataFrame.unionByName, frames).agg(
-        F.array_sort(F.collect_list(F.struct("position", "row"))).alias("items")
+        empty = f"position int, row struct<{LINT_SCHEMA}>"
+        frames = [table.spark.createDataFrame([], empty)]
+    items = reduce(DataFrame.unionByName, frames).selectExpr(
+        "array_sort(collect_list(struct(position, row))) as items"
     )
-    headers = F.array(
-        *[
-            F.struct(
-                F.lit(p.position).alias("position"),
-                F.lit(p.code).alias("code"),
-                F.lit(p.check).alias("check"),
-                ok_row(p.ok_message).alias("ok"),
-            )
-            for p in parts
-        ]
-    )
-    own = F.transform(
-        F.filter("items", lambda i: i["position"] == F.col("header.position")),
-        lambda i: i["row"],
+    headers = ", ".join(
+        f"struct({p.position} as position, {quoted(p.code)} as code, "
+        f"{quoted(p.check)} as check, {ok_row(p.ok_message)} as ok)"
+        for p in parts
     )
+    own = "transform(filter(items, i -> i.position = header.position), i -> i.row)"
     return (
-        items.select("items", F.explode(headers).alias("header"))
-        .select(
-            F.col("header.code").alias("code"),
-            F.col("header.check").alias("check"),
-            F.when(F.size(own) == 0, F.array(F.col("header.ok")))
-            .otherwise(own)
-            .alias("rows"),
+        items.selectExpr("items", f"explode(array({headers})) as header")
+        .selectExpr("header", f"{own} as own")
+        .selectExpr(
+            "header.code",
+            "header.check",
+            "inline(if(size(own) = 0, array(header.ok), own))",
         )
-        .select("code", "check", F.inline("rows"))
-        .drop("idx")
+        .withColumn("column", table.name)
     )
 
 
-def ok_row(message: str) -> Column:
-    values = {"status": OK, "occurrences": 0, "sample": [], "message": message}
-    return F.struct(
-        *[
-            literal(values.get(f.name), f.dataType).alias(f.name)
-            for f in LINT_SCHEMA
-        ]
-    )
+def ok_row(message: str) -> str:
+    values = {
+        "idx": "-1",
+        "status": quoted(OK),
+        "occurrences": "0",
+        "sample": "array()",
+        "message": quoted(message),
+    }
+    fields = [f"cast({values[n]} as {t}) as {n}" for n, t in LINT_TYPES.items()]
+    return f"struct({', '.join(fields)})"

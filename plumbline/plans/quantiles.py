@@ -25,8 +25,8 @@ BINS = 65536
 
 def exact_quartiles(numbers: DataFrame) -> DataFrame:
     """``(idx, q1, q3)`` of the long form ``(idx, x)``."""
-    known = numbers.where(F.col("x").isNotNull() & ~F.isnan("x"))
-    coarse = known.groupBy("idx", root_scale(F.col("x")).alias("bin")).agg(*extent())
+    known = numbers.where("x is not null and not isnan(x)")
+    coarse = known.groupBy("idx", F.expr(root_scale("x")).alias("bin")).agg(*extent())
     target = first_intervals(coarse)
     fine = within(known, target).groupBy("idx", "q", "rank", linear_bin()).agg(*extent())
     target = holding_rank(fine, "bin").select("idx", "q", "rank", "low", "high")
@@ -119,26 +119,20 @@ def approximate_quartiles(
     depends on how the table is partitioned.
     """
     accuracy = max(1, round(1 / relative_error))
-    probabilities = [F.lit(q) for q in QUARTILES]
+    probabilities = ", ".join(f"{q}D" for q in QUARTILES)
     frames = []
     for start in range(0, len(fields), COUNTERS_PER_PASS):
         chunk = fields[start : start + COUNTERS_PER_PASS]
         sketches = [
-            F.percentile_approx(
-                F.when(~F.isnan(f.number), f.number),
-                F.array(*probabilities),
-                accuracy,
-            ).alias(f"s{f.idx}")
+            f"percentile_approx(nullif({f.number}, double('NaN')), "
+            f"array({probabilities}), {accuracy}) as s{f.idx}"
             for f in chunk
         ]
         structs = [
-            F.struct(
-                F.lit(f.idx).alias("idx"),
-                F.col(f"s{f.idx}")[0].alias("q1"),
-                F.col(f"s{f.idx}")[1].alias("q3"),
-            )
+            f"struct({f.idx} as idx, s{f.idx}[0] as q1, s{f.idx}[1] as q3)"
             for f in chunk
         ]
-        frames.append(rows.agg(*sketches).select(F.inline(F.array(*structs))))
+        rows_of = f"inline(array({', '.join(structs)}))"
+        frames.append(rows.selectExpr(*sketches).selectExpr(rows_of))
     found = reduce(DataFrame.unionByName, frames)
     return found.where(F.col("q1").isNotNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from functools import cached_property
 
@@ -56,6 +57,12 @@ class Table:
         self.sample_size = sample_size
         self._value_groups: dict[tuple[int, ...], DataFrame] = {}
 
+    @property
+    def name(self) -> Column:
+        """The name of column ``idx``; null for -1, the table as a whole."""
+        names = F.lit(json.dumps([f.name for f in self.fields]))
+        return F.get(F.from_json(names, "array<string>"), F.col("idx"))
+
     # -- counters ---------------------------------------------------------
 
     @cached_property
@@ -133,7 +140,8 @@ class Table:
             )
         else:
             raise ValueError(f"unknown method: {options['method']}")
-        return shared(quartiles)
+        usable = "q3 - q1 > 0 and q3 - q1 < double('Infinity')"
+        return shared(quartiles.where(usable))
 
     def numbers(self, keep: Iterable[str] = ()) -> DataFrame:
         return long_form(self.rows, self.number_fields, lambda f: f.number, "x", keep)
@@ -155,25 +163,23 @@ class Table:
     def _number_samples(self) -> DataFrame:
         """One pass for the samples of both numeric checks."""
         fields = self.number_fields
-        numbers = self.numbers(keep=[f"c{f.idx}" for f in fields])
-        flags = []
+        numbers = self.numbers(keep=[f.col for f in fields])
+        flags = {}
         if "negative_values" in self.options:
-            flags.append(("negative_values", F.col("x") < 0))
+            flags["negative_values"] = "x < 0"
         if "iqr_outliers" in self.options:
-            multiplier = self.options["iqr_outliers"]["multiplier"]
-            numbers = numbers.join(F.broadcast(usable(self.fences)), "idx", "left")
-            far = outside(F.col("x"), F.col("q1"), F.col("q3"), multiplier)
-            flags.append(("iqr_outliers", far))
-        offending = flags[0][1]
-        for _, flag in flags[1:]:
-            offending = offending | F.coalesce(flag, F.lit(False))
-        checks = F.array_compact(F.array(*[F.when(f, F.lit(c)) for c, f in flags]))
+            numbers = numbers.join(F.broadcast(self.fences), "idx", "left")
+            flags["iqr_outliers"] = outside(
+                "x", self.options["iqr_outliers"]["multiplier"]
+            )
+        checks = [f"case when {flag} then '{c}' end" for c, flag in flags.items()]
         # Formatted from the column itself: a bigint keeps all its digits.
-        text = F.coalesce(
-            *[F.when(F.col("idx") == f.idx, f.col.cast("string")) for f in fields]
-        )
-        candidates = numbers.where(offending).select(
-            "idx", "x", text.alias("text"), F.explode(checks).alias("check")
+        cases = [f"when {f.idx} then cast({f.col} as string)" for f in fields]
+        candidates = numbers.where(" or ".join(flags.values())).selectExpr(
+            "idx",
+            "x",
+            f"case idx {' '.join(cases)} end as text",
+            f"explode(array_compact(array({', '.join(checks)}))) as check",
         )
         return shared(
             smallest(
@@ -197,16 +203,12 @@ class Table:
         fields = [f for f in self.fields if is_string(f)]
         if not self.samples or not fields:
             return None
-        value = F.col("value")
+        odd = f"{is_filled('value')} and not {is_numeric_text('value')}"
         candidates = (
             self.texts(fields)
             .join(F.broadcast(flagged.select("idx")), "idx", "left_semi")
-            .where(is_filled(value) & ~is_numeric_text(value))
+            .where(odd)
+        )
+        return smallest(
+            candidates, ["idx"], ["value"], F.col("value"), self.sample_size
         )
-        return smallest(candidates, ["idx"], ["value"], value, self.sample_size)
-
-
-def usable(quartiles: DataFrame) -> DataFrame:
-    """Columns whose middle half spreads, between finite quartiles."""
-    spread = F.col("q3") - F.col("q1")
-    return quartiles.where((spread > 0) & (spread < F.lit(float("inf"))))

@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import case_key
-
 # Upper bound on the rows of the broadcast slot list (8 bytes each).
 SLOTS = 1 << 20
 # Enough to tell a dominant value from the rest.
@@ -33,12 +31,12 @@ def value_groups(
     spellings of a text that occurs in more than one. Others may or may not be.
     """
     if variants:
-        slots = max(DOMINANCE_SLOTS, SLOTS // columns)
-        keyed = values.withColumn("key", F.xxhash64(case_key(F.col("value"))))
+        slots = max(DOMINANCE_SLOTS, power_of_two(SLOTS // columns))
+        keyed = values.withColumn("key", F.xxhash64(F.lower("value")))
     else:
         slots = DOMINANCE_SLOTS
         keyed = values.withColumn("key", F.xxhash64("value"))
-    slot = F.pmod("key", F.lit(slots)).alias("slot")
+    slot = slot_of("key", slots).alias("slot")
 
     n = F.count(F.lit(1)).alias("n")
     if variants:
@@ -72,10 +70,20 @@ def value_groups(
     )
 
 
+def power_of_two(n: int) -> int:
+    return 1 << max(n, 1).bit_length() - 1
+
+
+def slot_of(hashed: str, slots: int) -> Column:
+    """One of ``slots``, a power of two. Unlike a remainder it is never null,
+    which spares the optimizer reasoning about when it could be."""
+    return F.col(hashed).bitwiseAND(F.lit(slots - 1))
+
+
 def spellings(groups: DataFrame) -> DataFrame:
     """Texts found in several spellings: ``(idx, key, n, rows, first, last)``."""
     return (
-        groups.groupBy("idx", case_key(F.col("value")).alias("key"))
+        groups.groupBy("idx", F.lower("value").alias("key"))
         .agg(
             F.count("value").alias("n"),
             F.sum("n").alias("rows"),

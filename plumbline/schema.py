@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 OK = "OK"
@@ -31,25 +30,31 @@ FINDING_SCHEMA = T.StructType(
 DEFAULTS = {"status": LINT, "occurrences": 0, "sample": []}
 
 
-def literal(value, data_type: T.DataType) -> Column:
-    if isinstance(value, (list, tuple)):
-        value = F.array(*[literal(v, data_type.elementType) for v in value])
-        return value.cast(data_type)
-    return F.lit(value).cast(data_type)
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal(value, data_type: T.DataType) -> str:
+    if value is None:
+        sql = "null"
+    elif isinstance(value, (list, tuple)):
+        items = [literal(v, data_type.elementType) for v in value]
+        sql = f"array({', '.join(items)})"
+    elif isinstance(value, str):
+        sql = quoted(value)
+    else:
+        sql = str(value)
+    return f"cast({sql} as {data_type.simpleString()})"
 
 
 def finding_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """Findings already known when the plan is built, as a frame of literals."""
-    structs = [
-        F.struct(
-            *[
-                literal(row.get(f.name, DEFAULTS.get(f.name)), f.dataType).alias(f.name)
-                for f in FINDING_SCHEMA
-            ]
-        )
+    """Findings already known when the plan is built."""
+    values = [
+        tuple(row.get(f.name, DEFAULTS.get(f.name)) for f in FINDING_SCHEMA)
         for row in rows
     ]
-    return one_row(spark).select(F.inline(F.array(*structs)))
+    return spark.createDataFrame(values, FINDING_SCHEMA)
 
 
 def as_findings(df: DataFrame, **fixed) -> DataFrame:
@@ -58,20 +63,17 @@ def as_findings(df: DataFrame, **fixed) -> DataFrame:
     ``fixed`` values win over the frame's columns; a column that neither has
     takes its default.
     """
+    present = set(df.columns)
     columns = []
     for field in FINDING_SCHEMA:
-        if field.name in fixed:
-            value = literal(fixed[field.name], field.dataType)
-        elif field.name in df.columns:
-            value = F.col(field.name).cast(field.dataType)
-            if field.name in DEFAULTS:
-                value = F.coalesce(
-                    value, literal(DEFAULTS[field.name], field.dataType)
-                )
-        else:
-            value = literal(DEFAULTS.get(field.name), field.dataType)
-        columns.append(value.alias(field.name))
-    return df.select(*columns)
+        value = literal(
+            fixed.get(field.name, DEFAULTS.get(field.name)), field.dataType
+        )
+        if field.name in present and field.name not in fixed:
+            own = f"cast(`{field.name}` as {field.dataType.simpleString()})"
+            value = f"coalesce({own}, {value})" if field.name in DEFAULTS else own
+        columns.append(f"{value} as `{field.name}`")
+    return df.selectExpr(*columns)
 
 
 def one_row(spark: SparkSession) -> DataFrame:

@@ -122,7 +122,7 @@ def _plan(df: DataFrame, chosen: list[str], options: dict, samples: bool) -> Dat
 
     def flush():
         if parts:
-            outputs.append(as_findings(assemble(spark, parts)))
+            outputs.append(as_findings(assemble(table, parts)))
             parts.clear()
 
     for position, name in enumerate(chosen):
