@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from ..plans.findings import lint_rows
 from ..plans.table import Table
+from ..schema import quoted
 from .base import run, table_for
 from .empty_columns import empty_dataset
 
 NAME = "category_dominance"
 CODE = "DL003"
 OK_MESSAGE = "No dominant category found."
-MESSAGE = (
-    "Dominant category detected: \"%s\" accounts for %.2f%% of the rows."
-)
+MESSAGE = "Dominant category detected: '%s' accounts for %.2f%% of the rows."
 OPTIONS = {"threshold": 0.90, "columns": None}
 
 
@@ -54,7 +53,8 @@ def lints(table: Table) -> DataFrame:
         found,
         occurrences="n",
         sample="array(value)",
-        message=f"format_string('{MESSAGE}', coalesce(value, 'null'), share * 100D)",
+        message=f"format_string({quoted(MESSAGE)}, coalesce(value, 'null'), "
+        "share * 100D)",
     ).unionByName(note)
 
 

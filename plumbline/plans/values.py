@@ -81,7 +81,11 @@ def slot_of(hashed: str, slots: int) -> Column:
 
 
 def spellings(groups: DataFrame) -> DataFrame:
-    """Texts found in several spellings: ``(idx, key, n, rows, first, last)``."""
+    """Texts found in several spellings: ``(idx, key, n, rows, first, last)``.
+
+    The filter asks for every aggregate, so that whichever of them a reader
+    wants, Spark sees the same exchange and runs it once.
+    """
     return (
         groups.groupBy("idx", F.lower("value").alias("key"))
         .agg(
@@ -90,5 +94,5 @@ def spellings(groups: DataFrame) -> DataFrame:
             F.min("value").alias("first"),
             F.max("value").alias("last"),
         )
-        .where(F.col("first") != F.col("last"))
+        .where("first <> last and n > 1 and rows >= n")
     )
