@@ -47,11 +47,9 @@ def sample(table: Table) -> DataFrame:
 
 
 def lints(table: Table) -> DataFrame:
-    found = counts(table).where(F.col("surplus") > 0).withColumn("idx", F.lit(-1))
+    found = counts(table).where("surplus > 0")
     if table.samples and table.fields:
-        found = found.join(
-            F.broadcast(sample(table).withColumn("idx", F.lit(-1))), "idx", "left"
-        )
+        found = found.withColumn("sample", sample(table).scalar())
     return lint_rows(
         found,
         occurrences="surplus",
