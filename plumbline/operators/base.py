@@ -6,7 +6,7 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame
 
-from ..plans.findings import Part, assemble
+from ..plans.findings import assemble, part
 from ..plans.table import Table
 from ..schema import as_findings
 
@@ -27,5 +27,4 @@ def table_for(check: ModuleType, df: DataFrame, given: dict, samples=False) -> T
 
 def run(check: ModuleType, df: DataFrame, given: dict) -> DataFrame:
     table = table_for(check, df, given, samples=True)
-    part = Part(0, check.CODE, check.NAME, check.OK_MESSAGE, check.lints(table))
-    return as_findings(assemble(table, [part]))
+    return as_findings(assemble(table, [part(0, check, table)]))

@@ -65,20 +65,23 @@ def lints(table: Table) -> DataFrame | None:
     found = variants(table)
     if found is None:
         return None
-    sample = None
-    if table.samples:
-        pairs = found.selectExpr(
-            "idx", "key", "explode(array(first, last)) as value"
-        )
-        sample = smallest(
-            pairs, ["idx"], ["key", "value"], F.col("value"), table.sample_size
-        )
     return lint_rows(
-        table.with_sample(surplus(found), sample),
+        surplus(found),
         occurrences="surplus",
         message="'Possible inconsistency of upper and lower case.'",
     )
 
 
+def samples(table: Table) -> DataFrame | None:
+    """Spellings that differ in case alone, by text and spelling."""
+    found = variants(table)
+    if found is None:
+        return None
+    pairs = found.selectExpr(
+        f"'{NAME}' as check", "idx", "key", "explode(array(first, last)) as value"
+    )
+    return smallest(pairs, ["key", "value"], "value", table.sample_size)
+
+
 def findings(df: DataFrame, **options) -> DataFrame:
     return run(sys.modules[__name__], df, options)

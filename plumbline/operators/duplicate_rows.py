@@ -36,26 +36,25 @@ def metrics(df: DataFrame) -> DataFrame:
     return counts(table_for(sys.modules[__name__], df, {}))
 
 
-def sample(table: Table) -> DataFrame:
-    """The first few repeated rows as JSON, each with its count."""
-    row = F.struct(*[F.col(f.col).alias(f.name) for f in table.fields])
-    text = F.to_json(F.struct(row.alias("row"), F.col("n").alias("count")), JSON)
-    first = table.duplicates.select(text.alias("text")).orderBy("text")
-    return first.limit(SAMPLE_SIZE).agg(
-        F.array_sort(F.collect_list("text")).alias("sample")
-    )
-
-
 def lints(table: Table) -> DataFrame:
-    found = counts(table).where("surplus > 0")
-    if table.samples and table.fields:
-        found = found.withColumn("sample", sample(table).scalar())
     return lint_rows(
-        found,
+        counts(table).where("surplus > 0"),
         occurrences="surplus",
         message="'Duplicate rows detected in the dataset.'",
     )
 
 
+def samples(table: Table) -> DataFrame | None:
+    """The first few repeated rows as JSON, each with its count."""
+    if not table.fields:
+        return None
+    row = F.struct(*[F.col(f.col).alias(f.name) for f in table.fields])
+    text = F.to_json(F.struct(row.alias("row"), F.col("n").alias("count")), JSON)
+    first = table.duplicates.select(text.alias("text")).orderBy("text")
+    return first.limit(SAMPLE_SIZE).selectExpr(
+        f"'{NAME}' as check", "-1 as idx", "array_sort(collect_list(text)) as sample"
+    )
+
+
 def findings(df: DataFrame) -> DataFrame:
     return run(sys.modules[__name__], df, {})

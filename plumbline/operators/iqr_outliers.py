@@ -5,9 +5,8 @@ from __future__ import annotations
 import sys
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions import fences, outside
+from ..functions import fences
 from ..plans.findings import lint_rows
 from ..plans.table import Table
 from .base import run, table_for
@@ -23,15 +22,8 @@ def counts(table: Table) -> DataFrame | None:
     """``(idx, q1, q3, lower, upper, outliers)`` for columns with usable fences."""
     if not table.number_fields:
         return None
-    far = outside("x", table.options[NAME]["multiplier"])
     lower, upper = fences(table.options[NAME]["multiplier"])
-    return (
-        table.numbers()
-        .join(F.broadcast(table.fences), "idx")
-        .groupBy("idx", "q1", "q3")
-        .agg(F.expr(f"count_if({far}) as outliers"))
-        .selectExpr("*", f"{lower} as lower", f"{upper} as upper")
-    )
+    return table.outliers.selectExpr("*", f"{lower} as lower", f"{upper} as upper")
 
 
 def metrics(df: DataFrame, **options) -> DataFrame:
@@ -53,13 +45,16 @@ def lints(table: Table) -> DataFrame | None:
     found = counts(table)
     if found is None:
         return None
-    found = found.where("outliers > 0")
     return lint_rows(
-        table.with_sample(found, table.number_samples(NAME)),
+        found.where("outliers > 0"),
         occurrences="outliers",
         message=f"format_string('{MESSAGE}', lower, upper)",
     )
 
 
+def samples(table: Table) -> DataFrame | None:
+    return table.number_samples
+
+
 def findings(df: DataFrame, **options) -> DataFrame:
     return run(sys.modules[__name__], df, options)

@@ -27,13 +27,16 @@ def metrics(df: DataFrame) -> DataFrame:
 
 
 def lints(table: Table) -> DataFrame:
-    found = counts(table).where("negative > 0")
     return lint_rows(
-        table.with_sample(found, table.number_samples(NAME)),
+        counts(table).where("negative > 0"),
         occurrences="negative",
         message="'Negative values detected in a numeric column.'",
     )
 
 
+def samples(table: Table) -> DataFrame | None:
+    return table.number_samples
+
+
 def findings(df: DataFrame) -> DataFrame:
     return run(sys.modules[__name__], df, {})

@@ -28,16 +28,23 @@ def metrics(df: DataFrame, **options) -> DataFrame:
     return shares(table).select(table.name.alias("column"), "valid", "numeric", "share")
 
 
-def lints(table: Table) -> DataFrame:
+def flagged(table: Table) -> DataFrame:
     low = float(table.options[NAME]["low"])
     high = float(table.options[NAME]["high"])
-    flagged = shares(table).where(f"share > {low}D and share < {high}D")
+    return shares(table).where(f"share > {low}D and share < {high}D")
+
+
+def lints(table: Table) -> DataFrame:
     return lint_rows(
-        table.with_sample(flagged, table.text_samples(flagged)),
+        flagged(table),
         occurrences="valid - numeric",
         message="'Text column with mostly numeric values, but not only.'",
     )
 
 
+def samples(table: Table) -> DataFrame | None:
+    return table.text_samples(NAME, flagged(table))
+
+
 def findings(df: DataFrame, **options) -> DataFrame:
     return run(sys.modules[__name__], df, options)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 
 from ..functions import Field, is_filled, is_number, is_numeric_text, is_string
-from ..schema import one_row
+from .sharing import unpack
 
 # Whole-stage code generation stops at 100 fields (spark.sql.codegen.maxFields),
 # so an aggregate takes no more counters than this. Further columns go to
@@ -52,18 +52,23 @@ def profile(
     Both come from the same scalar subquery, so several readers cost one pass.
     A column without a wanted counter has no row.
     """
-    spark = rows.sparkSession
-    cells = [counted(rows, group) for group in passes(fields, wanted)]
-    frames = [one_row(spark).select(cell["rows"].alias("rows")) for cell in cells]
-    lists = reduce(DataFrame.unionByName, frames)
-    return lists.selectExpr("inline(rows)"), cells[0]["total"]
+    counted = [per_column(rows, group) for group in passes(fields, wanted)]
+    cell = (
+        reduce(DataFrame.unionByName, counted)
+        .selectExpr(
+            "struct(max(total) as total, "
+            "filter(collect_list(struct(*)), r -> r.idx >= 0) as rows) as cell"
+        )
+        .scalar()
+    )
+    return unpack(rows.sparkSession, cell["rows"]), cell["total"]
 
 
-def counted(rows: DataFrame, group: list) -> Column:
-    """``(total, rows)`` of one pass, as the value of a subquery."""
+def per_column(rows: DataFrame, group: list) -> DataFrame:
+    """The counters of one pass, a row per column and one for the table."""
     aggregates = ["count(1) as total"]
     structs = []
-    for idx, counters in group:
+    for idx, counters in [(-1, {}), *group]:
         aggregates += [
             f"count_if({condition}) as {name}{idx}"
             for name, condition in counters.items()
@@ -74,9 +79,6 @@ def counted(rows: DataFrame, group: list) -> Column:
             for name in COUNTERS
         ]
         structs.append(f"struct({idx} as idx, total, {', '.join(values)})")
-    row_type = "array<struct<idx:int,total:bigint,{}>>".format(
-        ",".join(f"{name}:bigint" for name in COUNTERS)
+    return rows.selectExpr(*aggregates).selectExpr(
+        f"inline(array({', '.join(structs)}))"
     )
-    per_column = f"cast(array({', '.join(structs)}) as {row_type})"
-    cell = f"struct(total, {per_column} as rows) as cell"
-    return rows.selectExpr(*aggregates).selectExpr(cell).scalar()

@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 from ..functions import Field, root_scale
 from .counters import COUNTERS_PER_PASS
+from .sharing import shared
 
 QUARTILES = (0.25, 0.75)
 BINS = 65536
 
 
 def exact_quartiles(numbers: DataFrame) -> DataFrame:
-    """``(idx, q1, q3)`` of the long form ``(idx, x)``."""
+    """``(idx, q1, q3)`` of the long form ``(idx, x)``; shared by its readers."""
     known = numbers.where("x is not null and not isnan(x)")
     coarse = known.groupBy("idx", F.expr(root_scale("x")).alias("bin")).agg(*extent())
     target = first_intervals(coarse)
@@ -33,13 +34,10 @@ def exact_quartiles(numbers: DataFrame) -> DataFrame:
     values = within(known, target).groupBy("idx", "q", "rank", "x").agg(
         F.count(F.lit(1)).alias("n")
     )
-    return (
-        holding_rank(values, "x")
-        .groupBy("idx")
-        .agg(
-            F.max(F.when(F.col("q") == QUARTILES[0], F.col("x"))).alias("q1"),
-            F.max(F.when(F.col("q") == QUARTILES[1], F.col("x"))).alias("q3"),
-        )
+    found = shared(holding_rank(values, "x").select("idx", "q", "x"))
+    first, third = (f"max(case when q = {q}D then x end)" for q in QUARTILES)
+    return found.groupBy("idx").agg(
+        F.expr(f"{first} as q1"), F.expr(f"{third} as q3")
     )
 
 
@@ -113,7 +111,7 @@ def holding_rank(counted: DataFrame, order: str) -> DataFrame:
 def approximate_quartiles(
     rows: DataFrame, fields: list[Field], relative_error: float
 ) -> DataFrame:
-    """``(idx, q1, q3)`` from one pass of bounded sketches.
+    """``(idx, q1, q3)`` from one pass of bounded sketches; shared as well.
 
     Within ``relative_error`` of the exact ranks; which value is returned
     depends on how the table is partitioned.
@@ -135,4 +133,4 @@ def approximate_quartiles(
         rows_of = f"inline(array({', '.join(structs)}))"
         frames.append(rows.selectExpr(*sketches).selectExpr(rows_of))
     found = reduce(DataFrame.unionByName, frames)
-    return found.where(F.col("q1").isNotNull())
+    return shared(found.where("q1 is not null"))

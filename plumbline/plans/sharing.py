@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import one_row
@@ -17,8 +17,8 @@ def shared(frame: DataFrame) -> DataFrame:
     of the linted table bounds: a few rows per column.
     """
     cell = frame.agg(F.collect_list(F.struct("*")).alias("rows")).scalar()
-    return unpack(frame, cell)
+    return unpack(frame.sparkSession, cell)
 
 
-def unpack(frame: DataFrame, cell: Column) -> DataFrame:
-    return one_row(frame.sparkSession).select(F.inline(cell))
+def unpack(spark: SparkSession, cell: Column) -> DataFrame:
+    return one_row(spark).select(F.inline(cell))

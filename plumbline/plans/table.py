@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,11 @@ NEEDS = {
 }
 
 
+# The sample pass carries every column it formats beside each of its values, so
+# its work grows with the square of this.
+SAMPLED_PER_PASS = 40
+
+
 class Table:
     """Plans for one run of one set of checks; building them runs no job.
 
@@ -133,18 +138,28 @@ class Table:
         """``(idx, q1, q3)`` of columns with a finite, positive spread."""
         options = self.options["iqr_outliers"]
         if options["method"] == "exact":
-            quartiles = exact_quartiles(self.numbers())
+            quartiles = exact_quartiles(self.numbers(self.number_fields))
         elif options["method"] == "approx":
             quartiles = approximate_quartiles(
                 self.rows, self.number_fields, float(options["relative_error"])
             )
         else:
             raise ValueError(f"unknown method: {options['method']}")
-        usable = "q3 - q1 > 0 and q3 - q1 < double('Infinity')"
-        return shared(quartiles.where(usable))
+        return quartiles.where("q3 - q1 > 0 and q3 - q1 < double('Infinity')")
 
-    def numbers(self, keep: Iterable[str] = ()) -> DataFrame:
-        return long_form(self.rows, self.number_fields, lambda f: f.number, "x", keep)
+    @cached_property
+    def outliers(self) -> DataFrame:
+        """``(idx, q1, q3, outliers)`` of the same columns."""
+        far = outside("x", self.options["iqr_outliers"]["multiplier"])
+        return shared(
+            self.numbers(self.number_fields)
+            .join(F.broadcast(self.fences), "idx")
+            .groupBy("idx", "q1", "q3")
+            .agg(F.expr(f"count_if({far}) as outliers"))
+        )
+
+    def numbers(self, fields: list[Field], keep: Iterable[str] = ()) -> DataFrame:
+        return long_form(self.rows, fields, lambda f: f.number, "x", keep)
 
     # -- duplicate rows ---------------------------------------------------
 
@@ -154,61 +169,64 @@ class Table:
 
     # -- samples ----------------------------------------------------------
 
-    def with_sample(self, frame: DataFrame, sample: DataFrame | None) -> DataFrame:
-        if not self.samples or sample is None:
-            return frame
-        return frame.join(F.broadcast(sample), "idx", "left")
-
     @cached_property
-    def _number_samples(self) -> DataFrame:
-        """One pass for the samples of both numeric checks."""
-        fields = self.number_fields
-        numbers = self.numbers(keep=[f.col for f in fields])
-        flags = {}
+    def number_samples(self) -> DataFrame | None:
+        """One pass for the samples of both numeric checks.
+
+        Only flagged columns pass the join, and if there are none Spark skips
+        the scan.
+        """
+        if not self.number_fields:
+            return None
+        flagged = []
         if "negative_values" in self.options:
-            flags["negative_values"] = "x < 0"
+            flagged.append(
+                self.profile.where("negative > 0").selectExpr(
+                    "idx",
+                    "'negative_values' as check",
+                    "cast(null as double) as q1",
+                    "cast(null as double) as q3",
+                )
+            )
+        multiplier = 0.0
         if "iqr_outliers" in self.options:
-            numbers = numbers.join(F.broadcast(self.fences), "idx", "left")
-            flags["iqr_outliers"] = outside(
-                "x", self.options["iqr_outliers"]["multiplier"]
+            multiplier = self.options["iqr_outliers"]["multiplier"]
+            flagged.append(
+                self.outliers.where("outliers > 0").selectExpr(
+                    "idx", "'iqr_outliers' as check", "q1", "q3"
+                )
             )
-        checks = [f"case when {flag} then '{c}' end" for c, flag in flags.items()]
-        # Formatted from the column itself: a bigint keeps all its digits.
-        cases = [f"when {f.idx} then cast({f.col} as string)" for f in fields]
-        candidates = numbers.where(" or ".join(flags.values())).selectExpr(
-            "idx",
-            "x",
-            f"case idx {' '.join(cases)} end as text",
-            f"explode(array_compact(array({', '.join(checks)}))) as check",
-        )
-        return shared(
-            smallest(
-                candidates,
-                ["check", "idx"],
-                ["x", "text"],
-                F.col("text"),
-                self.sample_size,
+        flags = F.broadcast(reduce(DataFrame.unionByName, flagged))
+        far = outside("x", multiplier)
+        offending = f"case when check = 'negative_values' then x < 0 else {far} end"
+        found = []
+        for start in range(0, len(self.number_fields), SAMPLED_PER_PASS):
+            fields = self.number_fields[start : start + SAMPLED_PER_PASS]
+            # Formatted from the column itself: a bigint keeps all its digits.
+            cases = [f"when {f.idx} then cast({f.col} as string)" for f in fields]
+            candidates = (
+                self.numbers(fields, keep=[f.col for f in fields])
+                .join(flags, "idx")
+                .where(offending)
+                .selectExpr(
+                    "idx", "check", "x", f"case idx {' '.join(cases)} end as text"
+                )
             )
-        )
-
-    def number_samples(self, check: str) -> DataFrame | None:
-        if not self.samples or not self.number_fields:
-            return None
-        return (
-            self._number_samples.where(F.col("check") == check).drop("check")
-        )
+            found.append(
+                smallest(candidates, ["x", "text"], "text", self.sample_size)
+            )
+        return reduce(DataFrame.unionByName, found)
 
-    def text_samples(self, flagged: DataFrame) -> DataFrame | None:
+    def text_samples(self, check: str, flagged: DataFrame) -> DataFrame | None:
         """Values that are not numbers, of the flagged columns alone."""
         fields = [f for f in self.fields if is_string(f)]
-        if not self.samples or not fields:
+        if not fields:
             return None
         odd = f"{is_filled('value')} and not {is_numeric_text('value')}"
         candidates = (
             self.texts(fields)
             .join(F.broadcast(flagged.select("idx")), "idx", "left_semi")
             .where(odd)
+            .selectExpr(f"'{check}' as check", "idx", "value")
         )
-        return smallest(
-            candidates, ["idx"], ["value"], F.col("value"), self.sample_size
-        )
+        return smallest(candidates, ["value"], "value", self.sample_size)

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from .operators import BUILT_IN
 from .operators.base import settings
-from .plans.findings import Part, assemble
+from .plans.findings import Part, assemble, part
 from .plans.table import Table
 from .schema import ERROR, ERROR_CODE, as_findings, finding_rows
 from .sources import file_label, fixed_rows, read_dataset
@@ -117,7 +117,7 @@ def _plan(df: DataFrame, chosen: list[str], options: dict, samples: bool) -> Dat
             except Exception as e:
                 failures[name] = _failure(e)
     table = Table(df, configured, samples=samples)
-    parts = []
+    parts: list[Part] = []
     outputs: list[DataFrame] = []
 
     def flush():
@@ -131,16 +131,7 @@ def _plan(df: DataFrame, chosen: list[str], options: dict, samples: bool) -> Dat
                 row = _error(name, failures[name])
                 output = finding_rows(spark, [row])
             elif name in configured:
-                module = CHECKS[name]
-                parts.append(
-                    Part(
-                        position,
-                        module.CODE,
-                        name,
-                        module.OK_MESSAGE,
-                        module.lints(table),
-                    )
-                )
+                parts.append(part(position, CHECKS[name], table))
                 continue
             elif name in _registered:
                 own = _registered[name]

@@ -62,7 +62,7 @@ def table(df):
 
 def test_exact_quartiles_are_elements(wide, columns):
     t = table(wide)
-    found = {r["idx"]: (r["q1"], r["q3"]) for r in exact_quartiles(t.numbers()).collect()}
+    found = {r["idx"]: (r["q1"], r["q3"]) for r in exact_quartiles(t.numbers(t.number_fields)).collect()}
     expected = {
         i: (element(v, 0.25), element(v, 0.75))
         for i, v in enumerate(columns.values())
@@ -76,7 +76,8 @@ def test_small_counts(spark, n):
     # One query per count, every residue of n in its own column.
     values = [float(i * i) for i in range(1, n + 1)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    (row,) = exact_quartiles(table(df).numbers()).collect()
+    t = table(df)
+    (row,) = exact_quartiles(t.numbers(t.number_fields)).collect()
     assert (row["q1"], row["q3"]) == (element(values, 0.25), element(values, 0.75))
 
 
