@@ -15,13 +15,14 @@ def duplicate_groups(rows: DataFrame, fields: list[Field]) -> DataFrame:
 
     A first pass counts 8-byte row hashes. Equal rows have equal hashes, so
     only rows whose hash occurs twice go on, by way of a slot list of bounded
-    size; they are then grouped by their actual values. Hashes that collide
-    cost a little work and change no count.
+    size; they are then grouped by their actual values. Hashes that collide, or
+    leave out a column that cannot be hashed, cost work and change no count.
     """
     columns = [f.col for f in fields]
     candidates = rows
-    if columns and all(hashes_like_groups(f.type) for f in fields):
-        hashed = rows.withColumn("hash", F.xxhash64(*columns))
+    hashable = [f.col for f in fields if hashes_like_groups(f.type)]
+    if hashable:
+        hashed = rows.withColumn("hash", F.xxhash64(*hashable))
         slot = slot_of("hash", SLOTS).alias("slot")
         slots = (
             hashed.groupBy("hash")
@@ -53,6 +54,6 @@ def hashes_like_groups(data_type: T.DataType) -> bool:
         return hashes_like_groups(data_type.elementType)
     if isinstance(data_type, T.StringType):
         return data_type == T.StringType()
-    return isinstance(data_type, T.AtomicType) and not isinstance(
-        data_type, T.VariantType
-    )
+    if isinstance(data_type, T.VariantType):
+        return False
+    return isinstance(data_type, (T.AtomicType, T.NullType))

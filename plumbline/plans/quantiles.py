@@ -5,8 +5,9 @@ order, nulls and NaN left out. Sorting 100 TB to pick two elements per column
 is wasteful, and a percentile aggregate keeps every distinct value of a column
 in one task. So each quartile is closed in on: a histogram over the whole
 column, a finer one over the bucket that holds it, then the values of the one
-bin left. Every step is a partially aggregated group-by over a few bucket
-numbers, however the values are distributed.
+bin left, which are counted and binned once more before any are ranked. Every
+step is a partially aggregated group-by, and what a task ranks is bins, bounded
+in number, or the distinct values of a single bin.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .counters import COUNTERS_PER_PASS
 from .sharing import shared
 
 QUARTILES = (0.25, 0.75)
-BINS = 65536
+BINS = 4096
 
 
 def exact_quartiles(numbers: DataFrame) -> DataFrame:
@@ -29,12 +30,29 @@ def exact_quartiles(numbers: DataFrame) -> DataFrame:
     known = numbers.where("x is not null and not isnan(x)")
     coarse = known.groupBy("idx", F.expr(root_scale("x")).alias("bin")).agg(*extent())
     target = first_intervals(coarse)
-    fine = within(known, target).groupBy("idx", "q", "rank", linear_bin()).agg(*extent())
-    target = holding_rank(fine, "bin").select("idx", "q", "rank", "low", "high")
-    values = within(known, target).groupBy("idx", "q", "rank", "x").agg(
-        F.count(F.lit(1)).alias("n")
+    fine = (
+        within(known, target)
+        .groupBy("idx", "q", "rank", linear_bin())
+        .agg(*extent())
     )
-    found = shared(holding_rank(values, "x").select("idx", "q", "x"))
+    target = holding_rank(fine, "bin")
+    # Read twice below, by equal plans, so that it is computed once.
+    values = (
+        within(known, target)
+        .groupBy("idx", "q", "rank", "low", "high", "x")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    finer = values.groupBy("idx", "q", "rank", linear_bin()).agg(
+        F.sum("n").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")
+    )
+    last = values.select("idx", "q", "x", "n").join(
+        F.broadcast(renamed(holding_rank(finer, "bin"))),
+        (F.col("idx") == F.col("target_idx"))
+        & (F.col("q") == F.col("target_q"))
+        & (F.col("x") >= F.col("low"))
+        & (F.col("x") <= F.col("high")),
+    )
+    found = shared(ranked(last, "x").select("idx", "q", "x"))
     first, third = (f"max(case when q = {q}D then x end)" for q in QUARTILES)
     return found.groupBy("idx").agg(
         F.expr(f"{first} as q1"), F.expr(f"{third} as q3")
@@ -73,9 +91,8 @@ def first_intervals(coarse: DataFrame) -> DataFrame:
 
 def within(known: DataFrame, target: DataFrame) -> DataFrame:
     """Values inside their column's intervals, of which there are two."""
-    t = F.broadcast(target.withColumnRenamed("idx", "target_idx"))
     return known.join(
-        t,
+        F.broadcast(target.withColumnRenamed("idx", "target_idx")),
         (F.col("idx") == F.col("target_idx"))
         & (F.col("x") >= F.col("low"))
         & (F.col("x") <= F.col("high")),
@@ -98,13 +115,20 @@ def linear_bin() -> Column:
     return F.coalesce(step, F.lit(0)).alias("bin")
 
 
+def renamed(target: DataFrame) -> DataFrame:
+    return target.withColumnsRenamed({"idx": "target_idx", "q": "target_q"})
+
+
 def holding_rank(counted: DataFrame, order: str) -> DataFrame:
-    """The group in which the rank falls, the rank now counted inside it."""
+    """The bin in which the rank falls, the rank now counted inside it."""
+    return ranked(counted, order).select("idx", "q", "rank", "low", "high")
+
+
+def ranked(counted: DataFrame, order: str) -> DataFrame:
     ordered = Window.partitionBy("idx", "q").orderBy(order)
     before = F.sum("n").over(ordered) - F.col("n")
-    return (
-        counted.withColumn("rank", F.col("rank") - before)
-        .where((F.col("rank") >= 1) & (F.col("rank") <= F.col("n")))
+    return counted.withColumn("rank", F.col("rank") - before).where(
+        (F.col("rank") >= 1) & (F.col("rank") <= F.col("n"))
     )
 
 

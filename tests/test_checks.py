@@ -324,3 +324,21 @@ def test_all_findings_share_the_schema(spark):
 def test_unknown_option(spark):
     with pytest.raises(ValueError):
         numeric_text.metrics(column(spark, ["1"], "string"), middle=0.5)
+
+
+def test_unusual_types(spark):
+    row = (
+        "select '{text}' collate UTF8_LCASE as coll, cast('abc' as binary) as bin, "
+        "timestamp'2020-01-01 01:02:03.{micros}' as ts, map('a', 1) as m, "
+        "interval '1' day as i, -3Y as t, cast(null as void) as nothing"
+    )
+    parts = [("Ab", 123456), ("Ab", 123456), ("aB", 123456), ("Ab", 123457)]
+    query = " union all ".join(row.format(text=t, micros=m) for t, m in parts)
+    df = spark.sql(query)
+    # A row that differs by a microsecond is no duplicate; one that differs
+    # only by what its collation ignores is.
+    (found,) = duplicate_rows.findings(df).collect()
+    assert found["occurrences"] == 2
+    assert by_column(case_variants.findings(df))["coll"]["occurrences"] == 1
+    assert set(by_column(empty_columns.findings(df))) == {"nothing"}
+    assert by_column(negative_values.findings(df))["t"]["occurrences"] == 4

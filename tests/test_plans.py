@@ -65,7 +65,15 @@ def test_scans_of_the_whole_suite(spark, faulty):
 
 @pytest.mark.parametrize(
     "check, scans",
-    [("empty_columns", 1), ("case_variants", 2), ("duplicate_rows", 2), ("numeric_text", 2)],
+    [
+        ("empty_columns", 1),
+        ("negative_values", 2),
+        ("case_variants", 2),
+        ("duplicate_rows", 2),
+        ("numeric_text", 2),
+        ("category_dominance", 3),
+        ("iqr_outliers", 5),
+    ],
 )
 def test_scans_of_one_check(spark, faulty, check, scans):
     n = faulty.count()
