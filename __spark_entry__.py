@@ -136,6 +136,23 @@ def samples_of(check: str, source, column: str):
     return query
 
 
+def iqr_approx_ranks(spark, sf_dir):
+    """Whether sketched quartiles have the ranks they may have."""
+    events = read(spark, sf_dir, "events").select("value")
+    found = ops.iqr_outliers.metrics(events, method="approx")
+    cell = found.selectExpr("struct(q1, q3) as quartiles").scalar()
+    ranks = events.withColumn("q", cell).selectExpr(
+        "count_if(value < q.q1) / count(1) as below_q1",
+        "count_if(value <= q.q1) / count(1) as up_to_q1",
+        "count_if(value < q.q3) / count(1) as below_q3",
+        "count_if(value <= q.q3) / count(1) as up_to_q3",
+    )
+    return ranks.selectExpr(
+        "below_q1 <= 0.26 and up_to_q1 >= 0.24 as q1_close",
+        "below_q3 <= 0.76 and up_to_q3 >= 0.74 as q3_close",
+    )
+
+
 def suite_summary(spark, sf_dir):
     return plumbline.summary(lint_seeded(spark, sf_dir))
 
@@ -271,10 +288,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "case_variants_parts": metrics(ops.case_variants, shouted_parts),
         "case_variants_documents": metrics(ops.case_variants, "documents"),
         "case_variants_conversations": metrics(ops.case_variants, "conversations"),
+        "case_variants_capped": metrics(
+            ops.case_variants, shouted_parts, max_distinct=1000
+        ),
         "numeric_text": metrics(ops.numeric_text, seeded, ["pieces"]),
         "numeric_text_documents": metrics(ops.numeric_text, "documents"),
         "numeric_text_pages": metrics(ops.numeric_text, "pages"),
         "iqr_outliers_approx": metrics(ops.iqr_outliers, "events", method="approx"),
+        "iqr_approx_ranks": iqr_approx_ranks,
         "iqr_zero_skipped": metrics(ops.iqr_outliers, "labels"),
         "iqr_outliers_seeded": metrics(ops.iqr_outliers, seeded),
         "negative_values_seeded": metrics(ops.negative_values, seeded),
@@ -338,6 +359,14 @@ def sample_sql(column: str, ranked: str) -> str:
     )
 
 
+def smallest_distinct(column: str, n: int) -> str:
+    """The rows that hold one of the ``n`` smallest distinct values."""
+    return (
+        f"(SELECT {column} FROM {SHOUTED_PARTS} p WHERE {column} IN "
+        f"(SELECT DISTINCT {column} FROM {SHOUTED_PARTS} d ORDER BY 1 LIMIT {n}))"
+    )
+
+
 MESSAGES = {
     "DL001": ("No unnamed column found.", "Unnamed column found."),
     "DL002": ("No entirely empty column found.", "column is entirely empty"),
@@ -432,11 +461,20 @@ def oracle_sql() -> dict[str, str]:
         "case_variants_conversations": sql.case_variants(
             "conversations", sql.STRINGS["conversations"]
         ),
+        "case_variants_capped": sql.union(
+            [
+                sql.case_variants(smallest_distinct(c, 1000), [c])
+                for c in ("p_name", "p_brand")
+            ]
+        ),
         "numeric_text": sql.numeric_text(source, ["pieces"]),
         "numeric_text_documents": sql.numeric_text(
             "documents", sql.STRINGS["documents"]
         ),
         "numeric_text_pages": sql.numeric_text("pages", sql.STRINGS["pages"]),
+        "iqr_approx_ranks": (
+            "SELECT count(*) > 0 AS q1_close, count(*) > 0 AS q3_close FROM events"
+        ),
         "iqr_zero_skipped": sql.iqr_outliers("labels", sql.NUMBERS["labels"]),
         "iqr_outliers_seeded": cubed,
         "negative_values_seeded": sql.negative_values(source, SEEDED_NUMBERS),

@@ -51,7 +51,7 @@ def lint_rows(df: DataFrame, **values: str) -> DataFrame:
     given["idx"] = "idx" if "idx" in df.columns else "-1"
     given |= values
     return df.selectExpr(
-        *[f"cast({given[name]} as {type_}) as {name}" for name, type_ in LINT_TYPES.items()]
+        *[f"cast({given[n]} as {type_}) as {n}" for n, type_ in LINT_TYPES.items()]
     )
 
 
@@ -109,7 +109,9 @@ def with_samples(lints: DataFrame, parts: list[Part]) -> DataFrame:
             for p in users[key]
         )
         each = frame.selectExpr(
-            "check as own", "idx as sample_idx", "sample as own_sample",
+            "check as own",
+            "idx as sample_idx",
+            "sample as own_sample",
             f"inline(array({of}))",
         ).where("own = check")
         found.append(

@@ -122,7 +122,8 @@ def test_two_values_above_a_low_threshold(spark):
 
 
 def test_surplus_copies_are_counted(spark):
-    df = spark.createDataFrame([(1, None)] * 3 + [(2, "x")] * 2 + [(3, "y")], "a int, b string")
+    rows = [(1, None)] * 3 + [(2, "x")] * 2 + [(3, "y")]
+    df = spark.createDataFrame(rows, "a int, b string")
     (row,) = duplicate_rows.findings(df).collect()
     assert (row["status"], row["column"], row["occurrences"]) == ("LINT", None, 3)
     assert row["sample"] == [
