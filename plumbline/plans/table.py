@@ -60,7 +60,7 @@ class Table:
         self.options = options
         self.samples = samples
         self.sample_size = sample_size
-        self._value_groups: dict[tuple[int, ...], DataFrame] = {}
+        self._value_groups: dict[tuple, DataFrame] = {}
 
     @property
     def name(self) -> Column:
@@ -105,7 +105,7 @@ class Table:
                 partners.add(other)
         if "category_dominance" in partners:
             fields = self.text_fields("category_dominance")
-        key = tuple(f.idx for f in fields)
+        key = (frozenset(partners), tuple(f.idx for f in fields))
         if key not in self._value_groups:
             threshold = None
             if "category_dominance" in partners:

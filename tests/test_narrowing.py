@@ -84,6 +84,13 @@ def test_both_together_as_apart(df):
     assert together == apart
 
 
+def test_different_column_options_do_not_mix(spark):
+    df = spark.createDataFrame([("a",), ("A",), ("b",)], "s string")
+    options = {"category_dominance": {"columns": ["s"]}}
+    found = lint(df, ["category_dominance", "case_variants"], options=options).collect()
+    assert [(r["status"], r["occurrences"]) for r in found] == [("OK", 0), ("LINT", 1)]
+
+
 @pytest.mark.parametrize("slots", [None, 1, 16])
 def test_duplicates_by_brute_force(spark, monkeypatch, slots):
     if slots is not None:
