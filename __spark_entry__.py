@@ -22,6 +22,14 @@ import plumbline  # noqa: E402
 from plumbline import operators as ops  # noqa: E402
 from plumbline.storage import ensure_checkpoint_dir  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from plumbline.llm import queries as llm
+except ModuleNotFoundError as e:
+    if e.name not in ("corpus_pipeline", "plumbline.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 TABLES = list(sql.STRINGS)
@@ -348,6 +356,9 @@ def lint_seeded_sql(checks: list[str] | None = None) -> str:
         checks,
         categories=[*SEEDED_STRINGS, "light"],
     )
+    if llm is not None:
+        found |= llm.queries()
+        found["pipeline"] = corpus_pipeline.run
     return found.replace("WITH ", f"WITH seeded AS {seeded_sql()},\n", 1)
 
 
@@ -564,4 +575,8 @@ def oracle_sql() -> dict[str, str]:
         found[f"negative_values_{table}"] = sql.negative_values(
             table, sql.NUMBERS[table]
         )
+    if llm is not None:
+        found |= llm.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL is not None:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
