@@ -334,6 +334,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             found[f"iqr_outliers_{table}"] = metrics(ops.iqr_outliers, table)
     for table in ("customer", "supplier", "lineitem"):
         found[f"negative_values_{table}"] = metrics(ops.negative_values, table)
+    if llm is not None:
+        found |= llm.queries()
+        found["pipeline"] = corpus_pipeline.run
     return found
 
 
@@ -356,9 +359,6 @@ def lint_seeded_sql(checks: list[str] | None = None) -> str:
         checks,
         categories=[*SEEDED_STRINGS, "light"],
     )
-    if llm is not None:
-        found |= llm.queries()
-        found["pipeline"] = corpus_pipeline.run
     return found.replace("WITH ", f"WITH seeded AS {seeded_sql()},\n", 1)
 
 
