@@ -9,12 +9,24 @@ from pyspark.sql import functions as F
 
 from .decontamination import contamination
 from .harmonic_packing import pack
+from .quality_ftrl import quality
+from .rank_language import language
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def labelled(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels")
+    return labels.select("doc_id", F.col(column).alias("label"))
+
+
+def op3_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality(docs, labelled(spark, sf_dir, "quality"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -22,6 +34,10 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_rank_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language(read(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
@@ -70,7 +86,9 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality_ftrl": op3_quality_ftrl,
         "op8_harmonic_packing": op8_harmonic_packing,
+        "op9_rank_language": op9_rank_language,
         "op10_decontamination": op10_decontamination,
     }
 

@@ -104,3 +104,24 @@ def chunks(texts: list[str], size: int = CHUNK):
             first, held = k + 1, 0
     if first < len(texts):
         yield first, len(texts)
+
+
+def shape_table() -> np.ndarray:
+    """Capital, letter or digit; other ASCII bytes stand for themselves."""
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91], table[97:123], table[48:58] = 1, 2, 3
+    table[128:] = 2
+    return table
+
+
+SHAPES = shape_table()
+
+
+def shape_hashes(hasher: Hasher, raw, starts, ends) -> np.ndarray:
+    """Hashes of the words' shapes: kinds of characters, runs told once."""
+    kinds = SHAPES[raw]
+    keep = np.ones(len(kinds), bool)
+    keep[1:] = kinds[1:] != kinds[:-1]
+    keep[starts] = True
+    place = np.cumsum(keep)
+    return hasher.runs(kinds[keep], place[starts] - 1, place[ends - 1])
