@@ -9,14 +9,36 @@ from pyspark.sql import functions as F
 
 from .decontamination import contamination
 from .harmonic_packing import pack
+from .merkle_fixity import audit, warc_records
+from .pii_boosting import KINDS, spans
 from .quality_ftrl import quality
 from .rank_language import language
+from .spot_signatures import fingerprints
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans(read(spark, sf_dir, "documents"))
+    each = F.arrays_zip("kinds", "starts", "ends", "base").alias("each")
+
+    def text(span) -> F.Column:
+        return F.concat_ws(":", span["kinds"], span["starts"], span["ends"])
+
+    def of(kind: str) -> F.Column:
+        return F.size(F.filter(base, lambda s: s["kinds"] == kind)).cast("long")
+
+    base = F.filter("each", lambda s: s["base"])
+    return found.select("doc_id", each).select(
+        "doc_id",
+        *(of(kind).alias(f"n_{kind}") for kind in KINDS),
+        F.sha2(F.array_join(F.transform(base, text), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("each", text), ",").alias("spans"),
+    )
+
+
 def labelled(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels")
     return labels.select("doc_id", F.col(column).alias("label"))
@@ -27,6 +49,27 @@ def op3_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, labelled(spark, sf_dir, "quality"))
 
 
+def replica(pages: DataFrame) -> DataFrame:
+    """The pages as a second archive might hold them: some changed, some lost."""
+    kind = F.crc32(F.col("page_id").cast("string").cast("binary")) % 100
+    html = F.col("html")
+    changed = (
+        F.when(kind < 2, F.translate(html, "ae", "ea"))
+        .when(kind == 2, F.expr("substr(html, 1, length(html) - 7)"))
+        .otherwise(html)
+    )
+    return pages.where(kind != 3).withColumn("html", changed)
+
+
+def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return audit(warc_records(pages), warc_records(replica(pages)))
+
+
+def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,7 +129,10 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii_boosting": op2_pii_boosting,
         "op3_quality_ftrl": op3_quality_ftrl,
+        "op5_merkle_fixity": op5_merkle_fixity,
+        "op6_spot_signatures": op6_spot_signatures,
         "op8_harmonic_packing": op8_harmonic_packing,
         "op9_rank_language": op9_rank_language,
         "op10_decontamination": op10_decontamination,
