@@ -14,6 +14,7 @@ from .pii_boosting import KINDS, spans
 from .quality_ftrl import quality
 from .rank_language import language
 from .spot_signatures import fingerprints
+from .toxicity_cnn import toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -70,6 +71,11 @@ def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity(docs, labelled(spark, sf_dir, "toxic"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -133,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_ftrl": op3_quality_ftrl,
         "op5_merkle_fixity": op5_merkle_fixity,
         "op6_spot_signatures": op6_spot_signatures,
+        "op7_toxicity_cnn": op7_toxicity_cnn,
         "op8_harmonic_packing": op8_harmonic_packing,
         "op9_rank_language": op9_rank_language,
         "op10_decontamination": op10_decontamination,
