@@ -29,7 +29,7 @@ from .words import Hasher, byte_table, chunks, mix
 CHAIN = 2
 FEW = 16
 EMPTY = "-"
-SLICE_ROWS = 8192
+SLICE_ROWS = 2048
 SLICES = 20_000
 LENGTH = 11
 RESULT = (
