@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontamination import contamination
 from .harmonic_packing import pack
 from .merkle_fixity import audit, warc_records
+from .ngram_join import ngram_groups
 from .pii_boosting import KINDS, spans
 from .quality_ftrl import quality
 from .rank_language import language
@@ -50,6 +51,10 @@ def op3_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, labelled(spark, sf_dir, "quality"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_groups(read(spark, sf_dir, "documents"))
+
+
 def replica(pages: DataFrame) -> DataFrame:
     """The pages as a second archive might hold them: some changed, some lost."""
     kind = F.crc32(F.col("page_id").cast("string").cast("binary")) % 100
@@ -137,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pii_boosting": op2_pii_boosting,
         "op3_quality_ftrl": op3_quality_ftrl,
+        "op4_ngram_join": op4_ngram_join,
         "op5_merkle_fixity": op5_merkle_fixity,
         "op6_spot_signatures": op6_spot_signatures,
         "op7_toxicity_cnn": op7_toxicity_cnn,
