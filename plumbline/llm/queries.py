@@ -15,6 +15,7 @@ from .pii_boosting import KINDS, spans
 from .quality_ftrl import quality
 from .rank_language import language
 from .spot_signatures import fingerprints
+from .suffix_boilerplate import main_text
 from .toxicity_cnn import toxicity
 
 
@@ -22,6 +23,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_suffix_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read(spark, sf_dir, "pages"))
+
+
 def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans(read(spark, sf_dir, "documents"))
     each = F.arrays_zip("kinds", "starts", "ends", "base").alias("each")
@@ -140,6 +145,7 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_boilerplate": op1_suffix_boilerplate,
         "op2_pii_boosting": op2_pii_boosting,
         "op3_quality_ftrl": op3_quality_ftrl,
         "op4_ngram_join": op4_ngram_join,
