@@ -9,16 +9,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import release, written
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.harmonic_packing import pack
+from plumbline.llm.ngram_join import ngram_groups
+from plumbline.llm.pii_boosting import redacted
+from plumbline.llm.quality_ftrl import kept as good_enough
+
+# Near duplicates: words in a shingle, and percent of the union in common.
+SHINGLE, PERCENT = 5, 80
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return good_enough(docs, labels.select("doc_id", F.col("quality").alias("label")))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the least id.
+
+    Documents without words are no duplicates. Rows of one id and text are one
+    document.
+    """
+    groups = written(ngram_groups(docs, SHINGLE, PERCENT))
+    release(spark)
+    first = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    first = first.groupBy("doc_id").agg(F.count("*").alias("n"))
+    same = docs["doc_id"].eqNullSafe(first["doc_id"])
+    kept = docs.join(first, same, "left_semi")
+    repeated = not first.where("n > 1").isEmpty()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark text."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contamination(docs, items).where("contaminated").select("doc_id")
-    return docs.join(found.distinct(), "doc_id", "left_anti").select(docs.columns)
+    found = found.distinct()
+    same = docs["doc_id"].eqNullSafe(found["doc_id"])
+    return docs.join(found, same, "left_anti")
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by the names of its kinds."""
+    return redacted(docs)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +64,10 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_classifier", keep_good),
+    ("ngram_jaccard_join", keep_one_of_each),
     ("benchmark_decontamination", decontaminate),
+    ("personal_data", redact),
     ("harmonic_packing", pack_tokens),
 ]
 

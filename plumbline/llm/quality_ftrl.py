@@ -131,19 +131,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarr
     return found
 
 
+def scored(model_weights: np.ndarray, hasher: Hasher, texts: list[str]) -> np.ndarray:
+    sums = np.zeros(len(texts))
+    for first, last in chunks(texts):
+        sizes, found = families(hasher, texts[first:last])
+        for doc, slot in found:
+            sums[first:last] += np.bincount(
+                doc, model_weights[slot], minlength=last - first
+            ) * (SCALE / np.maximum(1, sizes))
+    return 1 / (1 + np.exp(-np.clip(sums + model_weights[-1], -30, 30)))
+
+
 def scorer(model):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, hasher = model.value, Hasher()
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
-            sums = np.zeros(len(texts))
-            for first, last in chunks(texts):
-                sizes, found = families(hasher, texts[first:last])
-                for doc, slot in found:
-                    sums[first:last] += np.bincount(
-                        doc, weights[slot], minlength=last - first
-                    ) * (SCALE / np.maximum(1, sizes))
-            scores = 1 / (1 + np.exp(-np.clip(sums + weights[-1], -30, 30)))
+            scores = scored(weights, hasher, texts)
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
@@ -155,6 +159,22 @@ def scorer(model):
     return score
 
 
+def keeper(model, threshold: float):
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, hasher = model.value, Hasher()
+        for batch in batches:
+            texts = [t or "" for t in batch["text"]]
+            yield batch[scored(weights, hasher, texts) >= threshold]
+
+    return keep
+
+
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that reach ``threshold``, all columns as they were."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    return docs.mapInPandas(keeper(model, threshold), docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted``; ``labels``: ``doc_id, label``."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))

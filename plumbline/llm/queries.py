@@ -62,7 +62,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replica(pages: DataFrame) -> DataFrame:
     """The pages as a second archive might hold them: some changed, some lost."""
-    kind = F.crc32(F.col("page_id").cast("string").cast("binary")) % 100
+    kind = (F.col("page_id") * 7919 + 13) % 100
     html = F.col("html")
     changed = (
         F.when(kind < 2, F.translate(html, "ae", "ea"))
@@ -111,6 +111,59 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id,
+    array_to_string(w[i + 1 : i + least(len(w), 4)], ' ') AS shingle
+  FROM d, unnest(range(greatest(len(w) - 4, 0) + 1)) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * common >= 85 * (x.n + y.n - common)),
+r AS (
+  SELECT doc_id, doc_id AS other FROM d
+  UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id
+"""
+
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+    (page_id * 7919 + 13) % 100 AS kind FROM pages),
+q AS (
+  SELECT page_id, kind, url, html AS one,
+    CASE WHEN kind < 2 THEN translate(html, 'ae', 'ea')
+      WHEN kind = 2 THEN substring(html, 1, length(html) - 7) ELSE html END AS two
+  FROM p),
+h AS (
+  SELECT page_id, kind,
+    concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: response',
+      'WARC-Target-URI: ' || url, 'WARC-Record-ID: <urn:page:' || page_id || '>',
+      'Content-Length: ' || strlen(one)) || repeat(chr(13) || chr(10), 2) || one
+      || repeat(chr(13) || chr(10), 2) AS one,
+    concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: response',
+      'WARC-Target-URI: ' || url, 'WARC-Record-ID: <urn:page:' || page_id || '>',
+      'Content-Length: ' || strlen(two)) || repeat(chr(13) || chr(10), 2) || two
+      || repeat(chr(13) || chr(10), 2) AS two FROM q),
+o AS (
+  SELECT page_id // 4096 AS file, cast(page_id % 4096 AS integer) AS number,
+    cast(coalesce(sum(strlen(one)) OVER (PARTITION BY page_id // 4096 ORDER BY page_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS "offset",
+    cast(strlen(one) AS bigint) AS length, sha256(one) AS expected,
+    CASE WHEN kind <> 3 THEN sha256(two) END AS found,
+    CASE WHEN kind = 3 THEN 'missing' WHEN strlen(one) <> strlen(two) THEN 'resized'
+      ELSE 'altered' END AS fault FROM h)
+SELECT * FROM o WHERE found IS NULL OR found <> expected
+"""
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
@@ -159,4 +212,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": OP10_SQL}
+    return {
+        "op4_ngram_join": OP4_SQL,
+        "op5_merkle_fixity": OP5_SQL,
+        "op10_decontamination": OP10_SQL,
+    }
