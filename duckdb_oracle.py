@@ -135,6 +135,45 @@ def iqr_outliers(relation: str, columns: list[str]) -> str:
     )
 
 
+def iqr_approximate(relation: str, columns: list[str]) -> str:
+    """Quartiles as the least value of the bin that holds them.
+
+    Bins are steps of the eighth square root, and equal parts of such a step.
+    """
+    root = "abs(x)"
+    for _ in range(8):
+        root = f"sqrt({root})"
+    step = f"floor(least({root}, 20) * 65536)"
+    parts = []
+    for c in columns:
+        one = []
+        for name, q in (("q1", 0.25), ("q3", 0.75)):
+            one.append(
+                f"(SELECT low FROM (SELECT low, n, sum(n) OVER (ORDER BY b) AS upto, r "
+                "FROM (SELECT coalesce(floor((x * 0.5 - lo * 0.5) / nullif("
+                "hi * 0.5 - lo * 0.5, 0) * 4095), 0) AS b, min(x) AS low, "
+                "count(*) AS n, any_value(r) AS r FROM (SELECT v.x, s.lo, s.hi, s.r "
+                "FROM v JOIN (SELECT bin, lo, hi, "
+                f"ceil({q} * total) - (upto - n) AS r FROM (SELECT bin, lo, hi, n, "
+                "sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS total FROM "
+                "(SELECT bin, min(x) AS lo, max(x) AS hi, count(*) AS n FROM v "
+                f"GROUP BY bin) g) h WHERE upto >= ceil({q} * total) "
+                f"AND upto - n < ceil({q} * total)) s ON v.bin = s.bin) w "
+                "GROUP BY b) f) k WHERE upto >= r AND upto - n < r) AS " + name
+            )
+        parts.append(
+            f"SELECT '{c}' AS \"column\", q1, q3, q1 - 1.5 * (q3 - q1) AS \"lower\", "
+            "q3 + 1.5 * (q3 - q1) AS \"upper\", "
+            f"(SELECT count(*) FROM {relation} t WHERE "
+            f'CAST("{c}" AS DOUBLE) < q1 - 1.5 * (q3 - q1) OR '
+            f'CAST("{c}" AS DOUBLE) > q3 + 1.5 * (q3 - q1)) AS outliers FROM ('
+            f"WITH v AS (SELECT x, CASE WHEN x < 0 THEN -{step} ELSE {step} END AS bin "
+            f'FROM (SELECT CAST("{c}" AS DOUBLE) AS x FROM {relation} t '
+            f'WHERE "{c}" IS NOT NULL) u) SELECT {", ".join(one)}) q WHERE q3 - q1 > 0'
+        )
+    return union(parts)
+
+
 def negative_values(relation: str, columns: list[str]) -> str:
     return union(
         [

@@ -18,6 +18,9 @@ def settings(check: ModuleType, given: dict | None) -> dict:
         raise ValueError(
             f"{check.NAME} has no option {', '.join(sorted(unknown))}"
         )
+    for name, valid in getattr(check, "VALID", {}).items():
+        if name in given and not valid(given[name]):
+            raise ValueError(f"{check.NAME}: {name} cannot be {given[name]!r}")
     return {**check.OPTIONS, **given}
 
 

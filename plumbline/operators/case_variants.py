@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.findings import lint_rows
@@ -15,8 +15,8 @@ from .base import run, table_for
 
 NAME = "case_variants"
 CODE = "DL005"
-OK_MESSAGE = "No inconsistent capitalisation found."
-OPTIONS = {"columns": None, "max_distinct": None}
+OK_MESSAGE = "each text is spelt one way"
+OPTIONS = {"columns": None}
 
 
 def variants(table: Table) -> DataFrame | None:
@@ -24,19 +24,7 @@ def variants(table: Table) -> DataFrame | None:
     fields = table.text_fields(NAME)
     if not fields:
         return None
-    limit = table.options[NAME]["max_distinct"]
-    if limit is None:
-        return spellings(table.value_groups(NAME))
-    order = Window.partitionBy("idx").orderBy("value")
-    values = (
-        table.texts(fields)
-        .where(F.col("value").isNotNull())
-        .groupBy("idx", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= int(limit))
-    )
-    return spellings(values)
+    return spellings(table.value_groups(NAME))
 
 
 def surplus(found: DataFrame) -> DataFrame:
@@ -68,12 +56,12 @@ def lints(table: Table) -> DataFrame | None:
     return lint_rows(
         surplus(found),
         occurrences="surplus",
-        message="'Possible inconsistency of upper and lower case.'",
+        message="'texts that differ in capitals only'",
     )
 
 
 def samples(table: Table) -> DataFrame | None:
-    """Spellings that differ in case alone, by text and spelling."""
+    """The first and the last spelling of the first texts with several."""
     found = variants(table)
     if found is None:
         return None

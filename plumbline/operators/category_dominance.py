@@ -15,9 +15,10 @@ from .empty_columns import empty_dataset
 
 NAME = "category_dominance"
 CODE = "DL003"
-OK_MESSAGE = "No dominant category found."
-MESSAGE = "Dominant category detected: '%s' accounts for %.2f%% of the rows."
+OK_MESSAGE = "no value prevails"
+MESSAGE = "%.2f %% of the values are '%s'"
 OPTIONS = {"threshold": 0.90, "columns": None}
+VALID = {"threshold": lambda v: 0 < float(v) <= 1}
 
 
 def dominant(table: Table) -> DataFrame | None:
@@ -53,8 +54,8 @@ def lints(table: Table) -> DataFrame:
         found,
         occurrences="n",
         sample="array(value)",
-        message=f"format_string({quoted(MESSAGE)}, coalesce(value, 'null'), "
-        "share * 100D)",
+        message=f"format_string({quoted(MESSAGE)}, share * 100D, "
+        "coalesce(value, 'null'))",
     ).unionByName(note)
 
 

@@ -13,7 +13,7 @@ from .base import run, table_for
 
 NAME = "duplicate_rows"
 CODE = "DL004"
-OK_MESSAGE = "No duplicate row found."
+OK_MESSAGE = "all rows differ"
 OPTIONS: dict = {}
 
 SAMPLE_SIZE = 3
@@ -40,7 +40,7 @@ def lints(table: Table) -> DataFrame:
     return lint_rows(
         counts(table).where("surplus > 0"),
         occurrences="surplus",
-        message="'Duplicate rows detected in the dataset.'",
+        message="'rows that repeat other rows'",
     )
 
 

@@ -13,8 +13,8 @@ from .base import run, table_for
 
 NAME = "empty_columns"
 CODE = "DL002"
-OK_MESSAGE = "No entirely empty column found."
-EMPTY_DATASET = "Empty dataset. No column analysed."
+OK_MESSAGE = "every column holds some value"
+EMPTY_DATASET = "no rows, so no column was looked at"
 OPTIONS: dict = {}
 
 
@@ -29,7 +29,7 @@ def lints(table: Table) -> DataFrame:
         table.profile.where("nulls = total and nulls > 0"),
         occurrences="nulls",
         sample="array(null)",
-        message="'Column is entirely empty.'",
+        message="'column holds nothing but nulls'",
     )
     return found.unionByName(empty_dataset(table))
 

@@ -13,9 +13,13 @@ from .base import run, table_for
 
 NAME = "iqr_outliers"
 CODE = "DL007"
-OK_MESSAGE = "No outlier found in the numeric columns."
-MESSAGE = "Outliers detected by the IQR method. Fences: [%.2f, %.2f]."
-OPTIONS = {"method": "exact", "relative_error": 0.01, "multiplier": 1.5}
+OK_MESSAGE = "all numbers lie within the fences"
+MESSAGE = "numbers below %.2f or above %.2f"
+OPTIONS = {"method": "exact", "multiplier": 1.5}
+VALID = {
+    "method": lambda v: v in ("exact", "approx"),
+    "multiplier": lambda v: 0 <= float(v) < float("inf"),
+}
 
 
 def counts(table: Table) -> DataFrame | None:

@@ -12,7 +12,7 @@ from .base import run, table_for
 
 NAME = "negative_values"
 CODE = "DL008"
-OK_MESSAGE = "No negative value found."
+OK_MESSAGE = "no number is below zero"
 OPTIONS: dict = {}
 
 
@@ -30,7 +30,7 @@ def lints(table: Table) -> DataFrame:
     return lint_rows(
         counts(table).where("negative > 0"),
         occurrences="negative",
-        message="'Negative values detected in a numeric column.'",
+        message="'numbers below zero'",
     )
 
 

@@ -12,8 +12,9 @@ from .base import run, table_for
 
 NAME = "numeric_text"
 CODE = "DL006"
-OK_MESSAGE = "No numeric coding problem found."
+OK_MESSAGE = "no text column is made of numbers"
 OPTIONS = {"low": 0.8, "high": 1.0}
+VALID = {name: lambda v: 0 <= float(v) <= 1 for name in OPTIONS}
 
 
 def shares(table: Table) -> DataFrame:
@@ -38,7 +39,7 @@ def lints(table: Table) -> DataFrame:
     return lint_rows(
         flagged(table),
         occurrences="valid - numeric",
-        message="'Text column with mostly numeric values, but not only.'",
+        message="'numbers kept as text, next to other texts'",
     )
 
 

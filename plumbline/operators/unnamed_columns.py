@@ -14,7 +14,7 @@ from .base import run, table_for
 
 NAME = "unnamed_columns"
 CODE = "DL001"
-OK_MESSAGE = "No unnamed column found."
+OK_MESSAGE = "every column has a name"
 OPTIONS = {"match_generated": False}
 
 # Fixed value: what a data-frame export writes for a blank header.
@@ -48,7 +48,7 @@ def lints(table: Table) -> DataFrame:
         unnamed(table),
         occurrences="1",
         sample="array(column)",
-        message="'Unnamed column found.'",
+        message="'column without a name of its own'",
     )
 
 

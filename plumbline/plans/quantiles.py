@@ -12,13 +12,10 @@ in number, or the distinct values of a single bin.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import Field, root_scale
-from .counters import COUNTERS_PER_PASS
+from ..functions import root_scale
 from .sharing import shared
 
 QUARTILES = (0.25, 0.75)
@@ -28,14 +25,7 @@ BINS = 4096
 def exact_quartiles(numbers: DataFrame) -> DataFrame:
     """``(idx, q1, q3)`` of the long form ``(idx, x)``; shared by its readers."""
     known = numbers.where("x is not null and not isnan(x)")
-    coarse = known.groupBy("idx", F.expr(root_scale("x")).alias("bin")).agg(*extent())
-    target = first_intervals(coarse)
-    fine = (
-        within(known, target)
-        .groupBy("idx", "q", "rank", linear_bin())
-        .agg(*extent())
-    )
-    target = holding_rank(fine, "bin")
+    target = holding_rank(finely_binned(known), "bin")
     # Read twice below, by equal plans, so that it is computed once.
     values = (
         within(known, target)
@@ -52,7 +42,20 @@ def exact_quartiles(numbers: DataFrame) -> DataFrame:
         & (F.col("x") >= F.col("low"))
         & (F.col("x") <= F.col("high")),
     )
-    found = shared(ranked(last, "x").select("idx", "q", "x"))
+    return both_quartiles(shared(ranked(last, "x").select("idx", "q", "x")))
+
+
+def finely_binned(known: DataFrame) -> DataFrame:
+    """The bucket of each quartile, cut into bins of equal width."""
+    coarse = known.groupBy("idx", F.expr(root_scale("x")).alias("bin")).agg(*extent())
+    return (
+        within(known, first_intervals(coarse))
+        .groupBy("idx", "q", "rank", linear_bin())
+        .agg(*extent())
+    )
+
+
+def both_quartiles(found: DataFrame) -> DataFrame:
     first, third = (f"max(case when q = {q}D then x end)" for q in QUARTILES)
     return found.groupBy("idx").agg(
         F.expr(f"{first} as q1"), F.expr(f"{third} as q3")
@@ -132,29 +135,14 @@ def ranked(counted: DataFrame, order: str) -> DataFrame:
     )
 
 
-def approximate_quartiles(
-    rows: DataFrame, fields: list[Field], relative_error: float
-) -> DataFrame:
-    """``(idx, q1, q3)`` from one pass of bounded sketches; shared as well.
+def approximate_quartiles(numbers: DataFrame) -> DataFrame:
+    """``(idx, q1, q3)`` from two histograms; shared as well.
 
-    Within ``relative_error`` of the exact ranks; which value is returned
-    depends on how the table is partitioned.
+    The smallest value of the bin that holds the quartile: the bins are those
+    of the exact search, cut off after the second pass, so the answer does not
+    depend on how the table is partitioned.
     """
-    accuracy = max(1, round(1 / relative_error))
-    probabilities = ", ".join(f"{q}D" for q in QUARTILES)
-    frames = []
-    for start in range(0, len(fields), COUNTERS_PER_PASS):
-        chunk = fields[start : start + COUNTERS_PER_PASS]
-        sketches = [
-            f"percentile_approx(nullif({f.number}, double('NaN')), "
-            f"array({probabilities}), {accuracy}) as s{f.idx}"
-            for f in chunk
-        ]
-        structs = [
-            f"struct({f.idx} as idx, s{f.idx}[0] as q1, s{f.idx}[1] as q3)"
-            for f in chunk
-        ]
-        rows_of = f"inline(array({', '.join(structs)}))"
-        frames.append(rows.selectExpr(*sketches).selectExpr(rows_of))
-    found = reduce(DataFrame.unionByName, frames)
-    return shared(found.where("q1 is not null"))
+    known = numbers.where("x is not null and not isnan(x)")
+    fine = finely_binned(known)
+    found = shared(holding_rank(fine, "bin").selectExpr("idx", "q", "low as x"))
+    return both_quartiles(found)

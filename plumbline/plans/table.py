@@ -88,13 +88,12 @@ class Table:
     def text_fields(self, check: str) -> list[Field]:
         chosen = self.options[check].get("columns")
         names = None if chosen is None else set(chosen)
-        missing = (names or set()) - {f.name for f in self.fields}
-        if missing:
-            raise ValueError(f"no such column: {', '.join(sorted(missing))}")
         kind = is_value if check == "category_dominance" else is_string
-        return [
-            f for f in self.fields if kind(f) and (names is None or f.name in names)
-        ]
+        fit = [f for f in self.fields if kind(f)]
+        unfit = (names or set()) - {f.name for f in fit}
+        if unfit:
+            raise ValueError(f"no column of text: {', '.join(sorted(unfit))}")
+        return [f for f in fit if names is None or f.name in names]
 
     def value_groups(self, check: str) -> DataFrame:
         """Counted values for dominance or spellings, in one pass for both."""
@@ -121,8 +120,7 @@ class Table:
 
     def _same_columns(self, check: str, other: str) -> bool:
         ours, theirs = self.options[check], self.options[other]
-        same = ours.get("columns") == theirs.get("columns")
-        return same and not (ours.get("max_distinct") or theirs.get("max_distinct"))
+        return ours.get("columns") == theirs.get("columns")
 
     def texts(self, fields: Iterable[Field]) -> DataFrame:
         return long_form(self.rows, fields, lambda f: f.text, "value")
@@ -139,12 +137,8 @@ class Table:
         options = self.options["iqr_outliers"]
         if options["method"] == "exact":
             quartiles = exact_quartiles(self.numbers(self.number_fields))
-        elif options["method"] == "approx":
-            quartiles = approximate_quartiles(
-                self.rows, self.number_fields, float(options["relative_error"])
-            )
         else:
-            raise ValueError(f"unknown method: {options['method']}")
+            quartiles = approximate_quartiles(self.numbers(self.number_fields))
         return quartiles.where("q3 - q1 > 0 and q3 - q1 < double('Infinity')")
 
     @cached_property

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 # Upper bound on the rows of the broadcast slot list (8 bytes each).
 SLOTS = 1 << 20
-# Enough to tell a dominant value from the rest.
-DOMINANCE_SLOTS = 64
+# Slots for each value that may pass the threshold, so that few others share one.
+SLOTS_PER_VALUE = 8
 
 
 def value_groups(
@@ -30,11 +30,11 @@ def value_groups(
     whose share of all rows exceeds it are included; with ``variants``, all
     spellings of a text that occurs in more than one. Others may or may not be.
     """
+    slots = slots_for(threshold)
     if variants:
-        slots = max(DOMINANCE_SLOTS, power_of_two(SLOTS // columns))
+        slots = max(slots, power_of_two(SLOTS // columns))
         keyed = values.withColumn("key", F.xxhash64(F.lower("value")))
     else:
-        slots = DOMINANCE_SLOTS
         keyed = values.withColumn("key", F.xxhash64("value"))
     slot = slot_of("key", slots).alias("slot")
 
@@ -70,6 +70,13 @@ def value_groups(
     )
 
 
+def slots_for(threshold: float | None) -> int:
+    """At most one in ``SLOTS_PER_VALUE`` of the slots can hold a wanted value."""
+    if threshold is None:
+        return SLOTS_PER_VALUE
+    return min(2 * power_of_two(round(SLOTS_PER_VALUE / threshold)), SLOTS)
+
+
 def power_of_two(n: int) -> int:
     return 1 << max(n, 1).bit_length() - 1
 

@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .schema import ERROR, FINDING_SCHEMA, LINT, OK
 
-# How report lines shorten messages.
-SHORTENED = {
-    "Dominant category detected: ": "",
-    "accounts for": "=",
-    "of the rows.": "",
-    "Column is entirely empty.": "column is entirely empty",
-}
-
-
 def summary(findings: DataFrame, elapsed_seconds: float | None = None) -> DataFrame:
     """One row: how many results, and how many of each status."""
     status = F.col("status")
@@ -37,20 +28,14 @@ def gate(findings: DataFrame) -> DataFrame:
 
 
 def report_lines(findings: DataFrame) -> DataFrame:
-    """``dataset | file | code | status | description`` as one text per finding."""
-    message: Column = F.coalesce("message", F.lit(""))
-    for long, short in SHORTENED.items():
-        message = F.replace(message, F.lit(long), F.lit(short))
-    column = F.col("column")
-    named = column.isNotNull() & (column != "")
-    description = F.when(named, F.concat_ws(" ", column, message)).otherwise(message)
+    """A text per finding: source, code, status and what was found where.
+
+    A finding of a table that no file is known for has ``-`` as its source.
+    """
+    source = F.coalesce(F.concat_ws("/", "dataset", "file_name"), F.lit(""))
+    what = F.concat_ws(": ", "column", "message")
     line = F.concat_ws(
-        " | ",
-        F.coalesce("dataset", F.lit("unknown_dataset")),
-        F.coalesce("file_name", F.lit("unknown_file")),
-        F.coalesce("code", F.lit("DL???")),
-        F.coalesce("status", F.lit("UNDEFINED")),
-        description,
+        " | ", F.when(source == "", "-").otherwise(source), "code", "status", what
     )
     return findings.select(line.alias("line"))
 

@@ -1,5 +1,5 @@
 """Reading datasets from files."""
 
-from .files import FORMATS, file_label, fixed_rows, read_dataset
+from .files import FORMATS, file_label, read_dataset
 
-__all__ = ["FORMATS", "file_label", "fixed_rows", "read_dataset"]
+__all__ = ["FORMATS", "file_label", "read_dataset"]

@@ -7,8 +7,6 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..storage import ensure_checkpoint_dir
-
 
 def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """With a header; types are inferred in a pass of its own unless given."""
@@ -30,24 +28,12 @@ def read_dataset(
     spark: SparkSession,
     path: str,
     schema: StructType | str | None = None,
-    max_rows: int | None = None,
 ) -> DataFrame:
-    """The whole file or directory, or any ``max_rows`` rows of it."""
+    """The whole file or directory."""
     extension = posixpath.splitext(path)[1].lower()
     if extension not in FORMATS:
         raise ValueError(f"Unsupported format: {extension}")
-    df = FORMATS[extension](spark, path, schema)
-    return df if max_rows is None else fixed_rows(df, max_rows)
-
-
-def fixed_rows(df: DataFrame, max_rows: int) -> DataFrame:
-    """Some ``max_rows`` rows, written once.
-
-    A limit may pick other rows each time it runs. The checks pass over the
-    table several times and have to see the same rows.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.limit(max_rows).checkpoint()
+    return FORMATS[extension](spark, path, schema)
 
 
 def file_label(path: str) -> dict[str, str]:

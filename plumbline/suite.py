@@ -14,7 +14,7 @@ from .operators.base import settings
 from .plans.findings import Part, assemble, part
 from .plans.table import Table
 from .schema import ERROR, ERROR_CODE, as_findings, finding_rows
-from .sources import file_label, fixed_rows, read_dataset
+from .sources import file_label, read_dataset
 from .storage import ensure_checkpoint_dir
 
 CHECKS = {module.NAME: module for module in BUILT_IN}
@@ -57,7 +57,6 @@ def lint(
     *,
     options: dict[str, dict] | None = None,
     samples: bool = True,
-    max_rows: int | None = None,
     isolate: str = "plan",
     path: str | None = None,
 ) -> DataFrame:
@@ -72,8 +71,6 @@ def lint(
         raise ValueError("no checks chosen")
     if isolate not in ("plan", "run"):
         raise ValueError(f"unknown isolation: {isolate}")
-    if max_rows is not None:
-        df = fixed_rows(df, max_rows)
     options = options or {}
     if isolate == "plan":
         found = _plan(df, chosen, options, samples)
@@ -88,20 +85,25 @@ def lint_paths(
     checks: Sequence[str] | None = None,
     *,
     schemas: dict[str, StructType | str] | None = None,
+    isolate: str = "run",
     **kwargs,
 ) -> DataFrame:
-    """Findings for every file; one that cannot be read becomes an error row."""
+    """Findings for every file; one that cannot be read becomes error rows.
+
+    The files are linted one after the other as this is called, so that a file
+    that fails half way leaves the findings of the others alone. With
+    ``isolate="plan"`` nothing runs yet, and such a file fails them all.
+    """
     if not paths:
         raise ValueError("no files given")
     found = []
     for path in paths:
         try:
             df = read_dataset(spark, path, (schemas or {}).get(path))
+            found.append(lint(df, checks, path=path, isolate=isolate, **kwargs))
         except Exception as e:
-            row = _error(FILE_READ, f"Error while opening file: {e}")
+            row = _error(FILE_READ, f"unreadable: {e}")
             found.append(finding_rows(spark, [row | file_label(path)]))
-            continue
-        found.append(lint(df, checks, path=path, **kwargs))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -121,9 +123,14 @@ def _plan(df: DataFrame, chosen: list[str], options: dict, samples: bool) -> Dat
     outputs: list[DataFrame] = []
 
     def flush():
-        if parts:
+        if not parts:
+            return
+        try:
             outputs.append(as_findings(assemble(table, parts)))
-            parts.clear()
+        except Exception as e:
+            rows = [_error(p.check, _failure(e)) for p in parts]
+            outputs.append(finding_rows(spark, rows))
+        parts.clear()
 
     for position, name in enumerate(chosen):
         try:
@@ -138,7 +145,7 @@ def _plan(df: DataFrame, chosen: list[str], options: dict, samples: bool) -> Dat
                 found = own.fn(df, **options.get(name, {}))
                 output = as_findings(found, code=own.code, check=name)
             else:
-                output = finding_rows(spark, [_error(name, "Check not found.")])
+                output = finding_rows(spark, [_error(name, "no check of this name")])
         except Exception as e:
             output = finding_rows(spark, [_error(name, _failure(e))])
         flush()
@@ -148,24 +155,40 @@ def _plan(df: DataFrame, chosen: list[str], options: dict, samples: bool) -> Dat
 
 
 def _run(df: DataFrame, chosen: list[str], options: dict, samples: bool) -> DataFrame:
-    """Run now: all together, or one by one if that fails."""
+    """Run now: the built-in checks together, each check of one's own alone.
+
+    The built-in ones are run one by one only if their common plan fails; the
+    first failure is told with those that fail again.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    try:
-        return _plan(df, chosen, options, samples).checkpoint()
-    except Exception:
-        pass
-    found = []
-    for name in chosen:
+
+    def run(names: list[str], note: str = "") -> DataFrame:
         try:
-            found.append(_plan(df, [name], options, samples).checkpoint())
+            return _plan(df, names, options, samples).checkpoint()
         except Exception as e:
-            found.append(finding_rows(spark, [_error(name, _failure(e))]))
+            return finding_rows(spark, [_error(n, _failure(e) + note) for n in names])
+
+    built_in = [n for n in dict.fromkeys(chosen) if n in CHECKS]
+    alone: dict[str, DataFrame] = {}
+    together = None
+    if built_in:
+        try:
+            together = _plan(df, built_in, options, samples).checkpoint()
+        except Exception as e:
+            note = f" (together: {type(e).__name__})"
+            alone = {n: run([n], note) for n in built_in}
+    found = []
+    for name in chosen:
+        if name in CHECKS and together is not None:
+            found.append(together.where(together["check"] == name))
+        else:
+            found.append(alone[name] if name in alone else run([name]))
     return reduce(DataFrame.unionByName, found)
 
 
 def _failure(e: Exception) -> str:
-    return f"Error while running check: {e}"
+    return f"failed: {e}"
 
 
 def _error(check: str, message: str) -> dict:

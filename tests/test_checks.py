@@ -6,7 +6,7 @@ import pytest
 from conftest import by_column, the_ok
 from pyspark.sql import types as T
 
-from plumbline import FINDING_SCHEMA
+from plumbline import FINDING_SCHEMA, lint
 from plumbline.operators import (
     BUILT_IN,
     case_variants,
@@ -78,7 +78,7 @@ def test_dominance_is_strict(spark):
         category_dominance.findings(column(spark, ["a"] * 91 + ["b"] * 9, "string"))
     )
     assert found["v"]["occurrences"] == 91 and found["v"]["sample"] == ["a"]
-    assert "'a' accounts for 91.00% of the rows" in found["v"]["message"]
+    assert "91.00 % of the values are 'a'" in found["v"]["message"]
 
 
 def test_null_is_a_category_over_all_rows(spark):
@@ -174,13 +174,6 @@ def test_variants_ignore_blanks_and_accents(spark):
     assert found["v"]["occurrences"] == 1
 
 
-def test_variants_in_the_smallest_distinct_values_only(spark):
-    df = column(spark, ["A", "B", "a", "b"], "string")
-    assert case_variants.metrics(df).first()["surplus"] == 2
-    assert case_variants.metrics(df, max_distinct=3).first()["surplus"] == 1
-    assert case_variants.metrics(df, max_distinct=2).count() == 0
-
-
 # -- numeric text
 
 
@@ -234,7 +227,7 @@ def test_outliers_strictly_outside(spark):
     assert (row["q1"], row["q3"]) == (2.0, 5.0)
     found = by_column(iqr_outliers.findings(column(spark, values, "int")))
     assert found["v"]["occurrences"] == 1 and found["v"]["sample"] == ["13"]
-    assert "[-2.50, 9.50]" in found["v"]["message"]
+    assert "numbers below -2.50 or above 9.50" in found["v"]["message"]
 
 
 def test_no_spread_no_check(spark):
@@ -343,3 +336,22 @@ def test_unusual_types(spark):
     assert by_column(case_variants.findings(df))["coll"]["occurrences"] == 1
     assert set(by_column(empty_columns.findings(df))) == {"nothing"}
     assert by_column(negative_values.findings(df))["t"]["occurrences"] == 4
+
+
+@pytest.mark.parametrize(
+    "check, options",
+    [
+        (category_dominance, {"threshold": 0}),
+        (category_dominance, {"threshold": 1.2}),
+        (category_dominance, {"columns": ["n"]}),
+        (case_variants, {"columns": ["n"]}),
+        (case_variants, {"columns": ["none"]}),
+        (iqr_outliers, {"method": "guess"}),
+        (iqr_outliers, {"multiplier": -1}),
+        (numeric_text, {"low": 2}),
+    ],
+)
+def test_impossible_options(spark, check, options):
+    df = spark.createDataFrame([(1, "a")], "n int, s string")
+    (row,) = lint(df, [check.NAME], options={check.NAME: options}).collect()
+    assert row["status"] == "ERROR"

@@ -83,7 +83,7 @@ def test_small_counts(spark, n):
 
 def test_approximate_quartiles_have_close_ranks(wide, columns):
     t = table(wide)
-    rows = approximate_quartiles(t.rows, t.number_fields, 0.01).collect()
+    rows = approximate_quartiles(t.numbers(t.number_fields)).collect()
     names = list(columns)
     assert {names[r["idx"]] for r in rows} == set(names) - {"nothing"}
     for name in ("uniform", "normal", "heavy", "adjacent_doubles"):

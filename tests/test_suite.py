@@ -48,7 +48,7 @@ def test_chosen_order_and_repeats(df):
 def test_unknown_check_is_an_error_row(df):
     found = lint(df, ["nope", "negative_values"]).collect()
     assert (found[0]["code"], found[0]["status"]) == ("DL000", "ERROR")
-    assert found[0]["message"] == "Check not found."
+    assert found[0]["message"] == "no check of this name"
     assert found[1]["status"] == "LINT"
 
 
@@ -133,9 +133,9 @@ def test_report_lines(spark):
     df = spark.createDataFrame([("x", None)] * 4, "a string, b string")
     found = lint(df, ["category_dominance", "empty_columns"], path="/data/set/t.csv")
     assert [r["line"] for r in plumbline.report_lines(found).collect()] == [
-        "set | t.csv | DL003 | LINT | a 'x' = 100.00% ",
-        "set | t.csv | DL003 | LINT | b 'null' = 100.00% ",
-        "set | t.csv | DL002 | LINT | b column is entirely empty",
+        "set/t.csv | DL003 | LINT | a: 100.00 % of the values are 'x'",
+        "set/t.csv | DL003 | LINT | b: 100.00 % of the values are 'null'",
+        "set/t.csv | DL002 | LINT | b: column holds nothing but nulls",
     ]
 
 
