@@ -53,12 +53,13 @@ def warc_records(pages: DataFrame, per_file: int = 4096) -> DataFrame:
 
 def leaves(records: DataFrame) -> DataFrame:
     """``file, level, number, hash, length``, a row for each record."""
+    record = F.coalesce(F.col("record"), F.lit(""))
     return (
         records.select(
             "file",
             "number",
-            F.sha2("record", 256).alias("hash"),
-            F.octet_length("record").cast("long").alias("length"),
+            F.sha2(record, 256).alias("hash"),
+            F.octet_length(record).cast("long").alias("length"),
         )
         .groupBy("file", "number")
         .agg(

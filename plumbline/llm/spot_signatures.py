@@ -111,7 +111,7 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return found if found >= least else 0.0
 
 
-def bounds(docs: DataFrame, rows: int = SLICE_ROWS) -> tuple[int, list[int]]:
+def bounds(docs: DataFrame, rows: int) -> tuple[int, list[int]]:
     """How often an id is null, and ids that part the table into slices.
 
     Slices hold some ``rows`` documents, more where there would be over
@@ -126,13 +126,13 @@ def bounds(docs: DataFrame, rows: int = SLICE_ROWS) -> tuple[int, list[int]]:
     return n_rows - n_ids, sorted(set(docs.select(at).first()[0]))
 
 
-def in_order(docs: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
+def in_order(docs: DataFrame, rows: int | None = None) -> DataFrame:
     """``slice, doc_id, text, copied``: each slice sorted, then the next's first.
 
     A bound is an id of the table, so it is known which documents are first in
     their slices; those are sent to two slices. The texts are shuffled once.
     """
-    nulls, starts = bounds(docs, rows)
+    nulls, starts = bounds(docs, rows or SLICE_ROWS)
     first = None if nulls else docs.agg(F.min("doc_id")).first()[0]
     n = len(starts) + 1
 

@@ -1,0 +1,139 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+from llm_fixtures import docs, with_clashing_names  # noqa: F401
+
+from plumbline.llm import quality_ftrl, rank_language, toxicity_cnn
+from plumbline.llm.words import Hasher
+
+LABELS = "doc_id long, label int"
+
+
+def held(doc, folds):
+    return zlib.crc32(str(doc).encode()) % folds
+
+
+def junk(rng, words):
+    kind = rng.randrange(3)
+    if kind == 0:
+        return " ".join(w.upper() + "!!" for w in words)
+    if kind == 1:
+        return " | ".join(words)
+    return " ".join(w + rng.choice(["***", "%%%"]) for w in words)
+
+
+def prose(rng, n):
+    return ["".join(rng.choice("abcdeilnorst") for _ in range(rng.randrange(2, 9))) for _ in range(n)]
+
+
+def accuracy(found, labels, folds=5):
+    own = [r for r in found if r["doc_id"] in labels and held(r["doc_id"], folds) == 0]
+    assert all(r["held_out"] for r in own) and len(own) > 20
+    return np.mean([r["predicted"] == labels[r["doc_id"]] for r in own])
+
+
+def test_word_hashes_are_those_of_single_words():
+    hasher = Hasher()
+    texts = ["One two", "", "two  ONE\nétoile", " "]
+    doc, word, start, end, raw = hasher.words(texts)
+    assert doc.tolist() == [0, 0, 2, 2, 2]
+    alone = [Hasher().words([w])[1][0] for w in ("one", "two", "two", "one", "étoile")]
+    assert word.tolist() == [int(a) for a in alone]
+    assert bytes(raw[start[4] : end[4]]).decode() == "étoile"
+    assert len(hasher.words([])[0]) == 0
+
+
+def test_quality_by_held_out_accuracy(spark, docs):
+    rng = random.Random(3)
+    rows, labels = [], {}
+    for k in range(500):
+        words = prose(rng, rng.randrange(8, 60))
+        labels[k] = int(rng.random() < 0.7)
+        rows.append((k, " ".join(words) if labels[k] else junk(rng, words)))
+    marked = spark.createDataFrame([*labels.items(), (9999, None)], LABELS)
+    found = quality_ftrl.quality(with_clashing_names(docs(rows)), marked).collect()
+    assert accuracy(found, labels) > 0.95
+    kept = quality_ftrl.kept(docs(rows), marked)
+    assert kept.columns == docs(rows).columns
+    good = {r["doc_id"] for r in found if r["predicted"] == 1}
+    assert {r["doc_id"] for r in kept.collect()} == good
+
+
+def test_toxicity_by_held_out_accuracy(spark, docs):
+    rng = random.Random(4)
+    rows, labels = [], {}
+    for k in range(500):
+        words = prose(rng, rng.randrange(20, 80))
+        labels[k] = int(rng.random() < 0.3)
+        if labels[k]:
+            bad = "zorg" + rng.choice(["", "s", "ing", "ed", "er"])
+            words.insert(rng.randrange(len(words)), rng.choice([bad, "Grumf"]))
+        rows.append((k, " ".join(words)))
+    marked = spark.createDataFrame(list(labels.items()), LABELS)
+    found = toxicity_cnn.toxicity(with_clashing_names(docs(rows)), marked).collect()
+    assert accuracy(found, labels) > 0.9
+
+
+def test_margins_of_many_texts_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(toxicity_cnn, "WORDS_AT_ONCE", 7)
+    rng, hasher = random.Random(5), Hasher()
+    texts = [" ".join(prose(rng, n)) for n in (0, 1, 2, 3, 20, 5, 0, 9)]
+    net = toxicity_cnn.Network()
+    doc, _, ids = toxicity_cnn.slots(hasher, texts)
+    together = net.margins(doc, ids, len(texts))
+    for k, text in enumerate(texts):
+        _, top, _ = net.pooled(toxicity_cnn.slots(hasher, [text])[2])
+        assert together[k] == pytest.approx(top @ net.p["out"], abs=1e-4)
+
+
+def test_thresholds_part_the_classes():
+    margin, label = np.array([0.1, 3.0, 0.2, 2.0]), np.array([0, 1, 0, 1])
+    assert 0.2 < toxicity_cnn.cut(margin, label) < 2.0
+
+
+def test_language_by_held_out_accuracy(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = {r["doc_id"]: r for r in rank_language.language(docs).collect()}
+    true = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    own = [d for d in found if held(d, 4) == 2]
+    assert all(found[d]["held_out"] for d in own)
+    assert np.mean([found[d]["lang_pred"] == true[d] for d in own]) > 0.9
+    assert all(0 <= r["score"] <= 1 for r in found.values())
+
+
+def test_profiles_are_ranked_by_counts_then_slots():
+    counts = np.zeros(rank_language.SLOTS, np.int64)
+    counts[[5, 9, 2]] = [3, 7, 3]
+    assert rank_language.ranked(counts).tolist() == [9, 2, 5]
+    assert len(rank_language.ranked(np.zeros(rank_language.SLOTS, np.int64))) == 0
+
+
+ODD = [
+    (1, None),
+    (2, ""),
+    (3, "12 34 --"),
+    (None, "no id here"),
+    (5, "word " * 40_000),
+    (6, "same"),
+    (6, "same"),
+]
+
+
+def test_odd_rows(spark, docs):
+    none = spark.createDataFrame([], LABELS)
+    one = spark.createDataFrame([(5, 1), (6, None)], LABELS)
+    for labels in (none, one):
+        for score in (quality_ftrl.quality, toxicity_cnn.toxicity):
+            rows = score(with_clashing_names(docs(ODD)), labels).collect()
+            assert len(rows) == len(ODD)
+            assert all(0 <= r["score"] <= 1 for r in rows)
+            assert len({r["score"] for r in rows if r["doc_id"] == 6}) == 1
+            assert score(docs([]), labels).count() == 0
+    tagged = docs([(*r, "xx", None, None) for r in ODD[3:]] + [(*r, None, None, None) for r in ODD[:3]])
+    found = rank_language.language(with_clashing_names(tagged)).collect()
+    langs = {r["doc_id"]: (r["lang_pred"], r["score"] > 0) for r in found}
+    assert [langs[k] for k in (1, 2, 3)] == [("und", False)] * 3
+    assert langs[5] == ("xx", True) and len(found) == len(ODD)
+    assert {r["lang_pred"] for r in rank_language.language(docs(ODD)).collect()} == {"und"}
