@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import duckdb_oracle as sql  # noqa: E402
 import plumbline  # noqa: E402
 from plumbline import operators as ops  # noqa: E402
-from plumbline.storage import ensure_checkpoint_dir  # noqa: E402
+from plumbline.storage import SETTING, ensure_checkpoint_dir  # noqa: E402
 
 try:
     import corpus_pipeline
@@ -115,6 +116,15 @@ def shouted_rows(table: str):
     return rows
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """A session of one machine gets a folder of its own if it names none."""
+    if spark.conf.get(SETTING, None) is None and spark.sparkContext.master.startswith(
+        ("local[", "local,")
+    ):
+        spark.conf.set(SETTING, tempfile.mkdtemp(prefix="plumbline-"))
+    return spark
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -358,7 +368,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     if llm is not None:
         found |= llm.queries()
         found["pipeline"] = corpus_pipeline.run
-    return found
+    return {name: with_folder(query) for name, query in found.items()}
+
+
+def with_folder(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(prepared(spark), sf_dir)
 
 
 # -- oracle ----------------------------------------------------------------

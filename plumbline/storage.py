@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names.
-
-    Only a local session without one gets a temporary folder; on a cluster a
-    folder of the driver's machine would be of no use to the executors.
-    """
+    """The folder that the session or its context names; all executors share it."""
     context = spark.sparkContext
     named = spark.conf.get(SETTING, None)
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
-    if context.getCheckpointDir() is not None:
-        return context.getCheckpointDir()
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"set {SETTING} to a folder all executors can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
-    return context.getCheckpointDir()
+    if named is None:
+        named = context.getCheckpointDir()
+    if not named:
+        raise RuntimeError(f"set {SETTING} to a folder that all executors share")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
