@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (
     Field,
+    fences,
     is_filled,
     is_number,
     is_numeric_text,
@@ -20,7 +21,7 @@ from ..functions import (
     outside,
     positional,
 )
-from .counters import profile
+from .counters import COUNTERS_PER_PASS, profile
 from .duplicates import duplicate_groups
 from .quantiles import approximate_quartiles, exact_quartiles
 from .samples import smallest
@@ -143,14 +144,36 @@ class Table:
 
     @cached_property
     def outliers(self) -> DataFrame:
-        """``(idx, q1, q3, outliers)`` of the same columns."""
-        far = outside("x", self.options["iqr_outliers"]["multiplier"])
-        return shared(
-            self.numbers(self.number_fields)
-            .join(F.broadcast(self.fences), "idx")
-            .groupBy("idx", "q1", "q3")
-            .agg(F.expr(f"count_if({far}) as outliers"))
-        )
+        """``(idx, q1, q3, outliers)`` of the same columns.
+
+        The fences are one cell, so that a wide aggregate counts every column.
+        """
+        lower, upper = fences(self.options["iqr_outliers"]["multiplier"])
+        counted = []
+        for start in range(0, len(self.number_fields), COUNTERS_PER_PASS):
+            chunk = self.number_fields[start : start + COUNTERS_PER_PASS]
+            ends = [
+                f"max(case when idx = {f.idx} then {end} end) as {name}{f.idx}"
+                for f in chunk
+                for name, end in (("low", lower), ("high", upper))
+            ]
+            cell = self.fences.selectExpr(*ends).selectExpr("struct(*) as cell")
+            wide = self.rows.select(
+                *[f.col for f in chunk], cell.scalar().alias("fence")
+            )
+            aggregates = [
+                f"count_if(({f.number}) < fence.low{f.idx} "
+                f"or ({f.number}) > fence.high{f.idx}) as n{f.idx}"
+                for f in chunk
+            ]
+            structs = ", ".join(
+                f"struct({f.idx} as idx, n{f.idx} as outliers)" for f in chunk
+            )
+            counted.append(
+                wide.selectExpr(*aggregates).selectExpr(f"inline(array({structs}))")
+            )
+        counts = reduce(DataFrame.unionByName, counted)
+        return shared(counts.join(F.broadcast(self.fences), "idx"))
 
     def numbers(self, fields: list[Field], keep: Iterable[str] = ()) -> DataFrame:
         return long_form(self.rows, fields, lambda f: f.number, "x", keep)
