@@ -2,7 +2,6 @@ import hashlib
 import random
 
 from llm_fixtures import docs, with_clashing_names  # noqa: F401
-from pyspark.sql import functions as F
 
 from plumbline.llm import merkle_fixity, spot_signatures
 from plumbline.llm.suffix_boilerplate import (
@@ -178,4 +177,3 @@ def test_likeness_of_fingerprints(docs):
     assert found[2]["near_next"] == len(a & b) / len(a | b)
     assert answers(spot_signatures.fingerprints(docs([(7, "only one")]))) == brute([(7, "only one")])
     assert spot_signatures.fingerprints(docs([])).count() == 0
-    assert F is not None
