@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +13,17 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; an error where it is unset."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where it is unset, a session of a single machine gets one of its own, and
+    any other an error.
+    """
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        raise RuntimeError(f"set {SETTING} to a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"set {SETTING} to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="llm-")
+        spark.conf.set(SETTING, named)
     return named
 
 
@@ -37,6 +46,26 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bitmap(hashes: DataFrame, bits: int):
+    """A bit for each slot that a value of the only column falls in, in numpy.
+
+    At most ``bits / 64`` rows come to the driver, whatever the table holds.
+    """
+    import numpy as np
+
+    (name,) = hashes.columns
+    slot = F.pmod(F.col(name), F.lit(bits)).alias("slot")
+    cells = (
+        hashes.select(slot)
+        .groupBy(F.expr("cast(slot div 64 as int)").alias("cell"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("set"))
+        .toPandas()
+    )
+    found = np.zeros(bits // 64, np.int64)
+    found[cells["cell"].to_numpy(np.int64)] = cells["set"].to_numpy(np.int64)
+    return found
+
+
 def fold(column: str, folds: int):
     """crc32 of an integer column as text, modulo ``folds``; null is fold 0."""
     text = F.col(column).cast("string")
@@ -51,3 +80,15 @@ def sampled(ids: DataFrame, column: str, rows: int) -> DataFrame:
     """
     order = F.xxhash64(F.col(column))
     return ids.orderBy(order, F.col(column)).limit(rows)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Python workers get at most ``rows`` rows at once for what runs within."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -34,13 +34,14 @@ are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import bitmap, release, small_batches, written
 from .components import components
 from .words import Hasher, chunks, mix
 
@@ -50,7 +51,9 @@ SPARE = 1.25
 CHANCE = 0.02
 PAIR_COST = 4.0
 BLOCK = 1024
+COMPARED = 1 << 21
 FILTER_BITS = 1 << 22
+KEY_BITS = 1 << 25
 
 
 class Rule:
@@ -196,43 +199,32 @@ def index_keys(sets: Sets, plans, rule: Rule):
 # -- passes over the texts ---------------------------------------------------
 
 
-def noder(rule: Rule):
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            sizes, nodes = [], []
-            for first, last in chunks(texts):
-                sets = Sets(hasher, texts[first:last], rule.words)
-                sizes.append(sets.size)
-                nodes.append(sets.nodes())
-            if texts:
-                yield pd.DataFrame(
-                    {
-                        "doc_id": batch["doc_id"],
-                        "n_shingles": np.concatenate(sizes),
-                        "node": np.concatenate(nodes),
-                    }
-                )
-
-    return find
+def indexer(rule: Rule, plans):
+    """``doc_id, n_shingles, node, keys`` of every text."""
 
-
-def keyer(rule: Rule, plans):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, seen = Hasher(), set()
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             for first, last in chunks(texts):
                 sets = Sets(hasher, texts[first:last], rule.words)
-                nodes = sets.nodes()
+                nodes, sizes = sets.nodes(), sets.size.copy()
                 # Equal sets are indexed once by each task.
                 for k, node in enumerate(nodes.tolist()):
                     if node in seen:
                         sets.size[k] = 0
                     seen.add(node)
                 owner, key = index_keys(sets, plans, rule)
-                yield pd.DataFrame({"key": key, "node": nodes[owner]})
+                key = key[np.argsort(owner, kind="stable")]
+                ends = np.cumsum(np.bincount(owner, minlength=last - first))
+                yield pd.DataFrame(
+                    {
+                        "doc_id": batch["doc_id"].iloc[first:last].to_numpy(),
+                        "n_shingles": sizes,
+                        "node": nodes,
+                        "keys": np.split(key, ends[:-1]),
+                    }
+                )
 
     return find
 
@@ -255,6 +247,24 @@ def verifier(rule: Rule):
     return verify
 
 
+def screener(rule: Rule):
+    def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            apart = np.array(
+                [
+                    (np.frombuffer(a, np.uint32) != np.frombuffer(b, np.uint32)).sum()
+                    for a, b in zip(batch["sketch_a"], batch["sketch_b"])
+                ],
+                np.int64,
+            )
+            a, b = batch["size_a"].to_numpy(), batch["size_b"].to_numpy()
+            may = apart <= rule.differ(a + b)
+            may &= 100 * np.minimum(a, b) >= rule.percent * np.maximum(a, b)
+            yield batch.loc[may, ["a", "b"]]
+
+    return screen
+
+
 def sketcher(rule: Rule, plans):
     """``node, octave, size, sketch``: all segments as 32-bit hashes."""
 
@@ -283,30 +293,68 @@ def sketcher(rule: Rule, plans):
     return find
 
 
+def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``first[k], first[k] + 1, ...``, ``size[k]`` of them, for every ``k``."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def allowed(rule: Rule, rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of whole blocks that may link, from their sketches.
+
+    ``rows`` are sorted by block, those that are set aside last in each.
+    """
+    block = rows[["key", "i", "j"]].to_numpy()
+    new = np.append(True, (block[1:] != block[:-1]).any(1))
+    start = np.flatnonzero(new)
+    number = np.cumsum(new) - 1
+    aside = rows["aside"].to_numpy(bool)
+    others = np.bincount(number, ~aside, minlength=len(start)).astype(np.int64)
+    size = rows["sketch"].map(len).to_numpy() // 4
+    first = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(rows["sketch"]), np.uint32)
+    node, group = rows["node"].to_numpy(), rows["component"].to_numpy()
+    count = rows["size"].to_numpy()
+    out = np.flatnonzero(aside)
+    cost = np.cumsum(others[number[out]] * size[out])
+    found = []
+    for part in np.split(out, np.searchsorted(cost, np.arange(COMPARED, cost[-1], COMPARED)) if len(out) else []):
+        if not len(part):
+            continue
+        n = others[number[part]]
+        left, right = np.repeat(part, n), ragged(start[number[part]], n)
+        small = np.minimum(count[left], count[right])
+        use = (group[left] != group[right]) & (
+            100 * small >= rule.percent * np.maximum(count[left], count[right])
+        )
+        left, right = left[use], right[use]
+        if not len(left):
+            continue
+        m = size[left]
+        differ = flat[ragged(first[left], m)] != flat[ragged(first[right], m)]
+        apart = np.add.reduceat(differ, np.cumsum(m) - m, dtype=np.int64)
+        use = apart <= rule.differ(count[left] + count[right])
+        pair = np.stack([node[left[use]], node[right[use]]], 1)
+        found.append(np.sort(pair, axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pd.DataFrame(pairs, columns=["a", "b"])
+
+
 def blocks_compared(rule: Rule):
-    """Pairs of one block of a bucket that may link, from their sketches."""
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", kind="stable")
-        out = rows[rows["aside"]]
-        every = rows[~rows["aside"]]
-        found = []
-        if len(out) and len(every):
-            right = np.stack([np.frombuffer(s, np.uint32) for s in every["sketch"]])
-            nodes, groups = every["node"].to_numpy(), every["component"].to_numpy()
-            sizes = every["size"].to_numpy()
-            for node, group, size, sketch in zip(
-                out["node"], out["component"], out["size"], out["sketch"]
-            ):
-                apart = (right != np.frombuffer(sketch, np.uint32)).sum(1)
-                small, large = np.minimum(sizes, size), np.maximum(sizes, size)
-                may = (
-                    (groups != group)
-                    & (apart <= rule.differ(sizes + size))
-                    & (100 * small >= rule.percent * large)
-                )
-                found += [(min(node, o), max(node, o)) for o in nodes[may]]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            # The last block may go on in the next batch.
+            last = rows[["key", "i", "j"]].to_numpy()
+            whole = int((last != last[-1]).any(1).sum())
+            held = rows.iloc[whole:]
+            if whole:
+                yield allowed(rule, rows.iloc[:whole])
+        if held is not None:
+            yield allowed(rule, held)
 
     return compare
 
@@ -319,31 +367,26 @@ class Join:
         self.docs = docs.select("doc_id", "text")
         self.rule = rule
         self.spark = docs.sparkSession
-        self.nodes = written(
+        # As if all documents were of one octave, for none has more.
+        total = docs.count()
+        self.plans = [rule.plan(k, total) for k in range(OCTAVES)]
+        self.sets = written(
             self.docs.mapInPandas(
-                noder(rule), "doc_id long, n_shingles long, node long"
+                indexer(rule, self.plans),
+                "doc_id long, n_shingles long, node long, keys array<long>",
             )
         )
+        self.nodes = self.sets.drop("keys")
 
-    def plans(self) -> list[tuple[int, bool]]:
-        """The way each octave is indexed, by how many sets it has."""
-        octave = F.floor(F.log2(F.col("n_shingles") / LEAST)).alias("octave")
-        counts = dict(
-            self.nodes.where(F.col("n_shingles") >= LEAST)
-            .groupBy(octave)
-            .agg(F.approx_count_distinct("node"))
-            .collect()  # one row for each octave
-        )
-        return [
-            self.rule.plan(k, counts.get(k, 0) + counts.get(k - 1, 0) / 4)
-            for k in range(OCTAVES)
-        ]
-
-    def live(self, plans) -> DataFrame:
-        """``key, node, low, high, n``: the buckets with more than one node."""
-        keys = self.docs.mapInPandas(keyer(self.rule, plans), "key long, node long")
-        heads = (
-            keys.groupBy("key")
+    def live(self) -> tuple[DataFrame, DataFrame]:
+        """Buckets of more than one node, and the members of larger ones.
+
+        ``key, low, high, n``, and ``key, node, low, high`` where ``n`` is over
+        two; a bitmap of fixed size keeps most other keys from being shuffled.
+        """
+        heads = written(
+            self.sets.select(F.explode("keys").alias("key"), "node")
+            .groupBy("key")
             .agg(
                 F.min("node").alias("low"),
                 F.max("node").alias("high"),
@@ -351,7 +394,20 @@ class Join:
             )
             .where("low < high")
         )
-        return written(keys.join(heads, "key").distinct())
+        release(self.spark)
+        large = heads.where("n > 2")
+        held = self.spark.sparkContext.broadcast(bitmap(large.select("key"), KEY_BITS))
+
+        @F.pandas_udf("array<long>")
+        def marked(keys: pd.Series) -> pd.Series:
+            found = []
+            for k in keys:
+                at = np.asarray(k, np.int64) & (KEY_BITS - 1)
+                found.append(k[(held.value[at >> 6] >> (at & 63)) & 1 == 1])
+            return pd.Series(found)
+
+        members = self.sets.select(F.explode(marked("keys")).alias("key"), "node")
+        return heads, written(members.join(large.drop("n"), "key"))
 
     def texts(self, wanted: DataFrame) -> DataFrame:
         """``node, text`` of the nodes ``wanted``, from one document of each.
@@ -365,15 +421,7 @@ class Join:
             .join(wanted.distinct(), "node", "left_semi")
         )
         one = written(one)
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-        cells = (
-            one.select(slot.alias("slot"))
-            .groupBy(F.expr("cast(slot div 64 as int)").alias("cell"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("set"))
-            .collect()  # at most FILTER_BITS / 64 rows
-        )
-        bits = np.zeros(FILTER_BITS // 64, np.int64)
-        bits[[c["cell"] for c in cells]] = [c["set"] for c in cells]
+        bits = bitmap(one.select(F.xxhash64("doc_id").alias("h")), FILTER_BITS)
         held = self.spark.sparkContext.broadcast(bits)
 
         @F.pandas_udf("boolean")
@@ -381,9 +429,9 @@ class Join:
             at = slots.to_numpy()
             return pd.Series((held.value[at >> 6] >> (at & 63)) & 1 == 1)
 
+        slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
         found = self.docs.where(marked(slot)).join(one, "doc_id")
-        # A repeated id may have other texts.
-        return found.select("node", "text", "doc_id")
+        return found.select("node", "text")
 
     def candidates(self, wanted: DataFrame) -> DataFrame:
         found = self.texts(wanted).mapInPandas(
@@ -391,6 +439,15 @@ class Join:
         )
         return written(found.dropDuplicates(["node"]))
 
+    def screened(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """The pairs that the sizes and segments of their sets allow to link."""
+        names = ("size", "sketch")
+        a = sketches.withColumnsRenamed({"node": "a"} | {n: f"{n}_a" for n in names})
+        b = sketches.withColumnsRenamed({"node": "b"} | {n: f"{n}_b" for n in names})
+        both = pairs.select("a", "b", "octave").join(a, ["a", "octave"])
+        both = both.join(b, ["b", "octave"])
+        return both.mapInPandas(screener(self.rule), "a long, b long").distinct()
+
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -426,30 +483,34 @@ def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs whose nodes are in different groups."""
     one = grouped(pairs, groups, "a").withColumnRenamed("component", "group_a")
     both = grouped(one, groups, "b")
-    return both.where(F.col("group_a") != F.col("component")).select("a", "b")
+    return both.where(F.col("group_a") != F.col("component")).drop("group_a", "component")
 
 
-def residual(join: Join, live: DataFrame, groups: DataFrame, texts: DataFrame, plans):
+def residual(join: Join, members: DataFrame, groups: DataFrame, sketches: DataFrame):
     """Pairs of different groups in one bucket that their sketches allow."""
-    rows = grouped(live.where("n > 3").select("key", "node"), groups, "node")
-    shares = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    rows = grouped(members.select("key", "node").distinct(), groups, "node")
+    shares = rows.groupBy("key", "component").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark")
+    )
     chief = shares.groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("chief"),
         F.count("*").alias("groups"),
         F.sum("n").alias("n"),
         F.max("n").alias("most"),
+        F.bit_xor("mark").alias("mark"),
     )
-    open_ = chief.where("groups > 1").select(
+    # Of three nodes the first and the last were compared with all others, and
+    # of buckets with the same nodes one is enough.
+    octave = F.expr("key & 31").alias("octave")
+    open_ = chief.where("groups > 1 and n > 3").groupBy("mark", "n", octave)
+    open_ = open_.agg(F.min_by(F.struct("*"), "key").alias("of")).select("of.*")
+    open_ = open_.select(
         "key",
         "chief",
         F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
         F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("asides"),
     )
-    rows = rows.join(open_, "key").withColumn("octave", F.expr("key & 31"))
-    rows = written(rows)
-    sketches = texts.join(rows.select("node").distinct(), "node", "left_semi").mapInPandas(
-        sketcher(join.rule, plans), "node long, octave long, size long, sketch binary"
-    )
+    rows = written(rows.join(open_, "key").withColumn("octave", F.expr("key & 31")))
     rows = rows.join(sketches, ["node", "octave"])
     block = lambda n: F.expr(f"pmod(xxhash64(node), {n})").cast("int")
     every = rows.select(
@@ -466,45 +527,74 @@ def residual(join: Join, live: DataFrame, groups: DataFrame, texts: DataFrame, p
     )
     columns = ["key", "i", "j", "node", "component", "size", "sketch", "aside"]
     units = every.select(columns).unionByName(out.select(columns))
-    found = units.groupBy("key", "i", "j").applyInPandas(
-        blocks_compared(join.rule), "a long, b long"
+    found = (
+        units.repartition("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j", "aside")
+        .mapInPandas(blocks_compared(join.rule), "a long, b long")
     )
     return found.distinct()
 
 
 def ngram_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
+    with small_batches(docs.sparkSession):
+        return _groups(docs, words, percent)
+
+
+def _groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     join = Join(docs, Rule(words, percent))
-    plans = join.plans()
-    live = join.live(plans)
-    release(join.spark)
-    pivots = live.select(
-        F.col("node"), F.explode(F.array("low", "high")).alias("pivot")
-    ).where("node <> pivot")
+    spark = join.spark
+    heads, members = join.live()
+    release(spark)
+    ends = [("low", "high"), ("node", "low"), ("node", "high")]
     pairs = written(
-        pivots.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        .groupBy("a", "b")
+        reduce(
+            DataFrame.unionByName,
+            [
+                (heads if k == 0 else members).select(
+                    F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), "key"
+                )
+                for k, (x, y) in enumerate(ends)
+            ],
+        )
+        .where("a <> b")
+        .groupBy("a", "b", F.expr("key & 31").alias("octave"))
         .agg(F.count("*").alias("n"))
     )
-    texts = join.candidates(
-        pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    release(spark)
+    texts = join.candidates(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    sketches = written(
+        texts.mapInPandas(
+            sketcher(join.rule, join.plans),
+            "node long, octave long, size long, sketch binary",
+        )
     )
-    release(join.spark)
+    release(spark)
     # The pivot with which a node shares most.
     best = (
-        pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "n")
+        pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "octave", "n")
         .groupBy("node")
-        .agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p"))
-        .select("p.a", "p.b")
+        .agg(
+            F.max_by(
+                F.struct("a", "b", "octave"), F.struct("n", "a", "b", "octave")
+            ).alias("p")
+        )
+        .select("p.a", "p.b", "p.octave")
         .distinct()
     )
+    best = written(join.screened(best, sketches))
     first = join.verified(best, texts)
     groups = components(first)
-    rest = apart(pairs.join(best, ["a", "b"], "left_anti"), groups)
+    rest = apart(pairs, groups).join(best, ["a", "b"], "left_anti")
+    rest = written(join.screened(rest, sketches))
     second = join.verified(rest, texts)
     links = first.unionByName(second)
     groups = components(links)
-    third = join.verified(residual(join, live, groups, texts, plans), texts)
+    release(spark)
+    more = residual(join, members, groups, sketches)
+    for done in (best, rest):
+        more = more.join(done, ["a", "b"], "left_anti")
+    third = join.verified(more, texts)
     groups = components(links.unionByName(third))
     named = grouped(join.nodes, groups, "node")
     some = F.col("n_shingles") > 0
