@@ -52,6 +52,7 @@ CHANCE = 0.02
 PAIR_COST = 4.0
 BLOCK = 1024
 COMPARED = 1 << 21
+FINE = 4
 FILTER_BITS = 1 << 22
 KEY_BITS = 1 << 25
 
@@ -252,7 +253,7 @@ def screener(rule: Rule):
         for batch in batches:
             apart = np.array(
                 [
-                    (np.frombuffer(a, np.uint32) != np.frombuffer(b, np.uint32)).sum()
+                    (np.frombuffer(a, np.uint8) != np.frombuffer(b, np.uint8)).sum()
                     for a, b in zip(batch["sketch_a"], batch["sketch_b"])
                 ],
                 np.int64,
@@ -265,8 +266,15 @@ def screener(rule: Rule):
     return screen
 
 
-def sketcher(rule: Rule, plans):
-    """``node, octave, size, sketch``: all segments as 32-bit hashes."""
+def sketcher(rule: Rule):
+    """``node, octave, size, sketch``: a byte for each of many fine segments.
+
+    Sets that link differ in no more segments than shingles; with segments of
+    about one shingle hardly another pair passes.
+    """
+    plans = [
+        (int(FINE * (rule.differ(2 * rule.top(k)) + 1)), False) for k in range(OCTAVES)
+    ]
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
@@ -277,9 +285,9 @@ def sketcher(rule: Rule, plans):
                 entry_set, octave, entry, index, content, sums, *_ = segments(
                     sets, plans, rule
                 )
-                key = key_of(octave[entry], index, content, sums) >> np.uint64(32)
+                key = key_of(octave[entry], index, content, sums) >> np.uint64(56)
                 m = np.bincount(entry, minlength=len(entry_set))
-                parts = np.split(key.astype(np.uint32), np.cumsum(m)[:-1])
+                parts = np.split(key.astype(np.uint8), np.cumsum(m)[:-1])
                 own = batch["node"].to_numpy()[first:last]
                 yield pd.DataFrame(
                     {
@@ -310,9 +318,9 @@ def allowed(rule: Rule, rows: pd.DataFrame) -> pd.DataFrame:
     number = np.cumsum(new) - 1
     aside = rows["aside"].to_numpy(bool)
     others = np.bincount(number, ~aside, minlength=len(start)).astype(np.int64)
-    size = rows["sketch"].map(len).to_numpy() // 4
+    size = rows["sketch"].map(len).to_numpy()
     first = np.cumsum(size) - size
-    flat = np.frombuffer(b"".join(rows["sketch"]), np.uint32)
+    flat = np.frombuffer(b"".join(rows["sketch"]), np.uint8)
     node, group = rows["node"].to_numpy(), rows["component"].to_numpy()
     count = rows["size"].to_numpy()
     out = np.flatnonzero(aside)
@@ -565,7 +573,7 @@ def _groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     texts = join.candidates(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     sketches = written(
         texts.mapInPandas(
-            sketcher(join.rule, join.plans),
+            sketcher(join.rule),
             "node long, octave long, size long, sketch binary",
         )
     )
