@@ -307,9 +307,11 @@ def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def allowed(rule: Rule, rows: pd.DataFrame) -> pd.DataFrame:
+def allowed(rule: Rule, rows: pd.DataFrame, nearest: bool) -> pd.DataFrame:
     """Pairs of whole blocks that may link, from their sketches.
 
+    With ``nearest``, of each node and group only the likeliest pair.
+
     ``rows`` are sorted by block, those that are set aside last in each.
     """
     block = rows[["key", "i", "j"]].to_numpy()
@@ -341,14 +343,22 @@ def allowed(rule: Rule, rows: pd.DataFrame) -> pd.DataFrame:
         m = size[left]
         differ = flat[ragged(first[left], m)] != flat[ragged(first[right], m)]
         apart = np.add.reduceat(differ, np.cumsum(m) - m, dtype=np.int64)
-        use = apart <= rule.differ(count[left] + count[right])
+        use = np.flatnonzero(apart <= rule.differ(count[left] + count[right]))
+        if nearest:
+            order = np.lexsort((apart[use], group[right[use]], left[use]))
+            use = use[order]
+            new = np.ones(len(use), bool)
+            new[1:] = (left[use][1:] != left[use][:-1]) | (
+                group[right[use]][1:] != group[right[use]][:-1]
+            )
+            use = use[new]
         pair = np.stack([node[left[use]], node[right[use]]], 1)
         found.append(np.sort(pair, axis=1))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return pd.DataFrame(pairs, columns=["a", "b"])
 
 
-def blocks_compared(rule: Rule):
+def blocks_compared(rule: Rule, nearest: bool):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
@@ -360,9 +370,9 @@ def blocks_compared(rule: Rule):
             whole = int((last != last[-1]).any(1).sum())
             held = rows.iloc[whole:]
             if whole:
-                yield allowed(rule, rows.iloc[:whole])
+                yield allowed(rule, rows.iloc[:whole], nearest)
         if held is not None:
-            yield allowed(rule, held)
+            yield allowed(rule, held, nearest)
 
     return compare
 
@@ -494,7 +504,13 @@ def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return both.where(F.col("group_a") != F.col("component")).drop("group_a", "component")
 
 
-def residual(join: Join, members: DataFrame, groups: DataFrame, sketches: DataFrame):
+def residual(
+    join: Join,
+    members: DataFrame,
+    groups: DataFrame,
+    sketches: DataFrame,
+    nearest: bool,
+):
     """Pairs of different groups in one bucket that their sketches allow."""
     rows = grouped(members.select("key", "node").distinct(), groups, "node")
     shares = rows.groupBy("key", "component").agg(
@@ -538,7 +554,7 @@ def residual(join: Join, members: DataFrame, groups: DataFrame, sketches: DataFr
     found = (
         units.repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j", "aside")
-        .mapInPandas(blocks_compared(join.rule), "a long, b long")
+        .mapInPandas(blocks_compared(join.rule, nearest), "a long, b long")
     )
     return found.distinct()
 
@@ -599,11 +615,16 @@ def _groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     links = first.unionByName(second)
     groups = components(links)
     release(spark)
-    more = residual(join, members, groups, sketches)
-    for done in (best, rest):
-        more = more.join(done, ["a", "b"], "left_anti")
-    third = join.verified(more, texts)
-    groups = components(links.unionByName(third))
+    # First the likeliest pairs, which join most groups, then all that are left.
+    tried = [best, rest]
+    for nearest in (True, False):
+        more = residual(join, members, groups, sketches, nearest)
+        for done in tried:
+            more = more.join(done, ["a", "b"], "left_anti")
+        more = written(more)
+        tried.append(more)
+        links = links.unionByName(join.verified(more, texts))
+        groups = components(links)
     named = grouped(join.nodes, groups, "node")
     some = F.col("n_shingles") > 0
     least = named.where(some).groupBy("component").agg(F.min("doc_id").alias("least"))
