@@ -45,7 +45,6 @@ from .common import bitmap, release, small_batches, written
 from .components import components
 from .words import Hasher, chunks, mix
 
-LEAST = 6  # with fewer shingles only equal sets link
 OCTAVES = 26
 SPARE = 1.25
 CHANCE = 0.02
@@ -63,6 +62,8 @@ class Rule:
     def __init__(self, words: int = 4, percent: int = 85):
         self.words = words
         self.percent = percent
+        # With fewer shingles only equal sets link.
+        self.least = -(-percent // max(100 - percent, 1))
 
     def differ(self, both):
         """The most shingles that may be in one set only, given both sizes."""
@@ -72,7 +73,7 @@ class Rule:
         return size * 100 // self.percent
 
     def top(self, octave):
-        return LEAST * 2 ** (octave + 1) - 1
+        return self.least * 2 ** (octave + 1) - 1
 
     def plan(self, octave: int, nodes: float) -> tuple[int, bool]:
         """Segments of an octave, and whether they get one-deletion keys."""
@@ -132,11 +133,11 @@ class Sets:
 
 def octaves(rule: Rule, sizes: np.ndarray):
     """``(set, octave)``: the octaves whose larger sets each set may link with."""
-    big = np.flatnonzero(sizes >= LEAST)
-    own = np.log2(sizes[big] / LEAST).astype(np.int64)
+    big = np.flatnonzero(sizes >= rule.least)
+    own = np.log2(sizes[big] / rule.least).astype(np.int64)
     # Rounding at the edges of octaves.
     own += sizes[big] > rule.top(own)
-    own -= sizes[big] < LEAST * 2**own
+    own -= sizes[big] < rule.least * 2**own
     up = rule.largest(sizes[big]) > rule.top(own)
     return np.concatenate([big, big[up]]), np.concatenate([own, own[up] + 1])
 

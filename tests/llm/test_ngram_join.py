@@ -86,6 +86,38 @@ def test_one_deletion_keys_lose_nothing(docs, monkeypatch):
     assert answers(ngram_groups(docs(rows))) == brute(rows)
 
 
+def short_copies(seed):
+    """Texts of 8 to 11 words, some with a word more or less at an end."""
+    rng = random.Random(seed)
+    texts = []
+    for k in range(60):
+        base = [f"v{k}x{i}" for i in range(rng.randrange(8, 12))]
+        less, more = base[1:], [*base, f"more{k}"]
+        texts += [base, *rng.sample([less, more, base[:-1], ["first", *base]], 2)]
+    rng.shuffle(texts)
+    return [(k, " ".join(t)) for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("deletions", [False, True])
+def test_short_sets_link_at_five_words_and_80_percent(docs, monkeypatch, deletions):
+    def forced(self, octave, nodes):
+        most = int(self.differ(2 * self.top(octave)))
+        return ((most + 2) // 2, True) if deletions else (int(1.25 * most + 2), False)
+
+    monkeypatch.setattr(Rule, "plan", forced)
+    rows = short_copies(4) + [(1000 + k, t) for k, t in corpus(4, 10)]
+    expected = brute(rows, 5, 80)
+    assert sum(n in (4, 5) and doc != least for doc, n, least in expected) > 20
+    assert answers(ngram_groups(docs(rows), 5, 80)) == expected
+
+
+@pytest.mark.parametrize("percent, least", [(80, 4), (85, 6), (50, 1), (90, 9)])
+def test_least_size_follows_from_the_rule(percent, least):
+    assert Rule(4, percent).least == least
+    assert 100 * least >= percent * (least + 1)
+    assert 100 * (least - 1) < percent * least
+
+
 def test_costs_choose_deletions_only_where_chance_is_high():
     rule = Rule()
     assert not rule.plan(4, 1e5)[1]
