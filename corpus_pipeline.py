@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import release, written
-from plumbline.llm.decontamination import contamination
+from plumbline.llm.decontamination import verdicts
 from plumbline.llm.harmonic_packing import pack
-from plumbline.llm.ngram_join import ngram_groups
+from plumbline.llm.ngram_join import ngram_firsts
 from plumbline.llm.pii_boosting import redacted
 from plumbline.llm.quality_ftrl import kept as good_enough
 
@@ -26,29 +26,32 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return good_enough(docs, labels.select("doc_id", F.col("quality").alias("label")))
 
 
+def same_document(docs: DataFrame, found: DataFrame):
+    """Whether a row has the id and, by its hash in ``copy``, the text found."""
+    same = docs["doc_id"].eqNullSafe(found["doc_id"])
+    return same & (F.xxhash64(docs["text"]) == found["copy"])
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least id.
 
     Documents without words are no duplicates. Rows of one id and text are one
-    document.
+    document; rows of one id, or without one, and different texts are several.
     """
-    groups = written(ngram_groups(docs, SHINGLE, PERCENT))
+    firsts = written(ngram_firsts(docs, SHINGLE, PERCENT))
     release(spark)
-    first = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    first = first.groupBy("doc_id").agg(F.count("*").alias("n"))
-    same = docs["doc_id"].eqNullSafe(first["doc_id"])
-    kept = docs.join(first, same, "left_semi")
-    repeated = not first.where("n > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    kept = docs.join(firsts, same_document(docs, firsts), "left_semi")
+    if firsts.where("n > 1").isEmpty():
+        return kept
+    kept = kept.withColumn("copy of its id", F.xxhash64("text"))
+    return kept.dropDuplicates(["doc_id", "copy of its id"]).drop("copy of its id")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark text."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contamination(docs, items).where("contaminated").select("doc_id")
-    found = found.distinct()
-    same = docs["doc_id"].eqNullSafe(found["doc_id"])
-    return docs.join(found, same, "left_anti")
+    found = verdicts(docs, items).where("contaminated").select("doc_id", "copy")
+    return docs.join(found, same_document(docs, found), "left_anti")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

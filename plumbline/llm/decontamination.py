@@ -235,6 +235,13 @@ def contamination(
 
     ``contaminated``: at least one word in ``share`` is hit.
     """
+    return verdicts(docs, items, size, share).drop("copy")
+
+
+def verdicts(
+    docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20
+) -> DataFrame:
+    """``contamination`` with ``copy``, the ``xxhash64`` of the judged text."""
     docs = docs.select("doc_id", "text")
     items = items.select("item_id", "text")
     found, tests, rows = index(docs, items, size)
@@ -248,6 +255,7 @@ def contamination(
     hit = covered(F.array_sort("spans"))
     return out.select(
         "doc_id",
+        "copy",
         "n_words",
         hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),

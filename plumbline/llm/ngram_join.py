@@ -202,7 +202,7 @@ def index_keys(sets: Sets, plans, rule: Rule):
 
 
 def indexer(rule: Rule, plans):
-    """``doc_id, n_shingles, node, keys`` of every text."""
+    """``doc_id, copy, n_shingles, node, keys`` of every text."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, seen = Hasher(), set()
@@ -222,6 +222,7 @@ def indexer(rule: Rule, plans):
                 yield pd.DataFrame(
                     {
                         "doc_id": batch["doc_id"].iloc[first:last].to_numpy(),
+                        "copy": batch["copy"].iloc[first:last].to_numpy(),
                         "n_shingles": sizes,
                         "node": nodes,
                         "keys": np.split(key, ends[:-1]),
@@ -383,7 +384,7 @@ def blocks_compared(rule: Rule, nearest: bool):
 
 class Join:
     def __init__(self, docs: DataFrame, rule: Rule):
-        self.docs = docs.select("doc_id", "text")
+        self.docs = docs.select("doc_id", "text", F.xxhash64("text").alias("copy"))
         self.rule = rule
         self.spark = docs.sparkSession
         # As if all documents were of one octave, for none has more.
@@ -392,7 +393,7 @@ class Join:
         self.sets = written(
             self.docs.mapInPandas(
                 indexer(rule, self.plans),
-                "doc_id long, n_shingles long, node long, keys array<long>",
+                "doc_id long, copy long, n_shingles long, node long, keys array<long>",
             )
         )
         self.nodes = self.sets.drop("keys")
@@ -436,11 +437,13 @@ class Join:
         """
         one = (
             self.nodes.groupBy("node")
-            .agg(F.min("doc_id").alias("doc_id"))
+            .agg(F.min(F.struct("doc_id", "copy")).alias("of"))
             .join(wanted.distinct(), "node", "left_semi")
+            .select("node", "of.*")
         )
         one = written(one)
-        bits = bitmap(one.select(F.xxhash64("doc_id").alias("h")), FILTER_BITS)
+        hashed = F.xxhash64("doc_id", "copy")
+        bits = bitmap(one.select(hashed.alias("h")), FILTER_BITS)
         held = self.spark.sparkContext.broadcast(bits)
 
         @F.pandas_udf("boolean")
@@ -448,9 +451,10 @@ class Join:
             at = slots.to_numpy()
             return pd.Series((held.value[at >> 6] >> (at & 63)) & 1 == 1)
 
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-        found = self.docs.where(marked(slot)).join(one, "doc_id")
-        return found.select("node", "text")
+        slot = F.pmod(hashed, F.lit(FILTER_BITS))
+        docs = self.docs.where(marked(slot))
+        same = docs["doc_id"].eqNullSafe(one["doc_id"]) & (docs["copy"] == one["copy"])
+        return docs.join(one, same).select("node", "text")
 
     def candidates(self, wanted: DataFrame) -> DataFrame:
         found = self.texts(wanted).mapInPandas(
@@ -563,10 +567,42 @@ def residual(
 def ngram_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     with small_batches(docs.sparkSession):
-        return _groups(docs, words, percent)
+        named = _groups(docs, words, percent)
+    some = F.col("n_shingles") > 0
+    least = named.where(some).groupBy("component").agg(F.min("doc_id").alias("least"))
+    out = named.join(least, "component", "left")
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        F.when(some, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
+
+
+def ngram_firsts(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
+    """``doc_id, copy, n`` of one document of each group, and how often it occurs.
+
+    That with the least id, of those the one with the least ``copy``, which is the
+    ``xxhash64`` of its text; a null id counts as the largest. Each document without
+    words is a group of its own.
+    """
+    with small_batches(docs.sparkSession):
+        named = _groups(docs, words, percent)
+    some = F.col("n_shingles") > 0
+    each = named.groupBy("component", some.alias("some"), "doc_id", "copy").agg(
+        F.count("*").alias("n")
+    )
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "copy")
+    firsts = (
+        each.where("some")
+        .groupBy("component")
+        .agg(F.min_by(F.struct("doc_id", "copy", "n"), order).alias("of"))
+        .select("of.*")
+    )
+    return firsts.unionByName(each.where("not some").select("doc_id", "copy", "n"))
 
 
 def _groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``node, doc_id, copy, n_shingles, component`` of every document."""
     join = Join(docs, Rule(words, percent))
     spark = join.spark
     heads, members = join.live()
@@ -626,12 +662,4 @@ def _groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
         tried.append(more)
         links = links.unionByName(join.verified(more, texts))
         groups = components(links)
-    named = grouped(join.nodes, groups, "node")
-    some = F.col("n_shingles") > 0
-    least = named.where(some).groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "component", "left")
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.when(some, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    return grouped(join.nodes, groups, "node")

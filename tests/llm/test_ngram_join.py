@@ -154,6 +154,14 @@ def test_odd_rows(docs):
     assert ngram_groups(docs([])).count() == 0
 
 
+def test_sets_of_null_ids_link_and_are_links(docs):
+    base = [f"n{k}" for k in range(40)]
+    texts = [" ".join(base[k : k + 34]) for k in range(5)]
+    rows = [(4, texts[0]), (None, texts[2]), (2, texts[4]), (None, "a b c d e")]
+    ends = answers(ngram_groups(docs(rows)))
+    assert ends == {(4, 31, 2), (None, 31, 2), (2, 31, 2), (None, 2, None)}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 200 + k) for k in range(30)]
     edges += [(7, 7), (500, 499), (499, 500)]

@@ -84,3 +84,25 @@ def test_odd_documents(spark, docs, sf_dir):
             assert {r["doc_id"] for r in now.collect()} <= {1, 2, None, 4}
         else:
             assert now.count() == 0
+
+
+def test_rows_are_told_apart_by_id_and_text(spark, docs, sf_dir):
+    words = [" ".join(f"{t}{k}" for k in range(20)) for t in "abcdef"]
+    rows_ = [(None, words[0]), (None, words[1]), (None, words[2]), (None, words[2])]
+    rows_ += [(5, words[3]), (5, words[4]), (5, words[4]), (None, None), (None, "")]
+    # Of two groups each: the later copy of one and the first of another.
+    rows_ += [(1, words[5]), (6, words[5] + " more"), (6, words[0] + " more")]
+    got = pipeline.keep_one_of_each(spark, docs(rows_, 3), sf_dir)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "", r[1] is not None)
+    expected = [(None, None), (None, ""), (None, words[1]), (None, words[2])]
+    expected += [(1, words[5]), (5, words[3]), (5, words[4]), (6, words[0] + " more")]
+    got = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key)
+    assert got == sorted(expected, key=key)
+
+
+def test_contaminated_text_takes_no_other_of_its_id(spark, docs, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    rows_ = [(None, item), (None, "clean text"), (7, item), (7, "other"), (8, "third")]
+    got = pipeline.decontaminate(spark, docs(rows_), sf_dir).collect()
+    left = {(r["doc_id"], r["text"]) for r in got}
+    assert left == {(None, "clean text"), (7, "other"), (8, "third")}
