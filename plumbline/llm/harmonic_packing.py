@@ -41,9 +41,14 @@ class Encoder:
 
     A blank between two other characters always starts a piece, so the parts
     between such blanks are encoded one by one and remembered.
+
+    With ``added`` the vocabulary's added tokens are one id each where a text
+    holds them, as a tokenizer does by itself, and text like any other without
+    (its ``encode_special_tokens``).
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, added: bool = False):
+        import json
         import re
 
         import regex
@@ -53,7 +58,15 @@ class Encoder:
         rest = [b for b in range(256) if b not in plain]
         self._letters = dict(zip(plain, map(chr, plain)))
         self._letters |= {b: chr(256 + k) for k, b in enumerate(rest)}
-        self._model = Tokenizer.from_str(vocabulary).model
+        self._whole = Tokenizer.from_str(vocabulary)
+        self._model = self._whole.model
+        tokens = (json.loads(vocabulary).get("added_tokens") or []) if added else []
+        self._added = {t["content"]: t["id"].to_bytes(4, "little") for t in tokens}
+        # The longest of those that begin at one place.
+        names = map(re.escape, sorted(self._added, key=len, reverse=True))
+        self._apart = re.compile(f"({'|'.join(names)})") if tokens else None
+        flags = ("single_word", "lstrip", "rstrip", "normalized")
+        self._plain = not any(t.get(f) for t in tokens for f in flags)
         self._pieces = regex.compile(PIECES).findall
         self._two_blanks = re.compile(r"\s\s").search
         self._known: dict[str, bytes] = {}
@@ -76,6 +89,17 @@ class Encoder:
         return whole
 
     def encode(self, text: str) -> bytes:
+        if not self._apart or not self._apart.search(text):
+            return self._text(text)
+        if not self._plain:  # more than the token itself decides
+            ids = self._whole.encode(text, add_special_tokens=False).ids
+            return b"".join(i.to_bytes(4, "little") for i in ids)
+        found = self._apart.split(text)
+        found[0::2] = map(self._text, found[0::2])
+        found[1::2] = map(self._added.get, found[1::2])
+        return b"".join(found)
+
+    def _text(self, text: str) -> bytes:
         if not text:
             return b""
         if len(self._known) > CACHE:
@@ -143,13 +167,13 @@ class Bins:
         return done + self._close(held) if held else done
 
 
-def packer(vocabulary, capacity: int, smallest: int):
+def packer(vocabulary, capacity: int, smallest: int, added: bool):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zlib
 
         from pyspark import TaskContext
 
-        encoder = Encoder(vocabulary.value)
+        encoder = Encoder(vocabulary.value, added)
         bins = Bins(TaskContext.get().partitionId(), capacity)
         end = END.to_bytes(4, "little")
         names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -174,14 +198,18 @@ def pack(
     vocabulary_path: str,
     capacity: int = CAPACITY,
     smallest: int = SMALLEST,
+    added: bool = False,
 ) -> DataFrame:
     """A row for each piece: where it was cut from and where it is put.
 
+    With ``added`` the ids are those of a tokenizer left at its defaults, which
+    takes the vocabulary's added tokens out of the texts.
+
     The vocabulary file is read here and sent to the executors; its size does
     not depend on the data.
     """
     with open(vocabulary_path, encoding="utf-8") as file:
         vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
     return docs.select("doc_id", "text").mapInPandas(
-        packer(vocabulary, capacity, smallest), SCHEMA
+        packer(vocabulary, capacity, smallest, added), SCHEMA
     )

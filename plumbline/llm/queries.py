@@ -90,7 +90,7 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = read(spark, sf_dir, "documents")
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
 def op9_rank_language(spark: SparkSession, sf_dir: str) -> DataFrame:

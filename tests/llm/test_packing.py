@@ -71,3 +71,28 @@ def test_little_padding(spark, sf_dir, vocabulary):
     got = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary)
     used = got.groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
     assert used.sum() / (len(used) * CAPACITY) > 0.98
+
+
+def test_added_tokens_are_those_of_a_tokenizer_at_its_defaults(docs, vocabulary, tmp_path):
+    from tokenizers import Tokenizer
+
+    from plumbline.llm.queries import op8_harmonic_packing
+
+    whole = Tokenizer.from_file(vocabulary)
+    expected = lambda t: whole.encode(t or "", add_special_tokens=False).ids
+    assert expected("a<|endoftext|>b") == [64, 50256, 65]
+    end = "<|endoftext|>"
+    texts = TEXTS + [f"a{end}b", end, f" {end}  {end}{end} x  ", f"a  \n{end} b", "<|endoftext"]
+    rng = random.Random(3)
+    signs = [" ", "  ", "ab", "\n", "'s", "<|", "|>", "endoftext", end]
+    texts += ["".join(rng.choice(signs) for _ in range(30)) for _ in range(200)]
+    encoder = Encoder(open(vocabulary, encoding="utf-8").read(), added=True)
+    for text in texts:
+        got = np.frombuffer(encoder.encode(text or ""), "<u4").tolist()
+        assert got == expected(text), text
+    df = docs([*enumerate(texts)])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for p in op8_harmonic_packing(df.sparkSession, str(tmp_path)).collect():
+        ids = np.array(expected(texts[p.doc_id]) + [0], "<u4")
+        assert p.doc_tokens == len(ids)
+        assert p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
