@@ -1,14 +1,14 @@
 """Document fingerprints from spot signatures.
 
-A spot is an anchor, one of a few very common words, with the chain of the next
-``CHAIN`` content words (words that are no anchors) after it. The set of a
-text's spots is its fingerprint; two fingerprints are as alike as their sets
-are by Jaccard's measure, and sets are compared only if their sizes allow the
-wanted likeness, and only until it is out of reach.
-
-Where anchors give fewer than ``FEW`` spots, every word is an anchor.
-
-Defined results: a text without a full chain has one spot, all of its words; a
+A spot is an anchor with the chain of the next ``CHAIN`` content words after it.
+Anchors are a few very common words, and of all other words, which are the
+content words, those whose hash is a multiple of ``EVERY``: whether a word is an
+anchor depends on the word alone, so near copies have near sets whatever their
+sizes, and texts of languages without common words here have spots too. The set
+of a text's spots is its fingerprint; two fingerprints are as alike as their
+sets are by Jaccard's measure.
+
+Defined results: a text without a spot has one, all of its words; a
 text without words, a null or empty one too, has the fingerprint ``-``, alike
 to itself only. The document after the last is the first; a single document
 follows itself; null ids come first; rows with equal ids are ordered by their
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .words import Hasher, byte_table, chunks, mix
 
 CHAIN = 2
-FEW = 16
+EVERY = 4
 EMPTY = "-"
 SLICE_ROWS = 2048
 SLICES = 20_000
@@ -71,15 +71,13 @@ def spots(hasher: Hasher, anchors: np.ndarray, texts: list[str]) -> list[np.ndar
     spot = word[at]
     for k in range(CHAIN):
         spot = mix(spot * np.uint64(31) + word[content[first + k]])
-    anchored = common[at]
+    anchored = common[at] | (word[at] % np.uint64(EVERY) == 0)
+    at, spot = at[anchored], spot[anchored]
     edges = np.searchsorted(doc[at], np.arange(len(texts) + 1))
     ends = np.searchsorted(doc, np.arange(len(texts) + 1))
     found = []
     for k in range(len(texts)):
-        own = spot[edges[k] : edges[k + 1]]
-        chosen = np.unique(own[anchored[edges[k] : edges[k + 1]]])
-        if len(chosen) < FEW:
-            chosen = np.unique(own)
+        chosen = np.unique(spot[edges[k] : edges[k + 1]])
         if not len(chosen) and ends[k] < ends[k + 1]:
             words = word[ends[k] : ends[k + 1]]
             chosen = hasher.runs(words.view(np.uint8), [0], [len(words) * 8])

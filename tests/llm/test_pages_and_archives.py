@@ -177,3 +177,18 @@ def test_likeness_of_fingerprints(docs):
     assert found[2]["near_next"] == len(a & b) / len(a | b)
     assert answers(spot_signatures.fingerprints(docs([(7, "only one")]))) == brute([(7, "only one")])
     assert spot_signatures.fingerprints(docs([])).count() == 0
+
+
+def test_near_copies_are_alike_whatever_the_number_of_spots():
+    hasher = spot_signatures.Hasher()
+    anchors = spot_signatures.anchor_hashes(hasher)
+    rng = random.Random(9)
+    for n in range(4, 30):
+        # n anchors of the list among 300 other words; the copy has one less.
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        places = rng.sample(range(10, 290), n)
+        for k in places:
+            words[k] = "the"
+        less = [w for k, w in enumerate(words) if k != places[0]]
+        a, b = spot_signatures.spots(hasher, anchors, [" ".join(words), " ".join(less)])
+        assert spot_signatures.likeness(a, b) > 0.85, n
