@@ -157,6 +157,8 @@ def phrase_hits(found: DataFrame, tests: DataFrame, rows: int) -> DataFrame:
 
     Adds ``item_id, start, length``, null where no window does.
     """
+    # An item may be without id, so matches are told by a column of their own.
+    tests = tests.withColumn("matched", F.lit(True))
     joined = found.join(checked(tests, rows), "anchor", "left")
     start = F.col("pos") - F.col("at")
     # The other terms, rarest first: the check ends at the first that differs.
@@ -168,7 +170,7 @@ def phrase_hits(found: DataFrame, tests: DataFrame, rows: int) -> DataFrame:
             F.lit(False),
         ),
     )
-    hit = F.col("item_id").isNotNull() & (start >= 0) & same
+    hit = F.col("matched").isNotNull() & (start >= 0) & same
     return joined.select(
         "doc_id",
         "copy",
@@ -251,6 +253,10 @@ def verdicts(
         F.first("n_words").alias("n_words"),
         F.collect_set(F.when(F.col("start").isNotNull(), span)).alias("spans"),
         F.collect_set(F.col("item_id").cast("string")).alias("items"),
+        # Items without id are one more item, without a name.
+        F.max(
+            (F.col("start").isNotNull() & F.col("item_id").isNull()).cast("long")
+        ).alias("nameless"),
     )
     hit = covered(F.array_sort("spans"))
     return out.select(
@@ -258,7 +264,7 @@ def verdicts(
         "copy",
         "n_words",
         hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
+        (F.size("items") + F.col("nameless")).cast("long").alias("n_items"),
         F.array_sort("items").alias("items"),
         ((hit > 0) & (hit * share >= F.col("n_words"))).alias("contaminated"),
     )

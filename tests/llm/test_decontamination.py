@@ -93,3 +93,20 @@ def test_no_python_runs(spark, docs):
     got = contamination(docs([(1, "alpha beta gamma delta")]), items, 3)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_items_without_id_hit(spark, docs):
+    from plumbline.llm import decontamination
+
+    phrase = " ".join(f"q{k}" for k in range(15))
+    items = spark.createDataFrame(
+        [(None, phrase), (3, "q0 q1 q2")], "item_id long, text string"
+    )
+    table = docs([(1, f"so {phrase} it is"), (2, "nothing of it"), (None, phrase)])
+    got = decontamination.contamination(table, items).collect()
+    found = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in got}
+    assert found == {
+        1: (15, 2, ["3"], True),
+        2: (0, 0, [], False),
+        None: (15, 2, ["3"], True),
+    }
