@@ -1,12 +1,14 @@
-"""Counters that one aggregate over the table can hold."""
+"""Counters and sketches that one aggregate over the table can hold."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import Field, is_filled, is_number, is_numeric_text, is_string
+from .brackets import ends, sketch
 from .sharing import unpack
 
 # Whole-stage code generation stops at 100 fields (spark.sql.codegen.maxFields),
@@ -16,6 +18,10 @@ COUNTERS_PER_PASS = 96
 
 COUNTERS = ("nulls", "valid", "numeric", "negative")
 
+# A sketch of a task takes up to some 100 KB, so sketches are merged in this many
+# tasks before they meet in one.
+MERGERS = 256
+
 
 def counters_of(field: Field, wanted: frozenset[str]) -> dict[str, str]:
     counters = {}
@@ -26,6 +32,8 @@ def counters_of(field: Field, wanted: frozenset[str]) -> dict[str, str]:
         counters["numeric"] = is_numeric_text(field.text)
     if "negative" in wanted and is_number(field):
         counters["negative"] = f"{field.col} < 0"
+    if "ends" in wanted and is_number(field):
+        counters["sketch"] = sketch(field.number)
     return counters
 
 
@@ -47,10 +55,11 @@ def passes(fields: list[Field], wanted: frozenset[str]) -> list[list]:
 def profile(
     rows: DataFrame, fields: list[Field], wanted: frozenset[str]
 ) -> tuple[DataFrame, Column]:
-    """``(idx, total, nulls, valid, numeric, negative)``, and the total.
+    """``(idx, total, nulls, valid, numeric, negative, ends)``, and the total.
 
-    Both come from the same scalar subquery, so several readers cost one pass.
-    A column without a wanted counter has no row.
+    ``ends`` brackets the quartiles, from a sketch that the same aggregate holds.
+    Both results come from the same scalar subquery, so several readers cost one
+    pass. A column without a wanted counter or sketch has no row.
     """
     counted = [per_column(rows, group) for group in passes(fields, wanted)]
     cell = (
@@ -66,19 +75,26 @@ def profile(
 
 def per_column(rows: DataFrame, group: list) -> DataFrame:
     """The counters of one pass, a row per column and one for the table."""
-    aggregates = ["count(1) as total"]
+    counts = {"total": "count(1)"}
+    sketches = {}
     structs = []
     for idx, counters in [(-1, {}), *group]:
-        aggregates += [
-            f"count_if({condition}) as {name}{idx}"
-            for name, condition in counters.items()
-        ]
-        values = [
-            (f"{name}{idx}" if name in counters else "cast(null as bigint)")
-            + f" as {name}"
-            for name in COUNTERS
-        ]
-        structs.append(f"struct({idx} as idx, total, {', '.join(values)})")
-    return rows.selectExpr(*aggregates).selectExpr(
-        f"inline(array({', '.join(structs)}))"
-    )
+        values = []
+        for name in COUNTERS:
+            if name in counters:
+                counts[f"{name}{idx}"] = f"count_if({counters[name]})"
+                values.append(f"{name}{idx} as {name}")
+            else:
+                values.append(f"cast(null as bigint) as {name}")
+        if "sketch" in counters:
+            sketches[f"sketch{idx}"] = counters["sketch"]
+        found = ends(f"sketch{idx}" if "sketch" in counters else None)
+        structs.append(f"struct({idx} as idx, total, {', '.join(values)}, {found} as ends)")
+    named = [f"{expr} as {name}" for name, expr in (counts | sketches).items()]
+    if sketches:
+        first = rows.selectExpr("*", f"spark_partition_id() % {MERGERS} as merger")
+        first = first.groupBy("merger").agg(*map(F.expr, named))
+        named = [f"coalesce(sum({name}), 0) as {name}" for name in counts]
+        named += [f"kll_merge_agg_double({name}) as {name}" for name in sketches]
+        rows = first
+    return rows.selectExpr(*named).selectExpr(f"inline(array({', '.join(structs)}))")

@@ -1,13 +1,8 @@
-"""Quartiles of many columns at once.
-
-The exact ones are elements of the data: number ``ceil(q * n)`` in ascending
-order, nulls and NaN left out. Sorting 100 TB to pick two elements per column
-is wasteful, and a percentile aggregate keeps every distinct value of a column
-in one task. So each quartile is closed in on: a histogram over the whole
-column, a finer one over the bucket that holds it, then the values of the one
-bin left, which are counted and binned once more before any are ranked. Every
-step is a partially aggregated group-by, and what a task ranks is bins, bounded
-in number, or the distinct values of a single bin.
+"""Approximate quartiles of many columns, and the steps that exact ones share.
+
+A histogram over the whole column, then a finer one over the bucket that holds the
+quartile. Every step is a partially aggregated group-by, and what a task ranks are
+bins, bounded in number.
 """
 
 from __future__ import annotations
@@ -22,29 +17,6 @@ QUARTILES = (0.25, 0.75)
 BINS = 4096
 
 
-def exact_quartiles(numbers: DataFrame) -> DataFrame:
-    """``(idx, q1, q3)`` of the long form ``(idx, x)``; shared by its readers."""
-    known = numbers.where("x is not null and not isnan(x)")
-    target = holding_rank(finely_binned(known), "bin")
-    # Read twice below, by equal plans, so that it is computed once.
-    values = (
-        within(known, target)
-        .groupBy("idx", "q", "rank", "low", "high", "x")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    finer = values.groupBy("idx", "q", "rank", linear_bin()).agg(
-        F.sum("n").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")
-    )
-    last = values.select("idx", "q", "x", "n").join(
-        F.broadcast(renamed(holding_rank(finer, "bin"))),
-        (F.col("idx") == F.col("target_idx"))
-        & (F.col("q") == F.col("target_q"))
-        & (F.col("x") >= F.col("low"))
-        & (F.col("x") <= F.col("high")),
-    )
-    return both_quartiles(shared(ranked(last, "x").select("idx", "q", "x")))
-
-
 def finely_binned(known: DataFrame) -> DataFrame:
     """The bucket of each quartile, cut into bins of equal width."""
     coarse = known.groupBy("idx", F.expr(root_scale("x")).alias("bin")).agg(*extent())
@@ -118,13 +90,9 @@ def linear_bin() -> Column:
     return F.coalesce(step, F.lit(0)).alias("bin")
 
 
-def renamed(target: DataFrame) -> DataFrame:
-    return target.withColumnsRenamed({"idx": "target_idx", "q": "target_q"})
-
-
 def holding_rank(counted: DataFrame, order: str) -> DataFrame:
     """The bin in which the rank falls, the rank now counted inside it."""
-    return ranked(counted, order).select("idx", "q", "rank", "low", "high")
+    return ranked(counted, order).select("idx", "q", "rank", "low", "high", order)
 
 
 def ranked(counted: DataFrame, order: str) -> DataFrame:
@@ -136,10 +104,9 @@ def ranked(counted: DataFrame, order: str) -> DataFrame:
 
 
 def approximate_quartiles(numbers: DataFrame) -> DataFrame:
-    """``(idx, q1, q3)`` from two histograms; shared as well.
+    """``(idx, q1, q3)`` from two histograms; shared by its readers.
 
-    The smallest value of the bin that holds the quartile: the bins are those
-    of the exact search, cut off after the second pass, so the answer does not
+    The smallest value of the bin that holds the quartile, so the answer does not
     depend on how the table is partitioned.
     """
     known = numbers.where("x is not null and not isnan(x)")

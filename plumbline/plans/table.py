@@ -21,9 +21,10 @@ from ..functions import (
     outside,
     positional,
 )
+from .brackets import Brackets
 from .counters import COUNTERS_PER_PASS, profile
 from .duplicates import duplicate_groups
-from .quantiles import approximate_quartiles, exact_quartiles
+from .quantiles import approximate_quartiles
 from .samples import smallest
 from .sharing import shared
 from .values import value_groups
@@ -73,8 +74,10 @@ class Table:
 
     @cached_property
     def _profile(self) -> tuple[DataFrame, Column]:
-        wanted = frozenset(NEEDS[c] for c in self.options if c in NEEDS)
-        return profile(self.rows, self.fields, wanted)
+        wanted = {NEEDS[c] for c in self.options if c in NEEDS}
+        if self.options.get("iqr_outliers", {}).get("method") == "exact":
+            wanted.add("ends")
+        return profile(self.rows, self.fields, frozenset(wanted))
 
     @property
     def profile(self) -> DataFrame:
@@ -133,21 +136,19 @@ class Table:
         return [f for f in self.fields if is_number(f)]
 
     @cached_property
-    def fences(self) -> DataFrame:
-        """``(idx, q1, q3)`` of columns with a finite, positive spread."""
+    def outliers(self) -> DataFrame:
+        """``(idx, q1, q3, outliers)`` of columns with a finite, positive spread."""
         options = self.options["iqr_outliers"]
         if options["method"] == "exact":
-            quartiles = exact_quartiles(self.numbers(self.number_fields))
-        else:
-            quartiles = approximate_quartiles(self.numbers(self.number_fields))
-        return quartiles.where("q3 - q1 > 0 and q3 - q1 < double('Infinity')")
-
-    @cached_property
-    def outliers(self) -> DataFrame:
-        """``(idx, q1, q3, outliers)`` of the same columns.
+            return Brackets(self, self.number_fields, options["multiplier"]).outliers()
+        return self._outliers_of(
+            approximate_quartiles(self.numbers(self.number_fields)).where(
+                "q3 - q1 > 0 and q3 - q1 < double('Infinity')"
+            )
+        )
 
-        The fences are one cell, so that a wide aggregate counts every column.
-        """
+    def _outliers_of(self, quartiles: DataFrame) -> DataFrame:
+        """The fences are one cell, so that a wide aggregate counts every column."""
         lower, upper = fences(self.options["iqr_outliers"]["multiplier"])
         counted = []
         for start in range(0, len(self.number_fields), COUNTERS_PER_PASS):
@@ -157,7 +158,7 @@ class Table:
                 for f in chunk
                 for name, end in (("low", lower), ("high", upper))
             ]
-            cell = self.fences.selectExpr(*ends).selectExpr("struct(*) as cell")
+            cell = quartiles.selectExpr(*ends).selectExpr("struct(*) as cell")
             wide = self.rows.select(
                 *[f.col for f in chunk], cell.scalar().alias("fence")
             )
@@ -173,7 +174,7 @@ class Table:
                 wide.selectExpr(*aggregates).selectExpr(f"inline(array({structs}))")
             )
         counts = reduce(DataFrame.unionByName, counted)
-        return shared(counts.join(F.broadcast(self.fences), "idx"))
+        return shared(counts.join(F.broadcast(quartiles), "idx"))
 
     def numbers(self, fields: list[Field], keep: Iterable[str] = ()) -> DataFrame:
         return long_form(self.rows, fields, lambda f: f.number, "x", keep)

@@ -53,11 +53,11 @@ def faulty(spark, tmp_path_factory):
 
 
 def test_scans_of_the_whole_suite(spark, faulty):
-    """Counters 1, values 2, quartiles 3, fences 1, rows 2, samples 1 and 1."""
+    """Counters and sketches 1, brackets 1, values 2, rows 2, samples 1 and 1."""
     n = faulty.count()
     assert {r["status"] for r in lint(faulty).collect() if r["code"] != "DL001"} == {"LINT"}
     # The one-row frames that carry small results count as well.
-    assert rows_read(spark, lint(faulty).collect) <= 11 * n + 50
+    assert rows_read(spark, lint(faulty).collect) <= 8 * n + 50
     options = {"iqr_outliers": {"method": "approx"}}
     fewer = lint(faulty, options=options, samples=False)
     assert rows_read(spark, fewer.collect) <= 8 * n + 50
@@ -72,7 +72,7 @@ def test_scans_of_the_whole_suite(spark, faulty):
         ("duplicate_rows", 2),
         ("numeric_text", 2),
         ("category_dominance", 3),
-        ("iqr_outliers", 5),
+        ("iqr_outliers", 3),
     ],
 )
 def test_scans_of_one_check(spark, faulty, check, scans):

@@ -4,9 +4,11 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import iqr_outliers
-from plumbline.plans.quantiles import approximate_quartiles, exact_quartiles
+from plumbline.plans.brackets import Brackets
+from plumbline.plans.quantiles import approximate_quartiles
 from plumbline.plans.table import Table
 
 INF = float("inf")
@@ -60,9 +62,14 @@ def table(df):
     return Table(df, {"iqr_outliers": dict(iqr_outliers.OPTIONS)})
 
 
+def exact_quartiles(t):
+    b = Brackets(t, t.number_fields, 1.5)
+    return b.quartiles(b.placed())
+
+
 def test_exact_quartiles_are_elements(wide, columns):
     t = table(wide)
-    found = {r["idx"]: (r["q1"], r["q3"]) for r in exact_quartiles(t.numbers(t.number_fields)).collect()}
+    found = {r["idx"]: (r["q1"], r["q3"]) for r in exact_quartiles(t).collect()}
     expected = {
         i: (element(v, 0.25), element(v, 0.75))
         for i, v in enumerate(columns.values())
@@ -77,7 +84,7 @@ def test_small_counts(spark, n):
     values = [float(i * i) for i in range(1, n + 1)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     t = table(df)
-    (row,) = exact_quartiles(t.numbers(t.number_fields)).collect()
+    (row,) = exact_quartiles(t).collect()
     assert (row["q1"], row["q3"]) == (element(values, 0.25), element(values, 0.75))
 
 
@@ -106,3 +113,23 @@ def test_outlier_counts_by_brute_force(wide, columns):
             v for v in values if v is not None and (math.isnan(v) or v < low or v > high)
         ]
         assert found[name]["outliers"] == len(outside), name
+
+
+def test_a_quartile_outside_its_bracket_is_an_error(wide):
+    """A sketch that errs more than it may fails the query; it gives no wrong number."""
+    b = Brackets(table(wide), table(wide).number_fields, 1.5)
+    b.ends = b.ends.withColumns({"high1": F.col("low1") - 1, "low3": F.col("high3") + 1})
+    with pytest.raises(Exception, match="escaped its bracket"):
+        b.outliers().collect()
+
+
+def test_few_values_are_kept(spark):
+    """Some two per cent of the values are counted one by one, whatever the table."""
+    r = random.Random(5)
+    rows = [(r.random(), r.gauss(0, 1), float(k % 7)) for k in range(40_000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
+    b = Brackets(table(df), table(df).number_fields, 1.5)
+    assert b.placed().count() < 0.04 * 2 * 40_000
+    found = {r["idx"]: (r["q1"], r["q3"]) for r in exact_quartiles(table(df)).collect()}
+    for k, values in enumerate(zip(*rows)):
+        assert found[k] == (element(values, 0.25), element(values, 0.75))
