@@ -50,7 +50,7 @@ INSIDE = 2 | 8 | 32 | 64
 
 
 def sketch(number: str) -> str:
-    known = f"case when not isnan({number}) then {number} end"
+    known = f"cast(case when not isnan({number}) then {number} end as double)"
     return f"kll_sketch_agg_double({known}, {SKETCH})"
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import Field, is_filled, is_number, is_numeric_text, is_string
+from ..schema import one_row
 from .brackets import ends, sketch
 from .sharing import unpack
+from .values import Heavy
 
 # Whole-stage code generation stops at 100 fields (spark.sql.codegen.maxFields),
 # so an aggregate takes no more counters than this. Further columns go to
@@ -23,8 +25,12 @@ COUNTERS = ("nulls", "valid", "numeric", "negative")
 MERGERS = 256
 
 
-def counters_of(field: Field, wanted: frozenset[str]) -> dict[str, str]:
+def counters_of(
+    field: Field, wanted: frozenset[str], heavy: dict[int, Heavy]
+) -> dict[str, str]:
     counters = {}
+    if field.idx in heavy:
+        counters["heavy"] = heavy[field.idx].sketch
     if "nulls" in wanted:
         counters["nulls"] = f"{field.col} is null"
     if "text" in wanted and is_string(field):
@@ -37,11 +43,13 @@ def counters_of(field: Field, wanted: frozenset[str]) -> dict[str, str]:
     return counters
 
 
-def passes(fields: list[Field], wanted: frozenset[str]) -> list[list]:
+def passes(
+    fields: list[Field], wanted: frozenset[str], heavy: dict[int, Heavy]
+) -> list[list]:
     groups: list[list] = [[]]
     room = COUNTERS_PER_PASS
     for field in fields:
-        counters = counters_of(field, wanted)
+        counters = counters_of(field, wanted, heavy)
         if not counters:
             continue
         if len(counters) > room:
@@ -53,15 +61,19 @@ def passes(fields: list[Field], wanted: frozenset[str]) -> list[list]:
 
 
 def profile(
-    rows: DataFrame, fields: list[Field], wanted: frozenset[str]
+    rows: DataFrame,
+    fields: list[Field],
+    wanted: frozenset[str],
+    heavy: dict[int, Heavy] | None = None,
 ) -> tuple[DataFrame, Column]:
-    """``(idx, total, nulls, valid, numeric, negative, ends)``, and the total.
+    """``(idx, total, nulls, valid, numeric, negative, ends, keys)``, and the total.
 
-    ``ends`` brackets the quartiles, from a sketch that the same aggregate holds.
-    Both results come from the same scalar subquery, so several readers cost one
+    ``ends`` brackets the quartiles and ``keys`` are the hashes of all values that
+    may be frequent, from sketches that the same aggregate holds. Both results come from the same scalar subquery, so several readers cost one
     pass. A column without a wanted counter or sketch has no row.
     """
-    counted = [per_column(rows, group) for group in passes(fields, wanted)]
+    heavy = heavy or {}
+    counted = [per_column(rows, group, heavy) for group in passes(fields, wanted, heavy)]
     cell = (
         reduce(DataFrame.unionByName, counted)
         .selectExpr(
@@ -73,10 +85,10 @@ def profile(
     return unpack(rows.sparkSession, cell["rows"]), cell["total"]
 
 
-def per_column(rows: DataFrame, group: list) -> DataFrame:
+def per_column(rows: DataFrame, group: list, heavy: dict[int, Heavy]) -> DataFrame:
     """The counters of one pass, a row per column and one for the table."""
     counts = {"total": "count(1)"}
-    sketches = {}
+    sketches: dict[str, tuple[str, ...]] = {}  # how made, made of nothing, and merged
     structs = []
     for idx, counters in [(-1, {}), *group]:
         values = []
@@ -86,15 +98,29 @@ def per_column(rows: DataFrame, group: list) -> DataFrame:
                 values.append(f"{name}{idx} as {name}")
             else:
                 values.append(f"cast(null as bigint) as {name}")
+        found, keys = ends(None), "cast(null as array<bigint>)"
         if "sketch" in counters:
-            sketches[f"sketch{idx}"] = counters["sketch"]
-        found = ends(f"sketch{idx}" if "sketch" in counters else None)
-        structs.append(f"struct({idx} as idx, total, {', '.join(values)}, {found} as ends)")
-    named = [f"{expr} as {name}" for name, expr in (counts | sketches).items()]
+            name = f"sketch{idx}"
+            sketches[name] = (counters["sketch"], sketch("null"), f"kll_merge_agg_double({name})")
+            found = ends(name)
+        if "heavy" in counters:
+            name = f"heavy{idx}"
+            summary = heavy[idx]
+            sketches[name] = (summary.sketch, summary.blank, summary.merged(name))
+            keys = summary.keys(name)
+        structs.append(
+            f"struct({idx} as idx, total, {', '.join(values)}, {found} as ends, {keys} as keys)"
+        )
+    named = [f"{expr} as {name}" for name, expr in counts.items()]
     if sketches:
+        # Blank sketches, as those of frequent items cannot be merged of none.
+        blank = [f"0L as {name}" for name in counts]
+        blank += [f"{none} as {name}" for name, (_, none, _) in sketches.items()]
+        blank = one_row(rows.sparkSession).agg(*map(F.expr, blank))
+        named += [f"{made} as {name}" for name, (made, _, _) in sketches.items()]
         first = rows.selectExpr("*", f"spark_partition_id() % {MERGERS} as merger")
-        first = first.groupBy("merger").agg(*map(F.expr, named))
+        first = first.groupBy("merger").agg(*map(F.expr, named)).drop("merger")
+        rows = first.unionByName(blank)
         named = [f"coalesce(sum({name}), 0) as {name}" for name in counts]
-        named += [f"kll_merge_agg_double({name}) as {name}" for name in sketches]
-        rows = first
+        named += [f"{merged} as {name}" for name, (_, _, merged) in sketches.items()]
     return rows.selectExpr(*named).selectExpr(f"inline(array({', '.join(structs)}))")

@@ -27,7 +27,7 @@ from .duplicates import duplicate_groups
 from .quantiles import approximate_quartiles
 from .samples import smallest
 from .sharing import shared
-from .values import value_groups
+from .values import Heavy, heavy, value_groups
 
 # Which counters a check reads from the profile.
 NEEDS = {
@@ -77,7 +77,28 @@ class Table:
         wanted = {NEEDS[c] for c in self.options if c in NEEDS}
         if self.options.get("iqr_outliers", {}).get("method") == "exact":
             wanted.add("ends")
-        return profile(self.rows, self.fields, frozenset(wanted))
+        return profile(self.rows, self.fields, frozenset(wanted), self._heavy)
+
+    @property
+    def _heavy(self) -> dict[int, Heavy]:
+        """Summaries of frequent values, of columns that are checked for them."""
+        check = "category_dominance"
+        if check not in self.options:
+            return {}
+        threshold = float(self.options[check]["threshold"])
+        variants = self._spelt_along
+        try:
+            fields = self.text_fields(check)
+        except ValueError:  # the check itself will tell
+            return {}
+        found = {f.idx: heavy(f.text, threshold, variants) for f in fields}
+        return {idx: summary for idx, summary in found.items() if summary}
+
+    @property
+    def _spelt_along(self) -> bool:
+        """Whether frequent values and spellings are found in the same pass."""
+        both = {"category_dominance", "case_variants"} <= set(self.options)
+        return both and self._same_columns("category_dominance", "case_variants")
 
     @property
     def profile(self) -> DataFrame:
@@ -103,22 +124,24 @@ class Table:
         """Counted values for dominance or spellings, in one pass for both."""
         fields = self.text_fields(check)
         partners = {check}
-        for other in ("category_dominance", "case_variants"):
-            if other in self.options and self._same_columns(check, other):
-                partners.add(other)
+        if self._spelt_along:
+            partners = {"category_dominance", "case_variants"}
         if "category_dominance" in partners:
             fields = self.text_fields("category_dominance")
         key = (frozenset(partners), tuple(f.idx for f in fields))
         if key not in self._value_groups:
-            threshold = None
+            threshold = keys = None
             if "category_dominance" in partners:
                 threshold = float(self.options["category_dominance"]["threshold"])
+                if self._heavy:
+                    keys = self.profile.selectExpr("idx", "explode(keys) as key")
             self._value_groups[key] = value_groups(
                 self.texts(fields),
                 len(fields),
                 self.total,
                 threshold,
                 "case_variants" in partners,
+                keys,
             )
         return self._value_groups[key]
 

@@ -1,13 +1,20 @@
 """Counting the values of text columns without shuffling the texts.
 
 Grouping by value would send every distinct text across the network. Instead a
-first pass groups hashes and finds the few slots in which an answer can lie; a
-second pass groups the real values of the rows in those slots. The first pass
-decides only what may be left out, the second counts actual values.
+first pass finds the few hashes or slots of hashes in which an answer can lie; a
+second pass groups the real values of the rows in those. The first pass decides only
+what may be left out, the second counts actual values.
+
+Frequent values are found by a summary of frequent items, which the aggregate of the
+counters holds for each column, so that nothing is shuffled for them but summaries.
+Spellings, and values above a very low threshold, are found by grouping hashes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +23,48 @@ SLOTS = 1 << 20
 # Slots for each value that may pass the threshold, so that few others share one.
 SLOTS_PER_VALUE = 8
 
+# A summary of m items errs by 3.5 / m of the rows at most and tells those that are
+# sure to have more rows than that; of sixteen items for each value that may pass
+# the threshold, it so tells all that do.
+ITEMS_PER_VALUE, LEAST_ITEMS = 16, 64
+# Below this threshold the summaries would be larger than grouped hashes.
+LEAST_THRESHOLD = 0.001
+
+
+class Heavy(NamedTuple):
+    """The summary of a column's frequent hashes, in SQL."""
+
+    key: str
+    items: int
+
+    @property
+    def sketch(self) -> str:
+        return f"approx_top_k_accumulate({self.key}, {self.items})"
+
+    @property
+    def blank(self) -> str:
+        return f"approx_top_k_accumulate(cast(null as bigint), {self.items})"
+
+    def merged(self, name: str) -> str:
+        return f"approx_top_k_combine({name}, {self.items})"
+
+    def keys(self, name: str) -> str:
+        found = f"approx_top_k_estimate({name}, {self.items})"
+        return f"filter(transform({found}, i -> i.item), key -> key is not null)"
+
+
+def key_of(text: str, variants: bool) -> str:
+    """The hash of a text, or of all its spellings; null has one as well."""
+    return f"xxhash64(lower({text}))" if variants else f"xxhash64({text})"
+
+
+def heavy(text: str, threshold: float | None, variants: bool) -> Heavy | None:
+    """None where hashes are grouped instead."""
+    if threshold is None or threshold < LEAST_THRESHOLD:
+        return None
+    items = max(LEAST_ITEMS, -int(-ITEMS_PER_VALUE // threshold))
+    return Heavy(key_of(text, variants), items)
+
 
 def value_groups(
     values: DataFrame,
@@ -23,27 +72,30 @@ def value_groups(
     total: Column,
     threshold: float | None,
     variants: bool,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Exact ``(idx, value, n)`` for every value that can matter.
 
     ``values`` is the long form ``(idx, value)``. With ``threshold``, values
     whose share of all rows exceeds it are included; with ``variants``, all
     spellings of a text that occurs in more than one. Others may or may not be.
+    ``keys (idx, key)`` are the hashes of all values above the threshold, if known.
     """
     slots = slots_for(threshold)
     if variants:
         slots = max(slots, power_of_two(SLOTS // columns))
-        keyed = values.withColumn("key", F.xxhash64(F.lower("value")))
-    else:
-        keyed = values.withColumn("key", F.xxhash64("value"))
+    elif keys is not None:
+        slots = SLOTS
+    keyed = values.withColumn("key", F.expr(key_of("value", variants)))
     slot = slot_of("key", slots).alias("slot")
 
     n = F.count(F.lit(1)).alias("n")
+    relevant = []
     if variants:
         # Two spellings of one text share the key and differ in their own hash.
         spelling = F.xxhash64("value")
         second = F.xxhash64(F.lit(1), F.col("value"))
-        keys = keyed.groupBy("idx", "key").agg(
+        counted = keyed.groupBy("idx", "key").agg(
             n,
             F.min(spelling).alias("low"),
             F.max(spelling).alias("high"),
@@ -51,16 +103,20 @@ def value_groups(
             F.max(second).alias("high2"),
         )
         varied = (F.col("low") != F.col("high")) | (F.col("low2") != F.col("high2"))
-        counted = keys.groupBy("idx", slot).agg(
+        counted = counted.groupBy("idx", slot).agg(
             F.sum("n").alias("n"), F.max(varied).alias("varied")
         )
-        relevant = F.col("varied")
-    else:
+        relevant.append(F.col("varied"))
+    elif keys is None:
         counted = keyed.groupBy("idx", slot).agg(n)
-        relevant = F.lit(False)
-    if threshold is not None:
-        relevant = relevant | (F.col("n") / total > F.lit(threshold))
-    wanted = counted.where(relevant).select("idx", "slot")
+    if threshold is not None and keys is None:
+        relevant.append(F.col("n") / total > F.lit(threshold))
+    wanted = []
+    if relevant:
+        wanted.append(counted.where(reduce(Column.__or__, relevant)).select("idx", "slot"))
+    if keys is not None:
+        wanted.append(keys.select("idx", slot))
+    wanted = reduce(DataFrame.unionByName, wanted)
 
     return (
         keyed.select("idx", "value", slot)

@@ -133,3 +133,44 @@ def test_few_other_rows_pass_with_many_repeated_ones(spark):
 def test_few_values_pass_a_low_threshold(spark):
     assert values.slots_for(0.0005) >= 8 / 0.0005
     assert values.slots_for(0.9) < 64
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.3, 0.02, 0.004, 0.0005])
+@pytest.mark.parametrize("also", [[], ["case_variants"]])
+def test_frequent_values_by_brute_force(spark, threshold, also):
+    """Shares on both sides of the threshold, among many values that occur once."""
+    r = random.Random(11)
+    n = 4000
+    columns = []
+    for share in (threshold * 1.01, threshold * 0.99, threshold / 2):
+        k = round(n * share) + (1 if share > threshold else 0)
+        values_ = [f"Hot {len(columns)}"] * k + [f"once {i}" for i in range(n - k)]
+        r.shuffle(values_)
+        columns.append(values_)
+    nulls = [None if i < n * threshold + 1 else f"v{i % 1500}" for i in range(n)]
+    columns.append(nulls)
+    columns.append([i % 50 < 49 for i in range(n)])
+    df = spark.createDataFrame(
+        list(zip(*columns)), "a string, b string, c string, d string, e boolean"
+    ).repartition(16)
+    found = lint(
+        df,
+        ["category_dominance", *also],
+        options={"category_dominance": {"threshold": threshold}},
+        samples=False,
+    ).where("code = 'DL003' and status = 'LINT'")
+    got = Counter((x["column"], x["sample"][0], x["occurrences"]) for x in found.collect())
+    expected = Counter()
+    for name, values_ in zip("abcde", columns):
+        for value, count in Counter(values_).items():
+            if count / n > threshold:
+                text = None if value is None else str(value)
+                expected[name, text.lower() if isinstance(value, bool) else text, count] += 1
+    assert got == expected
+
+
+def test_frequent_values_shuffle_summaries_only(df):
+    """No hash of a text is shuffled to find out that none is frequent."""
+    plan = category_dominance.metrics(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "approx_top_k" in plan.lower() or "approxtopk" in plan.lower()
+    assert plan.count("Aggregate [idx") == 1

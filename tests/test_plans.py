@@ -71,7 +71,7 @@ def test_scans_of_the_whole_suite(spark, faulty):
         ("case_variants", 2),
         ("duplicate_rows", 2),
         ("numeric_text", 2),
-        ("category_dominance", 3),
+        ("category_dominance", 2),
         ("iqr_outliers", 3),
     ],
 )
