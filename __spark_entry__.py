@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -294,6 +295,19 @@ def json_report_summary(spark, sf_dir):
     return spark.read.json(f"{folder}/summary")
 
 
+def report_document(spark, sf_dir):
+    """Totals and results of the one-file report, read back from it."""
+    path = f"{shared_folder(spark, 'document')}.json"
+    plumbline.write_document(lint_seeded(spark, sf_dir), path)
+    document = spark.read.json(path, multiLine=True)
+    totals = ["total_results", "total_ok", "total_lints", "total_errors"]
+    return document.select(
+        *totals,
+        (F.col("elapsed_seconds") > 0).alias("timed"),
+        F.explode("results").alias("r"),
+    ).select(*totals, "timed", *(f"r.{name}" for name in LINT_COLUMNS))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "unnamed_columns": unnamed_columns,
@@ -358,6 +372,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "damaged_source": damaged_source,
         "json_report": json_report,
         "json_report_summary": json_report_summary,
+        "report_document": report_document,
     }
     for table in TABLES:
         found[f"lint_{table}"] = lint_table(table)
@@ -584,6 +599,13 @@ def oracle_sql() -> dict[str, str]:
             "CAST(0 AS BIGINT) AS total_errors "
             f"FROM ({lint_sql('events')}) f"
         ),
+        "report_document": (
+            "SELECT count(*) OVER () AS total_results, "
+            "count(CASE WHEN status = 'OK' THEN 1 END) OVER () AS total_ok, "
+            "count(CASE WHEN status = 'LINT' THEN 1 END) OVER () AS total_lints, "
+            "CAST(0 AS BIGINT) AS total_errors, true AS timed, f.* "
+            f"FROM ({lint_seeded_sql()}) f"
+        ),
     }
     for table in TABLES:
         found[f"lint_{table}"] = lint_sql(table)

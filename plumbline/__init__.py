@@ -1,6 +1,6 @@
 """Data-quality checks for Spark DataFrames."""
 
-from .report import gate, report_lines, summary, write_report
+from .report import gate, report_lines, summary, write_document, write_report
 from .schema import FINDING_SCHEMA
 from .sources import read_dataset
 from .suite import (
@@ -22,5 +22,6 @@ __all__ = [
     "report_lines",
     "summary",
     "unregister_check",
+    "write_document",
     "write_report",
 ]

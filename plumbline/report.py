@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .schema import ERROR, FINDING_SCHEMA, LINT, OK
 
+
 def summary(findings: DataFrame, elapsed_seconds: float | None = None) -> DataFrame:
     """One row: how many results, and how many of each status."""
     status = F.col("status")
@@ -57,3 +61,50 @@ def write_report(
     summary(written, elapsed_seconds).write.mode("errorifexists").json(
         f"{target}/summary"
     )
+
+
+def write_document(
+    findings: DataFrame, path: str, elapsed_seconds: float | None = None
+) -> None:
+    """One JSON file: totals, time and ``results``, in the order of the findings.
+
+    The checks run once, while the findings are written beside ``path``; how long
+    that takes is ``elapsed_seconds``, unless the caller has measured more than
+    that. The document is one row, as a report has few: one for each check and
+    column of each file. It is written beside ``path`` as well and then renamed, so
+    that readers see all of it or nothing. An existing file is left alone and told
+    as an error.
+    """
+    spark = findings.sparkSession
+    target = path.rstrip("/")
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(target)
+    system = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(file):
+        raise FileExistsError(target)
+    beside = f"{target}.{uuid.uuid4().hex}"
+    try:
+        started = time.perf_counter()
+        order = F.monotonically_increasing_id().alias("order")
+        findings.select("*", order).write.parquet(f"{beside}/findings")
+        if elapsed_seconds is None:
+            elapsed_seconds = time.perf_counter() - started
+        written = spark.read.parquet(f"{beside}/findings")
+        own = F.struct(*FINDING_SCHEMA.names)
+        results = F.array_sort(F.collect_list(F.struct("order", own.alias("own"))))
+        listed = written.agg(F.transform(results, lambda r: r["own"]).alias("results"))
+        # One row each.
+        totals = summary(written, elapsed_seconds).withColumn(
+            "results", listed.scalar()
+        )
+        document = totals.select(
+            F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+        )
+        document.coalesce(1).write.text(f"{beside}/document")
+        (part,) = system.globStatus(
+            jvm.org.apache.hadoop.fs.Path(f"{beside}/document/part-*")
+        )
+        if not system.rename(part.getPath(), file):
+            raise OSError(f"cannot write {target}")
+    finally:
+        system.delete(jvm.org.apache.hadoop.fs.Path(beside), True)

@@ -157,3 +157,22 @@ def test_written_report(df, tmp_path):
     (counts,) = lines("summary")
     assert counts["total_results"] == 8 and counts["total_lints"] == 1
     assert counts["elapsed_seconds"] == 2.0
+
+
+def test_document_holds_totals_time_and_results(spark, tmp_path):
+    df = spark.createDataFrame([(-1, "a"), (2, "A")], "n int, s string")
+    path = str(tmp_path / "report.json")
+    findings = lint(df, path="/d/t.csv")
+    plumbline.write_document(findings, path)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["report.json"]
+    document = json.loads(open(path, encoding="utf-8").read())
+    rows = [r.asDict() for r in findings.collect()]
+    assert document["results"] == rows
+    assert document["total_results"] == len(rows)
+    assert document["total_lints"] == sum(r["status"] == "LINT" for r in rows)
+    assert document["elapsed_seconds"] > 0
+    with pytest.raises(FileExistsError):
+        plumbline.write_document(findings, path)
+    plumbline.write_document(findings.where("false"), path + "2", elapsed_seconds=3)
+    empty = json.loads(open(path + "2", encoding="utf-8").read())
+    assert empty["results"] == [] and empty["elapsed_seconds"] == 3
