@@ -32,7 +32,7 @@ from .common import written
 END = 1
 GROUP = 8192
 # Words that are remembered with their ids, and the longest of them.
-CACHE, LONGEST = 300_000, 64
+CACHE, LONGEST = 600_000, 64
 ROW = "id long, nameless boolean"
 PIECE = "piece int, start long, length long, ids_crc32 long, doc_tokens long"
 PIECES = f"{ROW}, {PIECE}"
@@ -54,11 +54,21 @@ class Capacity(NamedTuple):
         return min(self.tokens, int(self.attention**0.5))
 
 
+# Letters whose lower case, normal form and class are the same for Python and the
+# tokenizer: ASCII and the accented letters up to U+017F, but for the dotted capital I.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f"
+PLAIN = "[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*"
+# Fixed value: where this vocabulary parts a word, for such letters.
+PARTS = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+"
+
+
 class Words(dict):
     """Ids of the words met so far, as little-endian 32-bit numbers.
 
     The vocabulary drops white space and nothing is merged across it, so the parts
-    of a text between blanks are encoded by themselves, by the tokenizer.
+    of a text between blanks are encoded by themselves. A plain word is parted here
+    and only what is new of it goes to the tokenizer's model; any other goes to the
+    tokenizer whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -66,18 +76,45 @@ class Words(dict):
 
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_str(vocabulary).encode
+        whole = Tokenizer.from_str(vocabulary)
+        self._encode = whole.encode
+        self._merge = whole.model.tokenize
+        self._bytes = [k.to_bytes(4, "little") for k in range(whole.get_vocab_size())]
+        # The vocabulary is written in one letter for each byte.
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printed]
+        self._letters = {b: 256 + k for k, b in enumerate(others)}
+        # Added tokens are one id wherever they stand.
+        added = whole.get_added_tokens_decoder().values()
+        without = "|".join(re.escape(token.content) for token in added) or "(?!)"
+        self._plain = re.compile(f"(?!.*(?:{without})){PLAIN}").fullmatch
+        self._parts = re.compile(PARTS).findall
         # Python takes these four for blanks, the vocabulary does not.
         self._odd = re.compile("[\x1c-\x1f]").search
         self._blanks = re.compile("[^\\S\x1c-\x1f]+").split
 
     def __missing__(self, word: str) -> bytes:
-        found = self._encode(word, add_special_tokens=False).ids
-        ids = np.array(found, "<u4").tobytes()
+        if self._plain(word):
+            ids = b"".join([self._part(part) for part in self._parts(word.lower())])
+        else:
+            found = self._encode(word, add_special_tokens=False).ids
+            ids = b"".join([self._bytes[k] for k in found])
         if len(word) <= LONGEST:
             self[word] = ids
         return ids
 
+    def _part(self, part: str) -> bytes:
+        """A part is a word of its own as well, with the same ids."""
+        ids = self.get(part)
+        if ids is None:
+            spelt = part
+            if not part.isascii():
+                spelt = part.encode().decode("latin-1").translate(self._letters)
+            ids = b"".join([self._bytes[t.id] for t in self._merge(spelt)])
+            if len(part) <= LONGEST:
+                self[part] = ids
+        return ids
+
     def ids(self, text: str) -> bytes:
         if len(self) > CACHE:
             self.clear()

@@ -46,6 +46,15 @@ def test_ids_are_those_of_the_tokenizer(words_file, ids_of):
             assert np.frombuffer(words.ids(text or ""), "<u4").tolist() == ids_of(text), text
 
 
+def test_letters_taken_apart_here_are_those_of_the_tokenizer(words_file, ids_of):
+    """Each sign of the plain ones, and some beyond, alone and between others."""
+    words = Words(open(words_file, encoding="utf-8").read())
+    for code in [*range(0x21, 0x250), 0x3A3, 0x1E9E, 0x2126, 0x212B, 0xFB01]:
+        sign = chr(code)
+        for text in (sign, f"ab{sign}cd", f"1{sign}2", f"it'{sign}s", f"!{sign}?", sign * 3):
+            assert np.frombuffer(words.ids(text), "<u4").tolist() == ids_of(text), repr(text)
+
+
 def checked(placed, capacity):
     """Sequences of a packing; asserts that none is over full and none has gaps."""
     found = placed.groupby("sequence_id")
