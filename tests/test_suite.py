@@ -176,3 +176,31 @@ def test_document_holds_totals_time_and_results(spark, tmp_path):
     plumbline.write_document(findings.where("false"), path + "2", elapsed_seconds=3)
     empty = json.loads(open(path + "2", encoding="utf-8").read())
     assert empty["results"] == [] and empty["elapsed_seconds"] == 3
+
+
+def test_files_are_linted_at_the_same_time(spark, tmp_path):
+    """Findings come in the order of the files, a broken one among them."""
+    import time
+
+    paths = []
+    for k in range(12):
+        path = str(tmp_path / f"f{k}.parquet")
+        spark.range(k + 1).selectExpr("-id - 1 as n").write.parquet(path)
+        paths.append(path)
+    paths.insert(5, str(tmp_path / "missing.parquet"))
+    names = [os.path.basename(p) for p in paths]
+
+    def run(at_once):
+        started = time.perf_counter()
+        rows = lint_paths(spark, paths, ["negative_values"], at_once=at_once).collect()
+        return rows, time.perf_counter() - started
+
+    run(1)  # code is loaded and compiled
+    one_by_one, slow = run(1)
+    together, fast = run(8)
+    assert [r["file_name"] for r in together] == names
+    assert together == one_by_one
+    assert [r["status"] for r in together].count("ERROR") == 1
+    assert fast < slow
+    with pytest.raises(ValueError):
+        lint_paths(spark, paths, at_once=0)
