@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 CAPACITY = 1024
 SMALLEST = 16
 END = 0
-CACHE = 400_000
+CACHE = 1_000_000
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long"
@@ -56,10 +56,11 @@ class Encoder:
 
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
-        self._letters = dict(zip(plain, map(chr, plain)))
-        self._letters |= {b: chr(256 + k) for k, b in enumerate(rest)}
+        self._letters = {b: 256 + k for k, b in enumerate(rest)}
         self._whole = Tokenizer.from_str(vocabulary)
-        self._model = self._whole.model
+        self._tokenize = self._whole.model.tokenize
+        size = self._whole.get_vocab_size()
+        self._bytes = [k.to_bytes(4, "little") for k in range(size)]
         tokens = (json.loads(vocabulary).get("added_tokens") or []) if added else []
         self._added = {t["content"]: t["id"].to_bytes(4, "little") for t in tokens}
         # The longest of those that begin at one place.
@@ -72,9 +73,8 @@ class Encoder:
         self._known: dict[str, bytes] = {}
 
     def _merge(self, piece: str) -> bytes:
-        letters = "".join(self._letters[b] for b in piece.encode("utf-8"))
-        ids = [t.id for t in self._model.tokenize(letters)]
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        letters = piece.encode("utf-8").decode("latin-1").translate(self._letters)
+        return b"".join([self._bytes[t.id] for t in self._tokenize(letters)])
 
     def _part(self, part: str) -> bytes:
         known = self._known
