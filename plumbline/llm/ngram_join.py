@@ -17,10 +17,12 @@ equal are one node from the start. Pairs are never expanded within a bucket:
 
 1. a node is compared with the one pivot that it shares most buckets with;
 2. nodes still apart from the first or last node of a bucket are compared
-   with it;
+   with it; what comes first differs from bucket to bucket, so that the nodes
+   of a large group meet many pivots;
 3. in buckets that hold several groups still, nodes outside the largest group
    are compared with the others, block by block, on their segments; only pairs
-   of different groups that their segments allow are verified.
+   of different groups that their segments allow are verified, at first one for
+   each node, its likeliest.
 
 After that every pair that may link was compared or is joined already.
 
@@ -47,7 +49,8 @@ from .words import Hasher, chunks, mix
 
 OCTAVES = 26
 SPARE = 1.25
-CHANCE = 0.02
+# How often a shingle of one text is also one of another that does not link with it.
+CHANCE = 0.002
 PAIR_COST = 4.0
 BLOCK = 1024
 COMPARED = 1 << 21
@@ -312,7 +315,7 @@ def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 def allowed(rule: Rule, rows: pd.DataFrame, nearest: bool) -> pd.DataFrame:
     """Pairs of whole blocks that may link, from their sketches.
 
-    With ``nearest``, of each node and group only the likeliest pair.
+    With ``nearest``, of each node that is set aside only the likeliest pair.
 
     ``rows`` are sorted by block, those that are set aside last in each.
     """
@@ -347,12 +350,9 @@ def allowed(rule: Rule, rows: pd.DataFrame, nearest: bool) -> pd.DataFrame:
         apart = np.add.reduceat(differ, np.cumsum(m) - m, dtype=np.int64)
         use = np.flatnonzero(apart <= rule.differ(count[left] + count[right]))
         if nearest:
-            order = np.lexsort((apart[use], group[right[use]], left[use]))
-            use = use[order]
+            use = use[np.lexsort((node[right[use]], apart[use], left[use]))]
             new = np.ones(len(use), bool)
-            new[1:] = (left[use][1:] != left[use][:-1]) | (
-                group[right[use]][1:] != group[right[use]][:-1]
-            )
+            new[1:] = left[use][1:] != left[use][:-1]
             use = use[new]
         pair = np.stack([node[left[use]], node[right[use]]], 1)
         found.append(np.sort(pair, axis=1))
@@ -403,16 +403,19 @@ class Join:
 
         ``key, low, high, n``, and ``key, node, low, high`` where ``n`` is over
         two; a bitmap of fixed size keeps most other keys from being shuffled.
+        Nodes are ordered by their bits changed by the key's.
         """
+        place = F.col("node").bitwiseXOR(F.col("key"))
         heads = written(
             self.sets.select(F.explode("keys").alias("key"), "node")
             .groupBy("key")
             .agg(
-                F.min("node").alias("low"),
-                F.max("node").alias("high"),
+                F.min(place).alias("low"),
+                F.max(place).alias("high"),
                 F.count("*").alias("n"),
             )
             .where("low < high")
+            .withColumns({c: F.col(c).bitwiseXOR(F.col("key")) for c in ("low", "high")})
         )
         release(self.spark)
         large = heads.where("n > 2")
