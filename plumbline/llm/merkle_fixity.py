@@ -10,9 +10,10 @@ Everything is joins and grouped aggregates; no group holds more than ``FANOUT``
 rows, and a file's records are only counted and summed.
 
 Defined results: a null payload is an empty one; a file that only one replica
-has differs in all its records; rows of equal file and number are told apart by
-their hashes, as one leaf; an empty archive has no tree and no difference; other
-columns are ignored.
+has differs in all its records; rows of equal file and number are one leaf, told by
+their number and the sums of their hashes; a null file is a file, a null number a
+record of its own; an empty archive has no tree and no difference; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +32,11 @@ LEVELS = 4
 def warc_records(pages: DataFrame, per_file: int = 4096) -> DataFrame:
     """``file, number, record``: pages as WARC response records, in id order.
 
-    Files take ``per_file`` successive ids; ``FANOUT ** LEVELS`` bounds it.
+    Files take ``per_file`` successive ids; ``FANOUT ** LEVELS`` bounds it. Negative
+    ids are in files of negative numbers, pages without id in a file without number.
     """
+    if not 0 < per_file <= FANOUT**LEVELS:
+        raise ValueError(f"per_file must be in 1 to {FANOUT**LEVELS}")
     body = F.coalesce(F.col("html"), F.lit(""))
     head = F.concat_ws(
         "\r\n",
@@ -45,8 +49,8 @@ def warc_records(pages: DataFrame, per_file: int = 4096) -> DataFrame:
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     )
     return pages.select(
-        F.expr(f"page_id div {per_file}").alias("file"),
-        F.expr(f"cast(page_id % {per_file} as int)").alias("number"),
+        F.expr(f"(page_id - pmod(page_id, {per_file})) div {per_file}").alias("file"),
+        F.expr(f"cast(pmod(page_id, {per_file}) as int)").alias("number"),
         F.concat(head, F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n")).alias("record"),
     )
 
@@ -54,6 +58,11 @@ def warc_records(pages: DataFrame, per_file: int = 4096) -> DataFrame:
 def leaves(records: DataFrame) -> DataFrame:
     """``file, level, number, hash, length``, a row for each record."""
     record = F.coalesce(F.col("record"), F.lit(""))
+    # Parts of the hashes, summed: the same in any order, and of a fixed size.
+    parts = [
+        F.sum(F.conv(F.substring("hash", at, 15), 16, 10).cast("decimal(20,0)"))
+        for at in (1, 16, 31, 46)
+    ]
     return (
         records.select(
             "file",
@@ -63,7 +72,7 @@ def leaves(records: DataFrame) -> DataFrame:
         )
         .groupBy("file", "number")
         .agg(
-            F.array_join(F.array_sort(F.collect_list("hash")), "").alias("hashes"),
+            F.concat_ws(":", F.count("*"), *parts).alias("hashes"),
             F.count("*").alias("n"),
             F.max("hash").alias("hash"),
             F.sum("length").alias("length"),
@@ -85,7 +94,9 @@ def parents(nodes: DataFrame) -> DataFrame:
     child = F.struct("number", "hash")
     text = F.transform(
         F.array_sort(F.collect_list(child)),
-        lambda c: F.concat(c["number"].cast("string"), F.lit(":"), c["hash"]),
+        lambda c: F.concat_ws(
+            ":", F.coalesce(c["number"].cast("string"), F.lit("-")), c["hash"]
+        ),
     )
     return nodes.groupBy(
         "file",
@@ -111,21 +122,39 @@ def differing(one: DataFrame, other: DataFrame) -> DataFrame:
     ``file, number, hash, length, other_hash, other_length``; null where a
     replica lacks the record.
     """
-    named = other.withColumnsRenamed({"hash": "other_hash", "length": "other_length"})
-    key = ["file", "level", "number"]
-    found = None
+    def children(nodes: DataFrame, level: int, above: DataFrame | None) -> DataFrame:
+        """The nodes of a level, but only below those that differ."""
+        rows = nodes.where(F.col("level") == level).drop("level")
+        if above is None:
+            return rows
+        up = F.expr(f"cast(number div {FANOUT} as int)")
+        below = rows["file"].eqNullSafe(above["in_file"]) & up.eqNullSafe(above["up"])
+        return rows.join(above, below, "left_semi")
+
+    found = above = None
     for level in range(LEVELS, -1, -1):
-        a = one.where(F.col("level") == level)
-        b = named.where(F.col("level") == level)
-        if found is not None:
-            # Only below nodes that differ.
-            above = found.select("file", F.col("number").alias("up"))
-            up = F.expr(f"cast(number div {FANOUT} as int)")
-            a = a.withColumn("up", up).join(above, ["file", "up"], "left_semi").drop("up")
-            b = b.withColumn("up", up).join(above, ["file", "up"], "left_semi").drop("up")
-        both = a.join(b, key, "full_outer")
-        found = both.where(~F.col("hash").eqNullSafe(F.col("other_hash")))
-    return found.drop("level")
+        a = children(one, level, above)
+        b = children(other, level, above)
+        b = b.withColumnsRenamed({c: f"other_{c}" for c in b.columns})
+        same = F.col("file").eqNullSafe(F.col("other_file"))
+        same &= F.col("number").eqNullSafe(F.col("other_number"))
+        found = (
+            a.join(b, same, "full_outer")
+            .where(~F.col("hash").eqNullSafe(F.col("other_hash")))
+            .select(
+                # A key that is null on both sides stays so.
+                F.coalesce("file", "other_file").alias("file"),
+                F.coalesce("number", "other_number").alias("number"),
+                "hash",
+                "length",
+                "other_hash",
+                "other_length",
+            )
+        )
+        above = found.select(
+            F.col("file").alias("in_file"), F.col("number").alias("up")
+        )
+    return found
 
 
 def offsets(nodes: DataFrame) -> DataFrame:
@@ -146,11 +175,14 @@ def offsets(nodes: DataFrame) -> DataFrame:
     found = ahead.where("level = 0").select("file", "number", "ahead")
     for level in range(1, LEVELS):
         up = ahead.where(F.col("level") == level).select(
-            "file", F.col("number").alias("up"), F.col("ahead").alias("more")
+            F.col("file").alias("in_file"),
+            F.col("number").alias("up"),
+            F.col("ahead").alias("more"),
         )
+        place = F.expr(f"cast(number div {FANOUT**level} as int)")
+        above = F.col("file").eqNullSafe(F.col("in_file")) & place.eqNullSafe(F.col("up"))
         found = (
-            found.withColumn("up", F.expr(f"cast(number div {FANOUT**level} as int)"))
-            .join(up, ["file", "up"])
+            found.join(up, above)
             .select("file", "number", (F.col("ahead") + F.col("more")).alias("ahead"))
         )
     return found.withColumnRenamed("ahead", "offset")
@@ -170,8 +202,10 @@ def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
         .when(F.col("length") != F.col("other_length"), "resized")
         .otherwise("altered")
     )
+    at = offsets(own).withColumnsRenamed({"file": "in_file", "number": "at"})
+    same = F.col("file").eqNullSafe(F.col("in_file")) & F.col("number").eqNullSafe(F.col("at"))
     return (
-        wrong.join(offsets(own), ["file", "number"], "left")
+        wrong.join(at, same, "left")
         .select(
             "file",
             "number",

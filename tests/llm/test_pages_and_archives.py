@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from llm_fixtures import docs, with_clashing_names  # noqa: F401
 
 from plumbline.llm import merkle_fixity, spot_signatures
@@ -192,3 +194,21 @@ def test_near_copies_are_alike_whatever_the_number_of_spots():
         less = [w for k, w in enumerate(words) if k != places[0]]
         a, b = spot_signatures.spots(hasher, anchors, [" ".join(words), " ".join(less)])
         assert spot_signatures.likeness(a, b) > 0.85, n
+
+
+def test_altered_records_without_file_or_number_are_found(spark):
+    schema = "file long, number int, record string"
+    own = [(None, 0, "a"), (None, 1, "b"), (None, None, "c"), (0, 0, "d"), (0, 0, "e"), (-1, 5, "f")]
+    other = [(None, 0, "a"), (None, 1, "B"), (None, None, "C"), (0, 0, "e"), (0, 0, "d"), (-1, 5, "g")]
+    wrong = merkle_fixity.audit(spark.createDataFrame(own, schema), spark.createDataFrame(other, schema))
+    found = {(r["file"], r["number"], r["offset"], r["fault"]) for r in wrong.collect()}
+    assert found >= {(None, 1, 1, "altered"), (-1, 5, 0, "altered")}
+    assert {r[:2] for r in found} == {(None, 1), (None, None), (-1, 5)}
+
+
+def test_negative_ids_and_files_that_are_too_long(spark):
+    pages = spark.createDataFrame([(-1, "u", "h"), (None, "u", "h")], "page_id long, url string, html string")
+    placed = {(r["file"], r["number"]) for r in merkle_fixity.warc_records(pages).collect()}
+    assert placed == {(-1, 4095), (None, None)}
+    with pytest.raises(ValueError):
+        merkle_fixity.warc_records(pages, 1 << 17)
