@@ -131,9 +131,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarr
     return found
 
 
+# Characters whose n-grams are held at once while scoring; each takes some 100 bytes.
+SCORED_AT_ONCE = 1 << 18
+
+
 def scored(model_weights: np.ndarray, hasher: Hasher, texts: list[str]) -> np.ndarray:
     sums = np.zeros(len(texts))
-    for first, last in chunks(texts):
+    for first, last in chunks(texts, SCORED_AT_ONCE):
         sizes, found = families(hasher, texts[first:last])
         for doc, slot in found:
             sums[first:last] += np.bincount(

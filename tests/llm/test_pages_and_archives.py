@@ -2,7 +2,6 @@ import hashlib
 import random
 
 import pytest
-
 from llm_fixtures import docs, with_clashing_names  # noqa: F401
 
 from plumbline.llm import merkle_fixity, spot_signatures
