@@ -53,6 +53,8 @@ SPARE = 1.25
 CHANCE = 0.002
 PAIR_COST = 4.0
 BLOCK = 1024
+# Characters whose shingles and segments are held at once, some 400 bytes for each.
+HELD = 1 << 18
 COMPARED = 1 << 21
 FINE = 4
 FILTER_BITS = 1 << 22
@@ -211,7 +213,7 @@ def indexer(rule: Rule, plans):
         hasher, seen = Hasher(), set()
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
-            for first, last in chunks(texts):
+            for first, last in chunks(texts, HELD):
                 sets = Sets(hasher, texts[first:last], rule.words)
                 nodes, sizes = sets.nodes(), sets.size.copy()
                 # Equal sets are indexed once by each task.
@@ -241,7 +243,7 @@ def verifier(rule: Rule):
         for batch in batches:
             one, other = list(batch["text_a"]), list(batch["text_b"])
             keep = np.zeros(len(one), bool)
-            for first, last in chunks([a + b for a, b in zip(one, other)]):
+            for first, last in chunks([a + b for a, b in zip(one, other)], HELD):
                 a = Sets(hasher, one[first:last], rule.words)
                 b = Sets(hasher, other[first:last], rule.words)
                 for k in range(last - first):
@@ -285,7 +287,7 @@ def sketcher(rule: Rule):
         hasher = Hasher()
         for batch in batches:
             texts = list(batch["text"])
-            for first, last in chunks(texts):
+            for first, last in chunks(texts, HELD):
                 sets = Sets(hasher, texts[first:last], rule.words)
                 entry_set, octave, entry, index, content, sums, *_ = segments(
                     sets, plans, rule
@@ -489,7 +491,7 @@ def checker(rule: Rule):
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             keep = []
-            for first, last in chunks(texts):
+            for first, last in chunks(texts, HELD):
                 keep.append(Sets(hasher, texts[first:last], rule.words).nodes())
             if texts:
                 same = np.concatenate(keep) == batch["node"].to_numpy()
