@@ -46,6 +46,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy(function):
+    """``function`` for ``mapInPandas``, which gives memory back when a task ends.
+
+    Python workers outlive their tasks, and what their allocators keep for later is
+    lost to the executor's other processes.
+    """
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow
+
+        yield from function(batches)
+        pyarrow.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in some C libraries
+        if trim:
+            trim(0)
+
+    return run
+
+
 def bitmap(hashes: DataFrame, bits: int):
     """A bit for each slot that a value of the only column falls in, in numpy.
 

@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 CAPACITY = 1024
 SMALLEST = 16
 END = 0
@@ -211,5 +213,5 @@ def pack(
     with open(vocabulary_path, encoding="utf-8") as file:
         vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
     return docs.select("doc_id", "text").mapInPandas(
-        packer(vocabulary, capacity, smallest, added), SCHEMA
+        tidy(packer(vocabulary, capacity, smallest, added)), SCHEMA
     )

@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, release, small_batches, written
+from .common import bitmap, release, small_batches, tidy, written
 from .components import components
 from .words import Hasher, chunks, mix
 
@@ -394,7 +394,7 @@ class Join:
         self.plans = [rule.plan(k, total) for k in range(OCTAVES)]
         self.sets = written(
             self.docs.mapInPandas(
-                indexer(rule, self.plans),
+                tidy(indexer(rule, self.plans)),
                 "doc_id long, copy long, n_shingles long, node long, keys array<long>",
             )
         )
@@ -463,7 +463,7 @@ class Join:
 
     def candidates(self, wanted: DataFrame) -> DataFrame:
         found = self.texts(wanted).mapInPandas(
-            checker(self.rule), "node long, text string"
+            tidy(checker(self.rule)), "node long, text string"
         )
         return written(found.dropDuplicates(["node"]))
 
@@ -480,7 +480,7 @@ class Join:
         a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         both = pairs.select("a", "b").join(a, "a").join(b, "b")
-        return written(both.mapInPandas(verifier(self.rule), "a long, b long"))
+        return written(both.mapInPandas(tidy(verifier(self.rule)), "a long, b long"))
 
 
 def checker(rule: Rule):
@@ -631,7 +631,7 @@ def _groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     texts = join.candidates(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     sketches = written(
         texts.mapInPandas(
-            sketcher(join.rule),
+            tidy(sketcher(join.rule)),
             "node long, octave long, size long, sketch binary",
         )
     )

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sampled
+from .common import fold, sampled, tidy
 from .words import Hasher, chunks, mix, shape_hashes
 
 BITS = 18
@@ -176,7 +176,7 @@ def keeper(model, threshold: float):
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that reach ``threshold``, all columns as they were."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    return docs.mapInPandas(keeper(model, threshold), docs.schema)
+    return docs.mapInPandas(tidy(keeper(model, threshold)), docs.schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
