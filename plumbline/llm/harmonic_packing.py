@@ -38,6 +38,21 @@ PIECES = (
 )
 
 
+WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 32]
+
+
+def blanks_meet(text: str) -> bool:
+    """Whether a blank of ``text`` has white space beside it."""
+    if "  " in text:
+        return True
+    return any(c in text and (f"{c} " in text or f" {c}" in text) for c in WHITE)
+
+
+def letters_only(text: str) -> bool:
+    """Whether ``text`` is letters, and all of scripts on which no version differs."""
+    return text.isalpha() and (text.isascii() or max(text) < "\u0250")
+
+
 class Encoder:
     """Token ids of a text as little-endian 32-bit numbers.
 
@@ -71,24 +86,48 @@ class Encoder:
         flags = ("single_word", "lstrip", "rstrip", "normalized")
         self._plain = not any(t.get(f) for t in tokens for f in flags)
         self._pieces = regex.compile(PIECES).findall
-        self._two_blanks = re.compile(r"\s\s").search
+        self._blank = chr(self._letters[32])
+        self._spelt: dict[str, str] = {}
         self._known: dict[str, bytes] = {}
-
-    def _merge(self, piece: str) -> bytes:
-        letters = piece.encode("utf-8").decode("latin-1").translate(self._letters)
+        self._after: dict[str, bytes] = {}  # of a blank and the key
+
+    def _spell(self, char: str) -> str:
+        found = char.encode("utf-8").decode("latin-1").translate(self._letters)
+        if len(self._spelt) < 4096:
+            self._spelt[char] = found
+        return found
+
+    def _one(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():  # its bytes are its letters
+            letters = piece.replace(" ", self._blank)
+        else:
+            spelt = self._spelt
+            letters = "".join([spelt.get(c) or self._spell(c) for c in piece])
         return b"".join([self._bytes[t.id] for t in self._tokenize(letters)])
 
+    def _piece(self, piece: str) -> bytes:
+        ids = self._known.get(piece)
+        if ids is None:
+            ids = self._known[piece] = self._one(piece)
+        return ids
+
     def _part(self, part: str) -> bytes:
-        known = self._known
-        found = []
-        for piece in self._pieces(part):
-            ids = known.get(piece)
-            if ids is None:
-                ids = known[piece] = self._merge(piece)
-            found.append(ids)
-        whole = b"".join(found)
-        known[part] = whole
-        return whole
+        """Of a blank and ``part``."""
+        after = self._after
+        ids = after.get(part)
+        if ids is None:
+            body, last = part[:-1], part[-1:]
+            if letters_only(part):  # one piece
+                ids = self._one(" " + part)
+            elif last in (",", ".") and letters_only(body):  # two
+                ids = self._part(body) + self._piece(last)
+            else:
+                first, *rest = self._pieces(" " + part)
+                whole = letters_only(first[1:])
+                ids = self._part(first[1:]) if whole else self._piece(first)
+                ids += b"".join(map(self._piece, rest))
+            after[part] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         if not self._apart or not self._apart.search(text):
@@ -104,18 +143,18 @@ class Encoder:
     def _text(self, text: str) -> bytes:
         if not text:
             return b""
-        if len(self._known) > CACHE:
+        if len(self._known) + len(self._after) > CACHE:
             self._known.clear()
-        known, part = self._known, self._part
-        if self._two_blanks(text):
-            return b"".join(
-                known[x] if x in known else self._merge(x) for x in self._pieces(text)
-            )
+            self._after.clear()
+        if blanks_meet(text):
+            return b"".join(map(self._piece, self._pieces(text)))
         head, *tail = text.split(" ")
-        found = [part(head)] if head else []
-        get = known.get
-        found += [get(p) or part(p) for p in [" " + t for t in tail]]
-        return b"".join(found)
+        ids = list(map(self._after.get, tail))
+        at = 0
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at)
+            ids[at] = self._part(tail[at])
+        return b"".join([*map(self._piece, self._pieces(head)), *ids])
 
 
 def cut(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[int]:

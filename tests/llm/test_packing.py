@@ -96,3 +96,19 @@ def test_added_tokens_are_those_of_a_tokenizer_at_its_defaults(docs, vocabulary,
         ids = np.array(expected(texts[p.doc_id]) + [0], "<u4")
         assert p.doc_tokens == len(ids)
         assert p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
+
+
+def test_plain_words_need_no_pattern(vocabulary):
+    from tokenizers import Tokenizer
+
+    text = open(vocabulary, encoding="utf-8").read()
+    encoder, whole = Encoder(text, added=True), Tokenizer.from_str(text)
+    asked, find = [], encoder._pieces
+    encoder._pieces = lambda part: asked.append(part) or find(part)
+    words = "Plain words, été and more. ¿x a.b, ,. \x00a ǅa ²\x1f日本 x's\nY"
+    for given in (words, f" {words} ", words.replace(" a", " \x1fa"), words.replace("Y", "\n ")):
+        ids = whole.encode(given, add_special_tokens=False).ids
+        assert encoder.encode(given) == b"".join(i.to_bytes(4, "little") for i in ids)
+    asked.clear()
+    encoder.encode("one two, three. déjà")
+    assert asked == ["one"]
