@@ -3,10 +3,17 @@
 Four kinds are looked for: email, ip, card and phone. Fixed patterns give the
 base spans, which always stay. Wider generators then propose overlapping
 candidates (``name at host dot org``, phones without a plus sign, cards with
-odd separators, addresses in brackets); trees boosted in numpy judge each by
+odd separators, addresses in brackets); boosted trees of its kind judge each by
 its format and its context, and a threshold per kind, calibrated on candidates
 held out from training, selects which of them are added.
 
+All candidates of all texts are learned from. A tree reads a feature only as the
+step of a fixed scale that it falls on, so equal candidates are counted as one
+cell; of the cells each level of each round of trees asks one sum of gradients
+by node, feature and step. Up to ``CELLS`` cells are summed at once, more by
+Spark from a written table. Sums are of whole numbers, so the trees depend
+neither on that nor on how the table is partitioned.
+
 The trees learn from the corpus itself: a candidate that is a base span is
 right, and one that has the form but fails the test of its kind (Luhn's sum,
 parts up to 255, number of digits) or is a mere number or word is wrong. The
@@ -16,13 +23,15 @@ Defined results: a null or empty text has no span; overlapping added spans of
 a kind keep the highest score, then the leftmost, then the longest; spans never
 overlap a base span of their kind; repeated rows get equal spans; other columns
 are kept by ``redacted`` and ignored by ``spans``. Without any base span in the
-sample nothing is added.
+table nothing is added.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
@@ -31,13 +40,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, tidy
+from .common import tidy, written
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_ROWS = 4000
-CANDIDATES = 20_000
-TREES, DEPTH, RATE, SPLITS = 40, 3, 0.2, 16
+ROUNDS, DEPTH, RATE = 12, 3, 0.4
 PRECISION = 0.995
+# Gradients are summed, and margins told apart, as multiples of these parts.
+UNIT, STEP = 1 << 20, 100
+MARGINS = 1 << 14
+CELLS = 1 << 15
 RESULT = (
     "doc_id long, text string, kinds array<string>, starts array<int>, "
     "ends array<int>, base array<boolean>"
@@ -190,93 +201,145 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
 
 # -- trees -----------------------------------------------------------------
 
+COUNTS = (0.5, 1.5, 2.5, 3.5, 4.5, 5.5, 6.5, 7.5, 9.5, 11.5, 14.5, 17.5, 20.5, 24.5, 31.5)
+LENGTHS = (6.5, 7.5, 8.5, 9.5, 10.5, 11.5, 12.5, 13.5, 14.5, 15.5, 17.5, 19.5, 22.5, 26.5, 31.5)
+PARTS = (0.05, 0.15, 0.25, 0.35, 0.45, 0.55, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 0.99)
+# The scale of each feature, in their order.
+SCALES = [COUNTS, LENGTHS, LENGTHS, PARTS, *[COUNTS] * 8, *[(0.5,)] * 3, COUNTS, *[(0.5,)] * 8]
+STEPS = 16
+
+
+def binned(x: np.ndarray) -> np.ndarray:
+    """The step of its scale that each feature of each row falls on."""
+    steps = [np.searchsorted(scale, column) for scale, column in zip(SCALES, x.T)]
+    return np.stack(steps, 1).astype(np.uint8)
+
 
 class Trees:
-    """Boosted regression trees for logistic loss, complete to ``DEPTH``.
+    """Boosted regression trees for logistic loss, of every kind its own.
 
-    A tree is three arrays: feature and threshold of each inner node in the
-    order of a heap, and the value of each leaf.
+    A tree is three arrays: feature and threshold (a step) of each inner node in
+    the order of a heap, and the value of each leaf. A round has a tree for each
+    kind, and its arrays one row for each.
     """
 
-    def __init__(self, start: float, trees: list):
+    def __init__(self, start: np.ndarray):
         self.start = start
-        self.trees = trees
+        self.rounds: list = []
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        total = np.full(len(x), self.start)
-        rows = np.arange(len(x))
-        for feature, threshold, leaf in self.trees:
-            node = np.zeros(len(x), np.int64)
-            for _ in range(DEPTH):
-                right = x[rows, feature[node]] > threshold[node]
-                node = 2 * node + 1 + right
-            total += leaf[node - (2**DEPTH - 1)]
+        return self.of(binned(x))
+
+    def of(self, steps: np.ndarray) -> np.ndarray:
+        kind = steps[:, 0]
+        total = self.start[kind]
+        for feature, threshold, leaf in self.rounds:
+            at = nodes(steps, feature, threshold, DEPTH)
+            total = total + leaf[kind, at - (2**DEPTH - 1)]
         return total
 
 
-def best_split(x, g, h, grid):
-    """The cut with the largest gain: ``(gain, feature, threshold)``."""
-    parent = g.sum() ** 2 / (h.sum() + 1)
-    best = (1e-6, 0, np.inf)
-    for f, cuts in enumerate(grid):
-        for cut in cuts:
-            right = x[:, f] > cut
-            gr, hr = g[right].sum(), h[right].sum()
-            gl, hl = g.sum() - gr, h.sum() - hr
-            gain = gr**2 / (hr + 1) + gl**2 / (hl + 1) - parent
-            if gain > best[0]:
-                best = (gain, f, cut)
-    return best
-
-
-def boost(x: np.ndarray, y: np.ndarray) -> Trees:
-    mean = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    model = Trees(float(np.log(mean / (1 - mean))), [])
-    grid = []
-    for column in x.T:
-        cuts = np.unique(np.quantile(column, np.linspace(0, 1, SPLITS)))
-        grid.append((cuts[1:] + cuts[:-1]) / 2)
-    margin = model.margin(x)
-    for _ in range(TREES):
-        p = 1 / (1 + np.exp(-margin))
-        g, h = y - p, p * (1 - p)
-        feature = np.zeros(2**DEPTH - 1, np.int64)
-        threshold = np.full(2**DEPTH - 1, np.inf)
-        node = np.zeros(len(x), np.int64)
-        for inner in range(2**DEPTH - 1):
-            at = node == inner
-            if at.any():
-                _, feature[inner], threshold[inner] = best_split(
-                    x[at], g[at], h[at], grid
-                )
-            right = x[:, feature[inner]] > threshold[inner]
-            node = np.where(at, 2 * inner + 1 + right, node)
-        leaf = np.zeros(2**DEPTH)
-        for k in range(2**DEPTH):
-            at = node == k + 2**DEPTH - 1
-            leaf[k] = RATE * g[at].sum() / (h[at].sum() + 1)
-        model.trees.append((feature, threshold, leaf))
-        margin += leaf[node - (2**DEPTH - 1)]
-    return model
+def nodes(steps: np.ndarray, feature, threshold, depth: int) -> np.ndarray:
+    """The node at ``depth`` of its kind's tree that each row comes to."""
+    rows, kind = np.arange(len(steps)), steps[:, 0]
+    node = np.zeros(len(steps), np.int64)
+    for _ in range(depth):
+        right = steps[rows, feature[kind, node]] > threshold[kind, node]
+        node = 2 * node + 1 + right
+    return node
+
+
+def matrix(cells: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), np.uint8).reshape(-1, len(SCALES))
+
+
+def summed(trees: Trees, feature, threshold, level: int):
+    """Sums of gradients by kind, node of a level, feature and step."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = len(KINDS) * 2**level * len(SCALES) * STEPS
+        g_sum, h_sum = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for batch in batches:
+            steps = matrix(batch["cell"])
+            p = 1 / (1 + np.exp(-trees.of(steps)))
+            n = batch["n"].to_numpy()
+            g = np.rint((batch["label"].to_numpy() - p) * UNIT).astype(np.int64) * n
+            h = np.rint(p * (1 - p) * UNIT).astype(np.int64) * n
+            node = nodes(steps, feature, threshold, level) - (2**level - 1)
+            first = (steps[:, 0] * 2**level + node)[:, None] * len(SCALES)
+            slot = (first + np.arange(len(SCALES))) * STEPS + steps
+            np.add.at(g_sum, slot, g[:, None])
+            np.add.at(h_sum, slot, h[:, None])
+        some = np.flatnonzero((g_sum != 0) | (h_sum != 0))
+        yield pd.DataFrame({"slot": some, "g": g_sum[some], "h": h_sum[some]})
+
+    return add
+
+
+def applied(cells: DataFrame | pd.DataFrame, function, by: list[str], sums: list[str]):
+    """Sums by ``by`` of what ``function`` makes of the cells, whose rows are bounded."""
+    if isinstance(cells, pd.DataFrame):
+        return pd.concat(function(iter([cells]))).groupby(by, as_index=False)[sums].sum()
+    schema = ", ".join(f"{c} long" for c in [*by, *sums])
+    made = cells.mapInPandas(tidy(function), schema).groupBy(by)
+    return made.agg(*(F.sum(c).alias(c) for c in sums)).toPandas()
+
+
+def grown(cells: DataFrame | pd.DataFrame, trees: Trees) -> None:
+    """Add a round: a tree for each kind, level by level."""
+    inner = 2**DEPTH - 1
+    feature = np.zeros((len(KINDS), inner), np.int64)
+    threshold = np.full((len(KINDS), inner), STEPS)
+    leaf = np.zeros((len(KINDS), 2**DEPTH))
+    for level in range(DEPTH):
+        # At most a row for each kind, node, feature and step.
+        gradients = summed(trees, feature, threshold, level)
+        sums = applied(cells, gradients, ["slot"], ["g", "h"])
+        shape = (len(KINDS), 2**level, len(SCALES), STEPS)
+        slot = sums["slot"].to_numpy(np.int64)
+        g, h = np.zeros(np.prod(shape)), np.zeros(np.prod(shape))
+        g[slot], h[slot] = sums["g"] / UNIT, sums["h"] / UNIT
+        g, h = g.reshape(shape), h.reshape(shape)
+        left_g, left_h = g.cumsum(-1), h.cumsum(-1)
+        right_g, right_h = left_g[..., -1:] - left_g, left_h[..., -1:] - left_h
+        gain = left_g**2 / (left_h + 1) + right_g**2 / (right_h + 1)
+        gain -= left_g[..., -1:] ** 2 / (left_h[..., -1:] + 1)
+        for kind in range(len(KINDS)):
+            for k in range(2**level):
+                f, t = np.unravel_index(gain[kind, k].argmax(), shape[2:])
+                if gain[kind, k, f, t] <= 1e-6:
+                    f, t = 0, STEPS - 1
+                node = 2**level - 1 + k
+                feature[kind, node], threshold[kind, node] = f, t
+                if level == DEPTH - 1:
+                    both = zip(
+                        (left_g[kind, k, f, t], right_g[kind, k, f, t]),
+                        (left_h[kind, k, f, t], right_h[kind, k, f, t]),
+                    )
+                    leaf[kind, 2 * k : 2 * k + 2] = [RATE * a / (b + 1) for a, b in both]
+    trees.rounds.append((feature, threshold, leaf))
 
 
 def judged(text: str):
-    """``(features, label)`` of the candidates that can be told right or wrong."""
+    """``(value, features, label)`` of the candidates that can be told right or wrong."""
     right = set(base_spans(text))
     any_kind = Covered((s, e) for _, s, e in right)
     other = {k: Covered((s, e) for k2, s, e in right if k2 != k) for k in KINDS}
     for kind, start, end in dict.fromkeys([*candidates(text), *right]):
         value = text[start:end]
         if (kind, start, end) in right:
-            yield features(text, kind, start, end), 1
+            label = 1
         elif other[kind].meets(start, end):
-            yield features(text, kind, start, end), 0
-        elif not any_kind.meets(start, end):
+            label = 0
+        elif any_kind.meets(start, end):
+            continue
+        else:
             strict = {"ip": IP, "card": CARD, "phone": PHONE, "email": EMAIL}[kind]
-            if kind in ("ip", "card") and not passes_loosely(kind, value):
-                yield features(text, kind, start, end), 0
-            elif strict.fullmatch(value) or value.isdigit():
-                yield features(text, kind, start, end), 0
+            wrong = kind in ("ip", "card") and not passes_loosely(kind, value)
+            if not wrong and not strict.fullmatch(value) and not value.isdigit():
+                continue
+            label = 0
+        yield value, features(text, kind, start, end), label
 
 
 def passes_loosely(kind: str, value: str) -> bool:
@@ -288,11 +351,21 @@ def passes_loosely(kind: str, value: str) -> bool:
 
 
 def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``held, label, cell, n``: how often candidates fall on the same steps."""
     for batch in batches:
-        rows = []
-        for doc, text in zip(batch["doc_id"], batch["text"]):
-            rows += [(doc, f, y) for f, y in judged(text or "")]
-        yield pd.DataFrame(rows, columns=["doc_id", "features", "label"])
+        rows, held, labels = [], [], []
+        for text in batch["text"]:
+            for value, found, label in judged(text or ""):
+                rows.append(found)
+                labels.append(label)
+                # Equal values are held out together.
+                held.append(zlib.crc32(value.encode("utf-8", "replace")) % 4 == 3)
+        cells = [s.tobytes() for s in binned(np.array(rows, float))] if rows else []
+        counts = Counter(zip(held, labels, cells))
+        yield pd.DataFrame(
+            [(*cell, n) for cell, n in counts.items()],
+            columns=["held", "label", "cell", "n"],
+        )
 
 
 class Model:
@@ -301,38 +374,64 @@ class Model:
         self.thresholds = thresholds
 
 
-def calibrated(margin: np.ndarray, y: np.ndarray) -> float:
+def floored(margin: np.ndarray) -> np.ndarray:
+    """Margins as whole numbers of ``1 / STEP``, of which there are few."""
+    most = MARGINS / 4
+    return np.floor(np.clip(margin * STEP, -most, most)).astype(np.int64)
+
+
+def calibrated(margin: np.ndarray, right: np.ndarray, n: np.ndarray) -> float:
     """The lowest margin from which ``PRECISION`` of the candidates are right."""
-    order = np.argsort(-margin, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    # Only between different margins.
-    ends = np.append(margin[order][1:] != margin[order][:-1], True)
-    good = np.flatnonzero((right >= PRECISION) & ends)
+    order = np.argsort(-margin)
+    share = np.cumsum(right[order]) / np.cumsum(n[order])
+    good = np.flatnonzero(share >= PRECISION)
     return float(margin[order][good[-1]]) if len(good) else np.inf
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
-    """Trees and thresholds from the candidates in at most ``rows`` texts."""
-    chosen = sampled(docs.select("doc_id"), "doc_id", rows).distinct()
-    found = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")  # at most ``rows`` ids
-        .mapInPandas(examples, "doc_id long, features array<double>, label int")
-        .orderBy(F.xxhash64("doc_id", "features"), "label")
-        .limit(CANDIDATES)
-        .toPandas()  # at most CANDIDATES rows of numbers
+def judge(trees: Trees):
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            steps = matrix(batch["cell"])
+            n = batch["n"].to_numpy()
+            rows = {"kind": steps[:, 0].astype(np.int64), "margin": floored(trees.of(steps))}
+            yield pd.DataFrame(rows | {"good": batch["label"].to_numpy() * n, "n": n})
+
+    return found
+
+
+def fit(docs: DataFrame) -> Model | None:
+    """Trees and thresholds from the candidates in all texts."""
+    cells = written(
+        docs.select("text")
+        .mapInPandas(tidy(examples), "held boolean, label int, cell binary, n long")
+        .groupBy("held", "label", "cell")
+        .agg(F.sum("n").alias("n"))
     )
-    if not found["label"].sum():
+    kind = F.conv(F.hex(F.substring("cell", 1, 1)), 16, 10).cast("int")
+    shares = (
+        cells.groupBy("held", kind.alias("kind"), "label").agg(F.sum("n").alias("n")).collect()
+    )  # at most a row for each kind, label and half
+    count = {(r["held"], r["kind"], r["label"]): r["n"] for r in shares}
+    if not any(label for _, _, label in count):
         return None
-    x, y = np.array(found["features"].tolist()), found["label"].to_numpy(float)
-    held = np.arange(len(x)) % 4 == 3
-    trees = boost(x[~held], y[~held])
-    margin = trees.margin(x)
+    learned, held = cells.where("not held"), cells.where("held")
+    if len(cells.select("n").take(CELLS + 1)) <= CELLS:
+        learned, held = learned.toPandas(), held.toPandas()
+    ones, zeros = (
+        np.array([count.get((False, k, y), 0) for k in range(len(KINDS))]) for y in (1, 0)
+    )
+    mean = np.clip((ones + 0.5) / (ones + zeros + 1), 1e-3, 1 - 1e-3)
+    trees = Trees(np.log(mean / (1 - mean)))
+    for _ in range(ROUNDS):
+        grown(learned, trees)
+    # At most ``MARGINS`` rows for each kind.
+    margins = applied(held, judge(trees), ["kind", "margin"], ["good", "n"])
     thresholds = {}
-    for k, kind in enumerate(KINDS):
-        at = held & (x[:, 0] == k)
-        enough = y[at].sum() >= 5
-        thresholds[kind] = calibrated(margin[at], y[at]) if enough else np.inf
+    for k, name in enumerate(KINDS):
+        own = margins[margins["kind"] == k]
+        enough = count.get((True, k, 1), 0) >= 5
+        columns = (own[c].to_numpy() for c in ("margin", "good", "n"))
+        thresholds[name] = calibrated(*columns) if enough else np.inf
     return Model(trees, thresholds)
 
 
@@ -351,7 +450,7 @@ def added_spans(text: str, base: list, model: Model | None) -> list:
         # Those taken do not overlap, so only the last that starts before the end can.
         before = bisect_left(taken, (e,))
         met = before > 0 and taken[before - 1][1] > s
-        if m >= model.thresholds[kind] and not met:
+        if floored(m) >= model.thresholds[kind] and not met:
             insort(taken, (s, e, kind))
     return [(kind, s, e) for s, e, kind in taken]
 
@@ -372,9 +471,9 @@ def finder(model):
     return find
 
 
-def spans(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+def spans(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` and the spans, as arrays in order of kind and place."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, rows))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
     return docs.select("doc_id", "text").mapInPandas(finder(model), RESULT)
 
 
@@ -402,7 +501,7 @@ def redactor(model):
     return redact
 
 
-def redacted(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by the name of its kind."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, rows))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
     return docs.mapInPandas(tidy(redactor(model)), docs.schema)

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import time
@@ -123,3 +124,42 @@ def test_long_runs_take_a_time_in_proportion(unit):
 def test_parts_of_many_zeros_are_numbers():
     text = "0" * 5000 + "1.2.3.4"
     assert P.base_spans(text) == [("ip", 0, len(text))]
+
+
+def crowd(n):
+    """Texts of phones and numbers, and a rare form in a single one."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(n):
+        number = f"{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
+        rows.append((k, f"call +1 (555) {number} or a@b{k}.org, version 3.{k}.1 of {k}.{k}.7.8"))
+    return rows
+
+
+def cells_of(spark):
+    from plumbline.llm.common import shared_folder
+
+    at = shared_folder(spark).removeprefix("file://")
+    last = max(os.scandir(at), key=lambda f: f.stat().st_mtime_ns).path
+    return spark.read.parquet(last)
+
+
+def test_all_candidates_are_learned_from(spark, docs):
+    texts = crowd(4500)
+    P.fit(docs(texts, 3))
+    assert "n" in cells_of(spark).columns
+    wanted = sum(1 for _, text in texts for _ in P.judged(text))
+    assert cells_of(spark).agg({"n": "sum"}).first()[0] == wanted > 3 * 4500
+
+
+def test_trees_of_a_table_are_those_of_cells_at_once(docs, monkeypatch):
+    import numpy as np
+
+    rows = docs(crowd(300), 3)
+    monkeypatch.setattr(P, "ROUNDS", 2)
+    one = P.fit(rows)
+    monkeypatch.setattr(P, "CELLS", 0)
+    other = P.fit(rows.repartition(5))
+    assert one.thresholds == other.thresholds
+    for a, b in zip(one.trees.rounds, other.trees.rounds, strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b))
