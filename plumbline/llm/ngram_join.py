@@ -54,8 +54,9 @@ CHANCE = 0.002
 PAIR_COST = 4.0
 BLOCK = 1024
 # Characters whose shingles and segments are held at once, some 400 bytes for each.
-HELD = 1 << 18
-COMPARED = 1 << 21
+HELD = 1 << 17
+# Bytes of sketches that are compared at once, some 60 bytes for each.
+COMPARED = 1 << 19
 FINE = 4
 FILTER_BITS = 1 << 22
 KEY_BITS = 1 << 25
@@ -314,6 +315,23 @@ def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def differing(flat: np.ndarray, left: np.ndarray, right: np.ndarray, size: np.ndarray):
+    """Differing bytes of the sketches of pairs, which start at ``left`` and ``right``.
+
+    Pairs are taken a few at a time, as one node may meet a whole block of long sketches.
+    """
+    ends = np.cumsum(size)
+    number = (ends - size) // COMPARED
+    edges = np.flatnonzero(np.append(number[1:] != number[:-1], True)) + 1
+    apart, at = np.zeros(len(size), np.int64), 0
+    for last in edges:
+        m = size[at:last]
+        differ = flat[ragged(left[at:last], m)] != flat[ragged(right[at:last], m)]
+        apart[at:last] = np.add.reduceat(differ, np.cumsum(m) - m, dtype=np.int64)
+        at = last
+    return apart
+
+
 def allowed(rule: Rule, rows: pd.DataFrame, nearest: bool) -> pd.DataFrame:
     """Pairs of whole blocks that may link, from their sketches.
 
@@ -347,9 +365,7 @@ def allowed(rule: Rule, rows: pd.DataFrame, nearest: bool) -> pd.DataFrame:
         left, right = left[use], right[use]
         if not len(left):
             continue
-        m = size[left]
-        differ = flat[ragged(first[left], m)] != flat[ragged(first[right], m)]
-        apart = np.add.reduceat(differ, np.cumsum(m) - m, dtype=np.int64)
+        apart = differing(flat, first[left], first[right], size[left])
         use = np.flatnonzero(apart <= rule.differ(count[left] + count[right]))
         if nearest:
             use = use[np.lexsort((node[right[use]], apart[use], left[use]))]

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 from llm_fixtures import docs, vocabulary, with_clashing_names  # noqa: F401
 
@@ -171,3 +173,24 @@ def test_components_of_chains_and_stars(spark):
     assert {got[200 + k] for k in range(30)} == {100}
     assert got[500] == 499
     assert components(df.where("false")).count() == 0
+
+
+def test_long_sketches_are_compared_a_few_at_a_time():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 256, 12_000, dtype=np.uint8)
+    rows = []
+    for k in range(600):
+        sketch = base.copy()
+        sketch[: 5 * k] += 1
+        rows.append((7, 0, 0, k, k, 12_000, sketch.tobytes(), k >= 597))
+    names = ["key", "i", "j", "node", "component", "size", "sketch", "aside"]
+    tracemalloc.start()
+    found = ngram_join.allowed(ngram_join.Rule(4, 85), pd.DataFrame(rows, columns=names), False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    limit = ngram_join.Rule(4, 85).differ(24_000)
+    wanted = [(a, b) for a in range(597) for b in (597, 598, 599) if 5 * (b - a) <= limit]
+    assert list(map(tuple, found.to_numpy())) == wanted
+    assert peak < 50e6
