@@ -4,17 +4,21 @@ A word is embedded as the sum of hashed vectors: of the word itself and of its
 first letters, so that inflected forms share a part. Filters over one, two and
 three neighbouring words are rectified and pooled by their maximum over the
 whole text, and a logistic layer reads the pooled values. The network is
-trained on a bounded sample of labelled rows by Adam, with gradients that flow
-through the pooled places only.
+trained on all labelled rows by Adam, with gradients that flow through the
+pooled places only: in each of some rounds shards of some ``SHARD`` rows go on
+from the same network, each by itself, and what they change is averaged, for a
+row of the embedding table over the shards that changed it. Every round takes all
+toxic rows and its share of the others, each of which is in one round.
 
-Thresholds are calibrated on a part of the sample that is held out from
-training, by language, where a language is a group of texts told by their
-commonest words (never by a column); a score is shifted so that its language's
-threshold lies at 0.5.
+Thresholds are calibrated on a fifth of the labelled rows, held out from training,
+by language, where a language is a group of texts told by their commonest words
+(never by a column); a score is shifted so that its language's threshold lies at
+0.5.
 
 Defined results: a null or empty text has no word and gets the score of the
-biases alone; without toxic labelled rows all scores are 0; null labels are not
-learned from; repeated rows get equal scores; other columns are ignored.
+biases alone; without labelled rows of both kinds to train on all scores are 0;
+null labels are not learned from; repeated rows get equal scores; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,16 +30,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sampled
+from .common import fold, tidy, written
 from .words import Hasher, byte_table, mix
 
 BITS = 16
 WIDTH = 16
 FILTERS = {1: 32, 2: 16, 3: 16}
 PREFIXES = (3, 4, 5, 6, 7)
-SAMPLE_ROWS = 2500  # of toxic rows, and as many again of others
-EPOCHS = 6
+SHARD = 16_000
+ROUNDS = 4
+STEPS = 100  # of a shard in a round, at least
 BATCH = 16
+# Changes are averaged, and margins told apart, as multiples of these parts.
+UNIT, STEP, MOST = 1 << 20, 100, 3000
 RATE = 0.01
 WORDS_AT_ONCE = 1 << 16
 SCORES = "doc_id long, held_out boolean, score double"
@@ -92,6 +99,21 @@ class Network:
             self.p[f"b{w}"] = np.zeros(n)
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
+    def rows(self) -> np.ndarray:
+        """All parameters in rows of ``WIDTH``, the embedding table first."""
+        rest = np.concatenate([self.p[k].ravel() for k in sorted(self.p) if k != "table"])
+        rest = np.pad(rest, (0, -len(rest) % WIDTH)).reshape(-1, WIDTH)
+        return np.concatenate([self.p["table"], rest])
+
+    def put(self, rows: np.ndarray) -> None:
+        rows = np.array(rows, np.float32)
+        self.p["table"], rest, at = rows[: 1 << BITS], rows[1 << BITS :].ravel(), 0
+        for name in sorted(self.p):
+            if name != "table":
+                size = self.p[name].size
+                self.p[name] = rest[at : at + size].reshape(self.p[name].shape).copy()
+                at += size
+
     def pooled(self, ids: np.ndarray):
         """Maxima of all filters over the words of one text, and their places."""
         x = self.p["table"][ids].sum(1)
@@ -166,112 +188,149 @@ def learn(net: Network, adam: Adam, batch: list, labels: np.ndarray) -> None:
         grads["bias"] += g
         back, at = g * net.p["out"], 0
         for (w, n), place in zip(FILTERS.items(), places):
-            for j in np.flatnonzero(place >= 0):
-                i, d = place[j], back[at + j]
-                wide = x[i : i + w].ravel()
-                grads[f"f{w}"][:, j] += d * wide
-                grads[f"b{w}"][j] += d
-                inner = (d * net.p[f"f{w}"][:, j]).reshape(w, WIDTH)
-                for k in range(w):
-                    rows.append(ids[i + k])
-                    steps.append(inner[k])
+            j = np.flatnonzero(place >= 0)
+            words, d = place[j][:, None] + np.arange(w), back[at + j]
+            wide = x[words].reshape(len(j), w * WIDTH)
+            grads[f"f{w}"][:, j] += (d[:, None] * wide).T
+            grads[f"b{w}"][j] += d
+            rows.append(ids[words.ravel()])
+            steps.append((d * net.p[f"f{w}"][:, j]).T.reshape(-1, WIDTH))
             at += n
     adam.t += 1
     for name, g in grads.items():
         adam.step(name, g)
-    if rows:
-        wide = np.repeat(np.stack(steps), len(PREFIXES) + 1, axis=0)
-        at, turn = np.unique(np.concatenate(rows), return_inverse=True)
-        total = np.zeros((len(at), WIDTH), np.float32)
-        np.add.at(total, turn, wide)
-        adam.step("table", total, at)
+    if rows and sum(map(len, rows)):
+        wide = np.repeat(np.concatenate(steps), len(PREFIXES) + 1, axis=0)
+        slot = np.concatenate(rows).ravel()
+        order = np.argsort(slot, kind="stable")
+        heads = np.flatnonzero(np.append(True, np.diff(slot[order]) != 0))
+        total = np.add.reduceat(wide[order], heads, axis=0)
+        adam.step("table", total, slot[order][heads])
 
 
-def cut(margin: np.ndarray, label: np.ndarray) -> float:
+def cut(margin: np.ndarray, label: np.ndarray, count=1) -> float:
     """The threshold with the fewest errors, midway between its neighbours."""
-    order = np.argsort(margin, kind="stable")
-    m, y = margin[order], label[order]
-    # Errors if the first k are called clean and the rest toxic.
-    errors = np.append(0, np.cumsum(y)) + np.append(np.cumsum((1 - y)[::-1])[::-1], 0)
+    m, at = np.unique(margin, return_inverse=True)
+    toxic, clean = (np.bincount(at, np.where(label == y, count, 0)) for y in (1, 0))
+    # Errors if all below an edge are called clean and the rest toxic.
+    errors = np.append(0, np.cumsum(toxic)) + np.append(np.cumsum(clean[::-1])[::-1], 0)
     best = np.flatnonzero(errors == errors.min())
     edges = np.concatenate([[m[0] - 1], (m[1:] + m[:-1]) / 2, [m[-1] + 1]])
     return float(np.median(edges[best]))
 
 
-def train(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["doc_id", "label"], kind="stable")
-    labels = rows["label"].to_numpy(np.float32)
-    hasher, net = Hasher(), Network()
-    common = common_words(hasher)
-    data, langs = [], []
-    for text in rows["text"]:
-        doc, word, ids = slots(hasher, [text or ""])
-        data.append(ids)
-        langs.append(int(told(doc, word, common, 1)[0]))
-    langs = np.array(langs)
-    turns = np.random.default_rng(5)
-    held = np.arange(len(data)) % 5 == 4
-    toxic = np.flatnonzero((labels > 0) & ~held)
-    clean = np.flatnonzero((labels <= 0) & ~held)
-    adam = Adam(net.p)
-    if len(toxic) and len(clean):
-        for _ in range(EPOCHS):
-            # Every toxic row, and as many clean ones, anew in each turn.
-            chosen = turns.choice(clean, min(len(clean), 2 * len(toxic)), replace=False)
-            order = turns.permutation(np.concatenate([toxic, chosen]))
+CHANGES = f"slot long, {', '.join(f'c{k} long' for k in range(WIDTH))}"
+
+
+def trainer(start, turn: int):
+    """The parameters that a shard's rows change, and by how much."""
+
+    def train(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "label", "text"], kind="stable")
+        texts, labels = rows["text"].tolist(), rows["label"].to_numpy(np.float32)
+        hasher, net = Hasher(), Network()
+        net.put(start.value)
+        adam, before = Adam(net.p), net.rows()
+        turns = np.random.default_rng(turn)
+        for _ in range(-(-STEPS * BATCH // max(len(texts), STEPS * BATCH // 8))):
+            order = turns.permutation(len(texts))
             for k in range(0, len(order), BATCH):
                 at = order[k : k + BATCH]
-                learn(net, adam, [data[i] for i in at], labels[at])
-    at = np.flatnonzero(held)
-    margin = np.array(
-        [net.margins(np.zeros(len(data[i]), np.int64), data[i], 1)[0] for i in at]
-    )
-    cuts = np.zeros(len(LANGUAGES))
-    for k in range(len(LANGUAGES)):
-        own = langs[at] == k
-        few = labels[at][own].sum() < 5 or (1 - labels[at][own]).sum() < 5
-        use = np.ones(len(at), bool) if few else own
-        if len(at):
-            cuts[k] = cut(margin[use], labels[at][use])
-    kept = [np.ascontiguousarray(net.p[k], np.float32).tobytes() for k in sorted(net.p)]
-    return pd.DataFrame(
-        {
-            "toxic": [int(len(toxic))],
-            "parts": [kept],
-            "cuts": [cuts.tolist()],
-        }
-    )
+                doc, _, ids = slots(hasher, [texts[i] or "" for i in at])
+                edges = np.searchsorted(doc, np.arange(len(at) + 1))
+                batch = [ids[edges[i] : edges[i + 1]] for i in range(len(at))]
+                learn(net, adam, batch, labels[at])
+        change = np.rint((net.rows() - before).astype(float) * UNIT).astype(np.int64)
+        slot = np.flatnonzero(change.any(1))
+        columns = {f"c{k}": change[slot, k] for k in range(WIDTH)}
+        return pd.DataFrame({"slot": slot} | columns)
+
+    return train
+
+
+def margins(model):
+    """``lang, label, margin``: margins as whole numbers of ``1 / STEP``."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher, net = Hasher(), Network()
+        net.put(model.value)
+        common = common_words(hasher)
+        for batch in batches:
+            texts = [t or "" for t in batch["text"]]
+            for first, last in batches_of(texts):
+                doc, word, ids = slots(hasher, texts[first:last])
+                margin = np.rint(net.margins(doc, ids, last - first) * STEP)
+                yield pd.DataFrame(
+                    {
+                        "lang": told(doc, word, common, last - first),
+                        "label": batch["label"].to_numpy()[first:last],
+                        "margin": np.clip(margin, -MOST, MOST).astype(np.int64),
+                    }
+                )
+
+    return find
 
 
 class Model:
     """A trained network with the thresholds of the languages."""
 
-    def __init__(self, row):
+    def __init__(self, rows: np.ndarray, cuts: np.ndarray):
         self.net = Network()
-        for name, part in zip(sorted(self.net.p), row["parts"]):
-            shape = self.net.p[name].shape
-            self.net.p[name] = np.frombuffer(part, np.float32).reshape(shape)
-        self.cuts = np.array(row["cuts"])
+        self.net.put(rows)
+        self.cuts = cuts
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
-    """The model, from at most ``rows`` labelled rows a side outside fold 0.
-
-    The sample is trained on by one task; its size is bounded.
-    """
-    marked = labels.where(fold("doc_id", 5) != 0).select("doc_id", "label")
-    marked = sampled(marked.where("label > 0"), "doc_id", rows).unionByName(
-        sampled(marked.where("label <= 0"), "doc_id", rows)
-    )
-    found = (
+def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """The model, from all labelled rows outside fold 0."""
+    spark = docs.sparkSession
+    marked = labels.where(fold("doc_id", 5) != 0).where("label is not null")
+    marked = marked.select("doc_id", (F.col("label") > 0).cast("int").alias("label"))
+    part = F.xxhash64(F.lit(7), "doc_id")
+    found = written(
         docs.select("doc_id", "text")
-        .join(F.broadcast(marked), "doc_id")  # at most ``2 * rows`` ids
-        .select(F.lit(0).alias("all"), "doc_id", "text", "label")
-        .groupBy("all")
-        .applyInPandas(train, "toxic long, parts array<binary>, cuts array<double>")
-        .collect()  # one row
+        .join(marked, "doc_id")
+        .withColumn("held", F.pmod(part, F.lit(5)) == 4)
+        .withColumn("turn", F.pmod(F.shiftright(part, 8), F.lit(ROUNDS)))
+    )
+    learned = found.where("not held")
+    count = {r["label"]: r["count"] for r in learned.groupBy("label").count().collect()}
+    if len(count) < 2:
+        return None
+    # Of all rows, not those of a round, so that shards are alike in every round.
+    shards = -(-sum(count.values()) // SHARD)
+    shard = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(shards))
+    learned = learned.withColumn("shard", shard)
+    now = Network().rows()
+    for turn in range(ROUNDS):
+        start = spark.sparkContext.broadcast(now)
+        changes = (
+            learned.where((F.col("label") > 0) | (F.col("turn") == turn))
+            .groupBy("shard")
+            .applyInPandas(trainer(start, turn), CHANGES)
+            .groupBy("slot")
+            .agg(*(F.avg(f"c{k}").alias(f"c{k}") for k in range(WIDTH)))
+            .toPandas()  # at most a row for each of the network's
+        )
+        now = now.copy()
+        now[changes["slot"].to_numpy()] += changes.drop(columns="slot").to_numpy() / UNIT
+    # At most a row for each language, label and one of the margins told apart.
+    find = tidy(margins(spark.sparkContext.broadcast(now)))
+    scores = (
+        found.where("held")
+        .select("text", "label")
+        .mapInPandas(find, "lang int, label int, margin long")
+        .groupBy("lang", "label", "margin")
+        .count()
+        .toPandas()
     )
-    return Model(found[0]) if found and found[0]["toxic"] else None
+    cuts = np.zeros(len(LANGUAGES))
+    for k in range(len(LANGUAGES)):
+        own = scores[scores["lang"] == k]
+        seen = own.groupby("label")["count"].sum()
+        use = own if (seen >= 5).sum() == 2 else scores
+        if len(use):
+            cuts[k] = cut(*(use[c].to_numpy() for c in ("margin", "label", "count"))) / STEP
+    return Model(now, cuts)
 
 
 def batches_of(texts: list[str], size: int = 1 << 19):

@@ -137,3 +137,30 @@ def test_odd_rows(spark, docs):
     assert [langs[k] for k in (1, 2, 3)] == [("und", False)] * 3
     assert langs[5] == ("xx", True) and len(found) == len(ODD)
     assert {r["lang_pred"] for r in rank_language.language(docs(ODD)).collect()} == {"und"}
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, docs, monkeypatch):
+    import pandas as pd
+
+    width, unit = toxicity_cnn.WIDTH, toxicity_cnn.UNIT
+
+    def told(start, turn):
+        def train(rows):
+            slot = rows["doc_id"].to_numpy()
+            columns = {f"c{k}": [0] * len(slot) for k in range(1, width)}
+            return pd.DataFrame({"slot": slot, "c0": [unit] * len(slot)} | columns)
+
+        return train
+
+    labels = {k: int(k % 9 == 0) for k in range(6000) if k % 10}
+    marked = spark.createDataFrame(list(labels.items()), LABELS)
+    texts = docs([(k, f"word {k}") for k in range(6000)])
+    monkeypatch.setattr(toxicity_cnn, "trainer", told)
+    monkeypatch.setattr(toxicity_cnn, "SHARD", 700)
+    found = toxicity_cnn.fit(texts, marked).net.p["table"][:6000, 0]
+    turns = np.rint(found - toxicity_cnn.Network().p["table"][:6000, 0]).astype(int)
+    for k in range(6000):
+        allowed = {0, toxicity_cnn.ROUNDS if labels[k] else 1} if k in labels else {0}
+        assert turns[k] in (allowed if held(k, 5) else {0})
+    open_ = [k for k in labels if held(k, 5)]
+    assert 0.75 < np.mean([turns[k] > 0 for k in open_]) < 0.85  # the rest is held out
