@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import release, written
+from plumbline.llm.common import release, without, written
 from plumbline.llm.decontamination import verdicts
 from plumbline.llm.harmonic_packing import pack
 from plumbline.llm.ngram_join import ngram_firsts
@@ -26,22 +26,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return good_enough(docs, labels.select("doc_id", F.col("quality").alias("label")))
 
 
-def same_document(docs: DataFrame, found: DataFrame):
-    """Whether a row has the id and, by its hash in ``copy``, the text found."""
-    same = docs["doc_id"].eqNullSafe(found["doc_id"])
-    return same & (F.xxhash64(docs["text"]) == found["copy"])
-
-
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least id.
 
     Documents without words are no duplicates. Rows of one id and text are one
     document; rows of one id, or without one, and different texts are several.
     """
-    firsts = written(ngram_firsts(docs, SHINGLE, PERCENT))
+    found = written(ngram_firsts(docs, SHINGLE, PERCENT))
     release(spark)
-    kept = docs.join(firsts, same_document(docs, firsts), "left_semi")
-    if firsts.where("n > 1").isEmpty():
+    kept = without(docs, found.where("not first"))
+    if found.where("first and n > 1").isEmpty():
         return kept
     kept = kept.withColumn("copy of its id", F.xxhash64("text"))
     return kept.dropDuplicates(["doc_id", "copy of its id"]).drop("copy of its id")
@@ -51,7 +45,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents of which less than a twentieth is benchmark text."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = verdicts(docs, items).where("contaminated").select("doc_id", "copy")
-    return docs.join(found, same_document(docs, found), "left_anti")
+    return without(docs, written(found))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

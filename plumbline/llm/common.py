@@ -6,10 +6,14 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+# Bits of a bitmap by which most rows that a join does not want are not shuffled.
+SLOTS = 1 << 25
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -72,8 +76,6 @@ def bitmap(hashes: DataFrame, bits: int):
 
     At most ``bits / 64`` rows come to the driver, whatever the table holds.
     """
-    import numpy as np
-
     (name,) = hashes.columns
     slot = F.pmod(F.col(name), F.lit(bits)).alias("slot")
     cells = (
@@ -87,6 +89,34 @@ def bitmap(hashes: DataFrame, bits: int):
     return found
 
 
+def among(hashed, wanted: DataFrame, bits: int = SLOTS):
+    """Whether ``hashed`` may be a value of the only column of ``wanted``.
+
+    True for all that are, and for others whose slot one of them falls into.
+    """
+    held = wanted.sparkSession.sparkContext.broadcast(bitmap(wanted, bits))
+
+    @F.pandas_udf("boolean")
+    def marked(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy(np.int64)
+        return pd.Series((held.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return marked(F.pmod(hashed, F.lit(bits)))
+
+
+def without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` but for those with the id and, in ``copy``, the hashed text of ``found``.
+
+    Only the texts that a bitmap cannot tell from these are shuffled.
+    """
+    copy = F.xxhash64(docs["text"])
+    hashed = found.select(F.xxhash64("doc_id", "copy").alias("h"))
+    may = among(F.xxhash64(docs["doc_id"], copy), hashed)
+    same = docs["doc_id"].eqNullSafe(found["doc_id"]) & (copy == found["copy"])
+    rest = docs.where(may).join(found, same, "left_anti")
+    return docs.where(~may).unionByName(rest)
+
+
 def fold(column: str, folds: int):
     """crc32 of an integer column as text, modulo ``folds``; null is fold 0."""
     text = F.col(column).cast("string")

@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, release, small_batches, tidy, written
+from .common import among, bitmap, release, small_batches, tidy, written
 from .components import components
 from .words import Hasher, chunks, mix
 
@@ -57,9 +57,12 @@ BLOCK = 1024
 HELD = 1 << 17
 # Bytes of sketches that are compared at once, some 60 bytes for each.
 COMPARED = 1 << 19
-FINE = 4
+FINE = 2
 FILTER_BITS = 1 << 22
 KEY_BITS = 1 << 25
+# The index is grouped in so many slices of its keys, one after the other, so that
+# only one is in the shuffle's files.
+SLICES = 4
 
 
 class Rule:
@@ -278,7 +281,7 @@ def sketcher(rule: Rule):
     """``node, octave, size, sketch``: a byte for each of many fine segments.
 
     Sets that link differ in no more segments than shingles; with segments of
-    about one shingle hardly another pair passes.
+    one or two shingles hardly another pair passes.
     """
     plans = [
         (int(FINE * (rule.differ(2 * rule.top(k)) + 1)), False) for k in range(OCTAVES)
@@ -335,7 +338,8 @@ def differing(flat: np.ndarray, left: np.ndarray, right: np.ndarray, size: np.nd
 def allowed(rule: Rule, rows: pd.DataFrame, nearest: bool) -> pd.DataFrame:
     """Pairs of whole blocks that may link, from their sketches.
 
-    With ``nearest``, of each node that is set aside only the likeliest pair.
+    With ``nearest``, of each node that is set aside only the likeliest pair, its
+    bucket in ``key`` and whether the node had ``more`` pairs there.
 
     ``rows`` are sorted by block, those that are set aside last in each.
     """
@@ -349,7 +353,7 @@ def allowed(rule: Rule, rows: pd.DataFrame, nearest: bool) -> pd.DataFrame:
     first = np.cumsum(size) - size
     flat = np.frombuffer(b"".join(rows["sketch"]), np.uint8)
     node, group = rows["node"].to_numpy(), rows["component"].to_numpy()
-    count = rows["size"].to_numpy()
+    key, count = rows["key"].to_numpy(), rows["size"].to_numpy()
     out = np.flatnonzero(aside)
     cost = np.cumsum(others[number[out]] * size[out])
     found = []
@@ -369,13 +373,25 @@ def allowed(rule: Rule, rows: pd.DataFrame, nearest: bool) -> pd.DataFrame:
         use = np.flatnonzero(apart <= rule.differ(count[left] + count[right]))
         if nearest:
             use = use[np.lexsort((node[right[use]], apart[use], left[use]))]
-            new = np.ones(len(use), bool)
-            new[1:] = left[use][1:] != left[use][:-1]
-            use = use[new]
-        pair = np.stack([node[left[use]], node[right[use]]], 1)
-        found.append(np.sort(pair, axis=1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pd.DataFrame(pairs, columns=["a", "b"])
+            heads = np.flatnonzero(np.append(True, left[use][1:] != left[use][:-1])[: len(use)])
+            more = np.diff(np.append(heads, len(use))) > 1
+            use = use[heads]
+        pair = np.sort(np.stack([node[left[use]], node[right[use]]], 1), axis=1)
+        found.append(np.column_stack([pair, key[left[use]], more]) if nearest else pair)
+    names = ["a", "b", "key", "more"] if nearest else ["a", "b"]
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, len(names)), np.int64)
+    return pd.DataFrame(pairs, columns=names)
+
+
+def sides(rows: pd.DataFrame) -> pd.DataFrame:
+    """Each row for each side of its block that it stands on, those set aside last."""
+    block = rows[["key", "i", "j"]].to_numpy()
+    number = np.cumsum(np.append(True, (block[1:] != block[:-1]).any(1)))
+    one, other = np.flatnonzero(rows["every"]), np.flatnonzero(rows["aside"])
+    at = np.concatenate([one, other])
+    aside = np.repeat([False, True], [len(one), len(other)])
+    order = np.lexsort((aside, number[at]))
+    return rows.iloc[at[order]].assign(aside=aside[order])
 
 
 def blocks_compared(rule: Rule, nearest: bool):
@@ -390,9 +406,9 @@ def blocks_compared(rule: Rule, nearest: bool):
             whole = int((last != last[-1]).any(1).sum())
             held = rows.iloc[whole:]
             if whole:
-                yield allowed(rule, rows.iloc[:whole], nearest)
+                yield allowed(rule, sides(rows.iloc[:whole]), nearest)
         if held is not None:
-            yield allowed(rule, held, nearest)
+            yield allowed(rule, sides(held), nearest)
 
     return compare
 
@@ -424,18 +440,26 @@ class Join:
         Nodes are ordered by their bits changed by the key's.
         """
         place = F.col("node").bitwiseXOR(F.col("key"))
-        heads = written(
-            self.sets.select(F.explode("keys").alias("key"), "node")
-            .groupBy("key")
-            .agg(
-                F.min(place).alias("low"),
-                F.max(place).alias("high"),
-                F.count("*").alias("n"),
+        index = self.sets.select(F.explode("keys").alias("key"), "node")
+        slices = []
+        for k in range(SLICES):
+            slices.append(
+                written(
+                    index.where(F.expr(f"pmod(shiftright(key, 5), {SLICES}) = {k}"))
+                    .groupBy("key")
+                    .agg(
+                        F.min(place).alias("low"),
+                        F.max(place).alias("high"),
+                        F.count("*").alias("n"),
+                    )
+                    .where("low < high")
+                    .withColumns(
+                        {c: F.col(c).bitwiseXOR(F.col("key")) for c in ("low", "high")}
+                    )
+                )
             )
-            .where("low < high")
-            .withColumns({c: F.col(c).bitwiseXOR(F.col("key")) for c in ("low", "high")})
-        )
-        release(self.spark)
+            release(self.spark)
+        heads = reduce(DataFrame.unionByName, slices)
         large = heads.where("n > 2")
         held = self.spark.sparkContext.broadcast(bitmap(large.select("key"), KEY_BITS))
 
@@ -464,24 +488,19 @@ class Join:
         )
         one = written(one)
         hashed = F.xxhash64("doc_id", "copy")
-        bits = bitmap(one.select(hashed.alias("h")), FILTER_BITS)
-        held = self.spark.sparkContext.broadcast(bits)
-
-        @F.pandas_udf("boolean")
-        def marked(slots: pd.Series) -> pd.Series:
-            at = slots.to_numpy()
-            return pd.Series((held.value[at >> 6] >> (at & 63)) & 1 == 1)
-
-        slot = F.pmod(hashed, F.lit(FILTER_BITS))
-        docs = self.docs.where(marked(slot))
+        docs = self.docs.where(among(hashed, one.select(hashed.alias("h"))))
         same = docs["doc_id"].eqNullSafe(one["doc_id"]) & (docs["copy"] == one["copy"])
         return docs.join(one, same).select("node", "text")
 
     def candidates(self, wanted: DataFrame) -> DataFrame:
-        found = self.texts(wanted).mapInPandas(
-            tidy(checker(self.rule)), "node long, text string"
+        found = written(
+            self.texts(wanted).mapInPandas(
+                tidy(checker(self.rule)), "node long, text string"
+            )
         )
-        return written(found.dropDuplicates(["node"]))
+        # Only documents that occur more than once give a node again.
+        n = found.agg(F.count("*") > F.countDistinct("node")).first()[0]
+        return written(found.dropDuplicates(["node"])) if n else found
 
     def screened(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """The pairs that the sizes and segments of their sets allow to link."""
@@ -493,6 +512,8 @@ class Join:
         return both.mapInPandas(screener(self.rule), "a long, b long").distinct()
 
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        texts = texts.where(among(F.col("node"), ends, FILTER_BITS))
         a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         both = pairs.select("a", "b").join(a, "a").join(b, "b")
@@ -537,7 +558,11 @@ def residual(
     sketches: DataFrame,
     nearest: bool,
 ):
-    """Pairs of different groups in one bucket that their sketches allow."""
+    """Pairs of different groups in one bucket that their sketches allow.
+
+    With ``nearest``, the likeliest of each node in a bucket, with the bucket's
+    ``key`` and whether there are ``more``.
+    """
     rows = grouped(members.select("key", "node").distinct(), groups, "node")
     shares = rows.groupBy("key", "component").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark")
@@ -563,24 +588,36 @@ def residual(
     rows = written(rows.join(open_, "key").withColumn("octave", F.expr("key & 31")))
     rows = rows.join(sketches, ["node", "octave"])
     block = lambda n: F.expr(f"pmod(xxhash64(node), {n})").cast("int")
-    every = rows.select(
+    # A node meets the set aside of every block from its own block, and set aside
+    # itself all blocks; where both are one block it is sent there once.
+    out = F.col("component") != F.col("chief")
+    other = F.when(out, F.col("blocks") - 1).otherwise(0)
+    units = rows.select(
         "*",
-        F.lit(False).alias("aside"),
-        block("blocks").alias("i"),
-        F.explode(F.expr("sequence(0, asides - 1)")).alias("j"),
+        block("blocks").alias("block"),
+        block("asides").alias("place"),
+        out.alias("out"),
+        F.explode(F.sequence(F.lit(0), F.col("asides") - 1 + other)).alias("turn"),
     )
-    out = rows.where("component <> chief").select(
-        "*",
-        F.lit(True).alias("aside"),
-        F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"),
-        block("asides").alias("j"),
+    every = F.col("turn") < F.col("asides")
+    units = units.select(
+        "key",
+        F.when(every, F.col("block"))
+        .otherwise(F.expr("cast(pmod(block + 1 + turn - asides, blocks) as int)"))
+        .alias("i"),
+        F.when(every, F.col("turn")).otherwise(F.col("place")).alias("j"),
+        "node",
+        "component",
+        "size",
+        "sketch",
+        every.alias("every"),
+        (F.col("out") & (~every | (F.col("turn") == F.col("place")))).alias("aside"),
     )
-    columns = ["key", "i", "j", "node", "component", "size", "sketch", "aside"]
-    units = every.select(columns).unionByName(out.select(columns))
+    columns = "a long, b long" + nearest * ", key long, more long"
     found = (
         units.repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j", "aside")
-        .mapInPandas(blocks_compared(join.rule, nearest), "a long, b long")
+        .sortWithinPartitions("key", "i", "j")
+        .mapInPandas(tidy(blocks_compared(join.rule, nearest)), columns)
     )
     return found.distinct()
 
@@ -600,11 +637,12 @@ def ngram_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFram
 
 
 def ngram_firsts(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """``doc_id, copy, n`` of one document of each group, and how often it occurs.
+    """``doc_id, copy, n, first`` of each document: how often it occurs, and whether
+    it is the first of its group.
 
-    That with the least id, of those the one with the least ``copy``, which is the
-    ``xxhash64`` of its text; a null id counts as the largest. Each document without
-    words is a group of its own.
+    That is the one with the least id, of those the one with the least ``copy``, which
+    is the ``xxhash64`` of its text; a null id counts as the largest. Each document
+    without words is a group of its own.
     """
     with small_batches(docs.sparkSession):
         named = _groups(docs, words, percent)
@@ -616,10 +654,13 @@ def ngram_firsts(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFram
     firsts = (
         each.where("some")
         .groupBy("component")
-        .agg(F.min_by(F.struct("doc_id", "copy", "n"), order).alias("of"))
-        .select("of.*")
+        .agg(F.min_by(F.struct("doc_id", "copy"), order).alias("of"))
+        .select("of.*", F.lit(True).alias("first"))
+    )
+    same = each["doc_id"].eqNullSafe(firsts["doc_id"]) & (each["copy"] == firsts["copy"])
+    return each.join(firsts, same, "left").select(
+        each["doc_id"], each["copy"], "n", (F.col("first").isNotNull() | ~F.col("some")).alias("first")
     )
-    return firsts.unionByName(each.where("not some").select("doc_id", "copy", "n"))
 
 
 def _groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -673,14 +714,21 @@ def _groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     links = first.unionByName(second)
     groups = components(links)
     release(spark)
-    # First the likeliest pairs, which join most groups, then all that are left.
+    # First the likeliest pairs, which join most groups, then all that are left: they
+    # are in the buckets where a node had more than one.
     tried = [best, rest]
     for nearest in (True, False):
-        more = residual(join, members, groups, sketches, nearest)
+        more = written(residual(join, members, groups, sketches, nearest))
+        release(spark)
+        if nearest:
+            keys = more.where("more > 0").select("key").distinct()
+            members = written(members.join(keys, "key", "left_semi"))
+        more = more.select("a", "b").distinct()
         for done in tried:
             more = more.join(done, ["a", "b"], "left_anti")
         more = written(more)
         tried.append(more)
         links = links.unionByName(join.verified(more, texts))
         groups = components(links)
+        release(spark)
     return grouped(join.nodes, groups, "node")

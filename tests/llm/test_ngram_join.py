@@ -194,3 +194,69 @@ def test_long_sketches_are_compared_a_few_at_a_time():
     wanted = [(a, b) for a in range(597) for b in (597, 598, 599) if 5 * (b - a) <= limit]
     assert list(map(tuple, found.to_numpy())) == wanted
     assert peak < 50e6
+
+
+def test_likeliest_pairs_tell_where_more_are():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, 400, dtype=np.uint8)
+    rows = []
+    for k, (key, change) in enumerate([(7, 0), (7, 2), (7, 4), (8, 0), (8, 3), (9, 0), (9, 400)]):
+        sketch = base.copy()
+        sketch[:change] += 1
+        rows.append((key, 0, 0, k, k, 400, sketch.tobytes(), True, True))
+    names = ["key", "i", "j", "node", "component", "size", "sketch", "every", "aside"]
+    compare = ngram_join.blocks_compared(Rule(4, 85), True)
+    found = pd.concat(compare(iter([pd.DataFrame(rows, columns=names)])))
+    got = set(map(tuple, found.to_numpy().tolist()))
+    # Of bucket 7 every node has two pairs, of bucket 8 one, of bucket 9 none.
+    assert got == {(0, 1, 7, 1), (1, 2, 7, 1), (3, 4, 8, 0)}
+
+
+@pytest.mark.parametrize("rows", [60, 9])
+def test_each_pair_of_sides_meets_in_one_unit(docs, spark, monkeypatch, rows):
+    """Nodes are sent once to a unit, and every node set aside meets every other."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+
+    def meeting(rule, nearest):
+        def compare(batches):
+            for batch in batches:
+                batch = batch.assign(a=batch["node"], b=batch["component"])
+                batch["more"] = 2 * batch["every"] + batch["aside"]
+                batch["key"] = batch["i"] * 1000 + batch["j"]
+                yield batch[["a", "b", "key", "more"]]
+
+        return compare
+
+    monkeypatch.setattr(ngram_join, "blocks_compared", meeting)
+    nodes = list(range(rows))
+    members = spark.createDataFrame([(64, n) for n in nodes], "key long, node long")
+    groups = spark.createDataFrame([(n, 0) for n in nodes[: rows // 3]], "node long, component long")
+    sketches = spark.createDataFrame(
+        [(n, 0, 9, bytearray(b"x")) for n in nodes], "node long, octave long, size long, sketch binary"
+    )
+
+    class Given:
+        rule = Rule()
+
+    units = ngram_join.residual(Given, members, groups, sketches, True).collect()
+    sent = [(r["key"], r["a"]) for r in units]
+    assert len(sent) == len(set(sent))
+    met = []
+    for r in units:
+        if r["more"] & 1:
+            met += [(r["a"], o["a"]) for o in units if o["key"] == r["key"] and o["more"] & 2]
+    aside = nodes[rows // 3 :]
+    assert sorted(met) == [(x, y) for x in aside for y in nodes]
+
+
+def test_index_is_grouped_in_slices(docs, monkeypatch):
+    done = []
+    release = ngram_join.release
+    monkeypatch.setattr(ngram_join, "release", lambda s: (done.append(1), release(s)))
+    rows = corpus(6, 12)
+    join = ngram_join.Join(docs(rows), Rule())
+    heads, _ = join.live()
+    assert len(done) >= ngram_join.SLICES
+    keys = [r["key"] for r in heads.collect()]
+    assert keys and len(keys) == len(set(keys))
+    assert {(k >> 5) % ngram_join.SLICES for k in keys} == set(range(ngram_join.SLICES))

@@ -106,3 +106,23 @@ def test_contaminated_text_takes_no_other_of_its_id(spark, docs, sf_dir):
     got = pipeline.decontaminate(spark, docs(rows_), sf_dir).collect()
     left = {(r["doc_id"], r["text"]) for r in got}
     assert left == {(None, "clean text"), (7, "other"), (8, "third")}
+
+
+def test_only_texts_that_may_go_are_shuffled(spark, docs):
+    from pyspark.sql import functions as F
+
+    from plumbline.llm.common import among, without
+
+    table = docs([(k, f"text {k}") for k in range(300)] + [(None, "n"), (None, None), (7, None)], 4)
+    gone = [(3, "text 3"), (None, "n"), (7, None), (9, "other text")]
+    found = docs(gone).select("doc_id", F.xxhash64("text").alias("copy"))
+    left = rows_of(without(table, found))
+    assert left == [r for r in rows_of(table) if r not in gone]
+    hashed = found.select(F.xxhash64("doc_id").alias("h"))
+    assert table.where(among(F.xxhash64("doc_id"), hashed)).count() < 20
+    assert rows_of(without(table, found.where("false"))) == rows_of(table)
+
+
+def rows_of(df):
+    key = lambda r: (r[0] or -1, r[1] or "")
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=key)
