@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 # Bits of a bitmap by which most rows that a join does not want are not shuffled.
-SLOTS = 1 << 25
+SLOTS = 1 << 24
+MAY = "may be among them"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -71,37 +72,43 @@ def tidy(function):
     return run
 
 
-def bitmap(hashes: DataFrame, bits: int):
-    """A bit for each slot that a value of the only column falls in, in numpy.
-
-    At most ``bits / 64`` rows come to the driver, whatever the table holds.
-    """
+def cells(hashes: DataFrame, bits: int) -> DataFrame:
+    """``cell, set``: a bit for each slot that a value of the only column falls in."""
     (name,) = hashes.columns
     slot = F.pmod(F.col(name), F.lit(bits)).alias("slot")
-    cells = (
+    return (
         hashes.select(slot)
         .groupBy(F.expr("cast(slot div 64 as int)").alias("cell"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("set"))
-        .toPandas()
     )
-    found = np.zeros(bits // 64, np.int64)
-    found[cells["cell"].to_numpy(np.int64)] = cells["set"].to_numpy(np.int64)
-    return found
 
 
-def among(hashed, wanted: DataFrame, bits: int = SLOTS):
-    """Whether ``hashed`` may be a value of the only column of ``wanted``.
+def bitmap(hashes: DataFrame, bits: int):
+    """The bits of ``cells`` in numpy.
 
-    True for all that are, and for others whose slot one of them falls into.
+    At most ``bits / 64`` rows come to the driver, whatever the table holds.
     """
-    held = wanted.sparkSession.sparkContext.broadcast(bitmap(wanted, bits))
+    rows = cells(hashes, bits).toPandas()
+    found = np.zeros(bits // 64, np.int64)
+    found[rows["cell"].to_numpy(np.int64)] = rows["set"].to_numpy(np.int64)
+    return found
+
 
-    @F.pandas_udf("boolean")
-    def marked(slots: pd.Series) -> pd.Series:
-        at = slots.to_numpy(np.int64)
-        return pd.Series((held.value[at >> 6] >> (at & 63)) & 1 == 1)
+def among(rows: DataFrame, hashed, wanted: DataFrame, bits: int = SLOTS) -> DataFrame:
+    """``rows`` and, in ``MAY``, whether ``hashed`` may be a value of ``wanted``.
 
-    return marked(F.pmod(hashed, F.lit(bits)))
+    True for all that are, and for others whose slot one of them falls into. What is
+    broadcast are at most ``bits / 64`` rows, whatever the tables hold.
+    """
+    held = cells(wanted, bits).withColumnsRenamed({"cell": "cell of it", "set": "set of it"})
+    own = rows.withColumn("slot of it", F.pmod(hashed, F.lit(bits)))
+    own = own.join(
+        F.broadcast(held), F.expr("cast(`slot of it` div 64 as int) = `cell of it`"), "left"
+    )
+    bit = F.getbit("set of it", F.expr("cast(`slot of it` % 64 as int)")) == 1
+    return own.withColumn(MAY, F.coalesce(bit, F.lit(False))).drop(
+        "slot of it", "cell of it", "set of it"
+    )
 
 
 def without(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -109,12 +116,13 @@ def without(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     Only the texts that a bitmap cannot tell from these are shuffled.
     """
-    copy = F.xxhash64(docs["text"])
     hashed = found.select(F.xxhash64("doc_id", "copy").alias("h"))
-    may = among(F.xxhash64(docs["doc_id"], copy), hashed)
-    same = docs["doc_id"].eqNullSafe(found["doc_id"]) & (copy == found["copy"])
-    rest = docs.where(may).join(found, same, "left_anti")
-    return docs.where(~may).unionByName(rest)
+    told = among(docs, F.xxhash64("doc_id", F.xxhash64("text")), hashed)
+    rest = told.where(F.col(MAY)).drop(MAY)
+    gone = found.select(F.col("doc_id").alias("id of it"), F.col("copy").alias("copy of it"))
+    same = F.expr("doc_id <=> `id of it` and xxhash64(text) = `copy of it`")
+    rest = rest.join(gone, same, "left_anti")
+    return told.where(~F.col(MAY)).drop(MAY).unionByName(rest)
 
 
 def fold(column: str, folds: int):

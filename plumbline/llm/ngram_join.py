@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, bitmap, release, small_batches, tidy, written
+from .common import MAY, among, bitmap, release, small_batches, tidy, written
 from .components import components
 from .words import Hasher, chunks, mix
 
@@ -488,7 +488,7 @@ class Join:
         )
         one = written(one)
         hashed = F.xxhash64("doc_id", "copy")
-        docs = self.docs.where(among(hashed, one.select(hashed.alias("h"))))
+        docs = among(self.docs, hashed, one.select(hashed.alias("h"))).where(F.col(MAY))
         same = docs["doc_id"].eqNullSafe(one["doc_id"]) & (docs["copy"] == one["copy"])
         return docs.join(one, same).select("node", "text")
 
@@ -513,7 +513,7 @@ class Join:
 
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-        texts = texts.where(among(F.col("node"), ends, FILTER_BITS))
+        texts = among(texts, F.col("node"), ends, FILTER_BITS).where(F.col(MAY))
         a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         both = pairs.select("a", "b").join(a, "a").join(b, "b")

@@ -111,7 +111,7 @@ def test_contaminated_text_takes_no_other_of_its_id(spark, docs, sf_dir):
 def test_only_texts_that_may_go_are_shuffled(spark, docs):
     from pyspark.sql import functions as F
 
-    from plumbline.llm.common import among, without
+    from plumbline.llm.common import MAY, among, without
 
     table = docs([(k, f"text {k}") for k in range(300)] + [(None, "n"), (None, None), (7, None)], 4)
     gone = [(3, "text 3"), (None, "n"), (7, None), (9, "other text")]
@@ -119,7 +119,10 @@ def test_only_texts_that_may_go_are_shuffled(spark, docs):
     left = rows_of(without(table, found))
     assert left == [r for r in rows_of(table) if r not in gone]
     hashed = found.select(F.xxhash64("doc_id").alias("h"))
-    assert table.where(among(F.xxhash64("doc_id"), hashed)).count() < 20
+    told = among(table, F.xxhash64("doc_id"), hashed)
+    assert told.count() == table.count() and told.where(F.col(MAY)).count() < 20
+    plan = without(table, found)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
     assert rows_of(without(table, found.where("false"))) == rows_of(table)
 
 
