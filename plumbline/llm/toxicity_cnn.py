@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, tidy, written
+from .common import MAY, among, fold, release, tidy, written
 from .words import Hasher, byte_table, mix
 
 BITS = 16
@@ -286,12 +286,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     marked = labels.where(fold("doc_id", 5) != 0).where("label is not null")
     marked = marked.select("doc_id", (F.col("label") > 0).cast("int").alias("label"))
     part = F.xxhash64(F.lit(7), "doc_id")
+    # The same join for tables of any size: of texts, those of labelled rows are shuffled.
+    hashed = F.xxhash64("doc_id")
     found = written(
-        docs.select("doc_id", "text")
-        .join(marked, "doc_id")
+        among(docs.select("doc_id", "text"), hashed, marked.select(hashed.alias("h")))
+        .where(F.col(MAY))
+        .drop(MAY)
+        .join(marked.hint("merge"), "doc_id")
         .withColumn("held", F.pmod(part, F.lit(5)) == 4)
         .withColumn("turn", F.pmod(F.shiftright(part, 8), F.lit(ROUNDS)))
     )
+    release(spark)
     learned = found.where("not held")
     count = {r["label"]: r["count"] for r in learned.groupBy("label").count().collect()}
     if len(count) < 2:
@@ -313,6 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         )
         now = now.copy()
         now[changes["slot"].to_numpy()] += changes.drop(columns="slot").to_numpy() / UNIT
+        release(spark)
     # At most a row for each language, label and one of the margins told apart.
     find = tidy(margins(spark.sparkContext.broadcast(now)))
     scores = (

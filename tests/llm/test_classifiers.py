@@ -164,3 +164,25 @@ def test_toxicity_learns_from_every_labelled_row(spark, docs, monkeypatch):
         assert turns[k] in (allowed if held(k, 5) else {0})
     open_ = [k for k in labels if held(k, 5)]
     assert 0.75 < np.mean([turns[k] > 0 for k in open_]) < 0.85  # the rest is held out
+
+
+def test_toxicity_shuffles_labelled_texts_only(spark, docs, monkeypatch):
+    plans, rows = [], []
+    written = toxicity_cnn.written
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        rows.append(written(df))
+        return rows[-1]
+
+    labels = {k: 1 for k in range(0, 600, 3)}  # of one kind: nothing is trained
+    marked = spark.createDataFrame([*labels.items(), (None, 1), (1, None), (9999, 1)], LABELS)
+    texts = docs([(k, f"word {k}") for k in range(600)] + [(None, "none"), (6, "again")])
+    monkeypatch.setattr(toxicity_cnn, "written", noted)
+    assert toxicity_cnn.fit(texts, marked) is None
+    # However small the labels are, and behind a filter by their ids.
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" in plans[0]
+    expected = [(k, f"word {k}") for k in labels if held(k, 5)]
+    expected += [(6, "again")] * bool(held(6, 5))
+    got = [(r["doc_id"], r["text"]) for r in rows[0].collect()]
+    assert sorted(got) == sorted(expected)
