@@ -29,12 +29,15 @@ def _small_stars(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.withColumnRenamed("m", "b")).where("a <> b")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(
-            F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.lit(0) + F.col("a") % 9973)
-        ).first()
+def _done(edges: DataFrame) -> bool:
+    """Whether each node has one edge at most, to a node that has none."""
+    ends = F.array(
+        F.struct(F.col("a").alias("node"), F.lit(1).alias("out")),
+        F.struct(F.col("b").alias("node"), F.lit(0).alias("out")),
     )
+    nodes = edges.select(F.inline(ends)).groupBy("node")
+    nodes = nodes.agg(F.sum("out").alias("n"), F.min("out").alias("least"))
+    return not nodes.where("n > 1 or n > least").agg(F.count("*")).first()[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -44,10 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
     smallest node; the number of turns grows with the logarithm of the nodes.
     Every turn is written, so that none is done again for a lost executor.
     """
-    now = written(edges.select("a", "b").where("a <> b").distinct())
-    mark = _mark(now)
-    while True:
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = written(down.where("a <> b").distinct())
+    while not _done(now):
         now = written(_small_stars(_stars(now)).distinct())
-        last, mark = mark, _mark(now)
-        if mark == last:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

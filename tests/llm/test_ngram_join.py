@@ -260,3 +260,65 @@ def test_index_is_grouped_in_slices(docs, monkeypatch):
     keys = [r["key"] for r in heads.collect()]
     assert keys and len(keys) == len(set(keys))
     assert {(k >> 5) % ngram_join.SLICES for k in keys} == set(range(ngram_join.SLICES))
+
+
+def sketched(n, base, changes):
+    """Rows of one block, each node a group of its own and on both sides."""
+    rows = []
+    for k in range(n):
+        sketch = base.copy()
+        sketch[changes(k)] += 1
+        rows.append((7, 0, 0, k, k, len(base), sketch.tobytes(), True, True))
+    names = ["key", "i", "j", "node", "component", "size", "sketch", "every", "aside"]
+    return pd.DataFrame(rows, columns=names)
+
+
+def test_rows_grow_with_the_nodes_of_a_block_that_may_link():
+    base = np.random.default_rng(3).integers(0, 256, 400, dtype=np.uint8)
+    rows = sketched(300, base, lambda k: [k])
+    compare = ngram_join.blocks_compared(Rule(4, 85), False)
+    found = pd.concat(compare(iter([rows[:100], rows[100:]])))
+    assert sorted(found["node"]) == list(range(300)) and found["cluster"].nunique() == 1
+    # The same nodes of another bucket are the same cluster.
+    again = pd.concat(compare(iter([rows.assign(key=8)])))
+    assert set(map(tuple, again.to_numpy())) == set(map(tuple, found.to_numpy()))
+
+
+def test_clusters_are_apart_where_no_pair_may_link():
+    base = np.random.default_rng(4).integers(0, 256, 400, dtype=np.uint8)
+    rows = sketched(6, base, lambda k: slice(0, 200) if k % 2 else [k])
+    found = pd.concat(ngram_join.blocks_compared(Rule(), False)(iter([rows])))
+    held = found.groupby("cluster")["node"].apply(lambda n: sorted(map(int, n)))
+    assert sorted(held) == [[0, 2, 4], [1, 3, 5]]
+
+
+@pytest.mark.parametrize("met, cells", [(1 << 21, 1 << 22), (3000, 500)])
+def test_few_links_join_a_cluster(monkeypatch, met, cells):
+    monkeypatch.setattr(ngram_join, "MET", met)
+    monkeypatch.setattr(ngram_join, "CELLS", cells)
+    rng = random.Random(7)
+    pool = [f"w{k}" for k in range(300)]
+    base = [rng.choice(pool) for _ in range(80)]
+    texts = [" ".join(edited(rng, base, rng.choice([0.01, 0.03, 0.08]), pool)) for _ in range(70)]
+    names = ["cluster", "node", "component", "text", "every", "aside"]
+    rows = pd.DataFrame([(5, k, k, t, True, True) for k, t in enumerate(texts)], columns=names)
+    found = pd.concat(ngram_join.linker(Rule())(iter([rows[:40], rows[40:]])))
+    group = list(range(70))
+    for a, b in found.to_numpy().tolist():
+        assert group[a] != group[b]
+        group = [group[a] if g == group[b] else g for g in group]
+    expected = {doc: least for doc, _, least in brute(list(enumerate(texts)))}
+    assert 1 < len(set(expected.values())) < 70
+    assert [min(j for j in range(70) if group[j] == group[k]) for k in range(70)] == [expected[k] for k in range(70)]
+
+
+def test_components_of_stars_take_no_turn(spark, monkeypatch):
+    from plumbline.llm import components as module
+
+    turns = []
+    stars = module._stars
+    monkeypatch.setattr(module, "_stars", lambda e: turns.append(1) or stars(e))
+    edges = [(0, k) for k in range(1, 9)] + [(30 + k, 20) for k in range(5)]
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {tuple(r) for r in got} == {(k, 0) for k in range(1, 9)} | {(30 + k, 20) for k in range(5)}
+    assert not turns
