@@ -59,7 +59,7 @@ PAIR_COST = 4.0
 BLOCK = 1024
 # Characters whose shingles and segments are held at once, some 400 bytes for each.
 HELD = 1 << 17
-# Bytes of sketches that are compared at once, some 60 bytes for each.
+# Bytes of sketches that are compared at once, some two bytes for each.
 COMPARED = 1 << 19
 # Characters of a cluster's texts whose shingles are compared with as many others at
 # once, and cells of the matrices in which they are, of 4 bytes.
@@ -270,13 +270,15 @@ def verifier(rule: Rule):
 def screener(rule: Rule):
     def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            apart = np.array(
-                [
-                    (np.frombuffer(a, np.uint8) != np.frombuffer(b, np.uint8)).sum()
-                    for a, b in zip(batch["sketch_a"], batch["sketch_b"])
-                ],
-                np.int64,
-            )
+            one, other = batch["sketch_a"].to_numpy(), batch["sketch_b"].to_numpy()
+            size = batch["sketch_a"].map(len).to_numpy()
+            apart = np.zeros(len(batch), np.int64)
+            for m in np.unique(size):
+                same = np.flatnonzero(size == m)
+                step = max(1, COMPARED // int(m))
+                for at in range(0, len(same), step):
+                    some = same[at : at + step]
+                    apart[some] = least_apart(laid(one[some]), laid(other[some]))
             a, b = batch["size_a"].to_numpy(), batch["size_b"].to_numpy()
             may = apart <= rule.differ(a + b)
             may &= 100 * np.minimum(a, b) >= rule.percent * np.maximum(a, b)
@@ -288,8 +290,9 @@ def screener(rule: Rule):
 def sketcher(rule: Rule):
     """``node, octave, size, sketch``: a byte for each of many fine segments.
 
-    Sets that link differ in no more segments than shingles; with segments of
-    one or two shingles hardly another pair passes.
+    Its last bit tells whether the segment holds an odd number of shingles, so that of
+    segments that differ those with as many tell two shingles that do. With segments
+    of one or two shingles hardly a pair passes that does not link.
     """
     plans = [
         (int(FINE * (rule.differ(2 * rule.top(k)) + 1)), False) for k in range(OCTAVES)
@@ -304,7 +307,8 @@ def sketcher(rule: Rule):
                 entry_set, octave, entry, index, content, sums, *_ = segments(
                     sets, plans, rule
                 )
-                key = key_of(octave[entry], index, content, sums) >> np.uint64(56)
+                key = key_of(octave[entry], index, content, sums) >> np.uint64(57)
+                key = key * np.uint64(2) + (content & 1).astype(np.uint64)
                 m = np.bincount(entry, minlength=len(entry_set))
                 parts = np.split(key.astype(np.uint8), np.cumsum(m)[:-1])
                 own = batch["node"].to_numpy()[first:last]
@@ -320,62 +324,73 @@ def sketcher(rule: Rule):
     return find
 
 
-def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """``first[k], first[k] + 1, ...``, ``size[k]`` of them, for every ``k``."""
-    ends = np.cumsum(size)
-    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+def ones(bits: np.ndarray) -> np.ndarray:
+    """How many bits are set in each row of packed ``bits``, whose length is a multiple of 8."""
+    words = np.bitwise_count(bits.view(np.uint64))
+    found = words[..., 0].astype(np.int64)
+    for k in range(1, words.shape[-1]):
+        found += words[..., k]
+    return found
+
 
+def laid(sketches) -> np.ndarray:
+    """Sketches of one length as rows, filled up to a multiple of 64 bytes."""
+    sketches = list(sketches)
+    size = len(sketches[0])
+    found = np.zeros((len(sketches), max(64, -(-size // 64) * 64)), np.uint8)
+    found[:, :size] = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), size)
+    return found
 
-def differing(flat: np.ndarray, left: np.ndarray, right: np.ndarray, size: np.ndarray):
-    """Differing bytes of the sketches of pairs, which start at ``left`` and ``right``.
 
-    Pairs are taken a few at a time, as one node may meet a whole block of long sketches.
+def least_apart(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The least number of shingles in one set only, of each pair of sketches.
+
+    Bytes that differ are of segments that differ: by one shingle at least, and by two
+    where their last bits, which tell odd sizes, are the same.
     """
-    ends = np.cumsum(size)
-    number = (ends - size) // COMPARED
-    edges = np.flatnonzero(np.append(number[1:] != number[:-1], True)) + 1
-    apart, at = np.zeros(len(size), np.int64), 0
-    for last in edges:
-        m = size[at:last]
-        differ = flat[ragged(left[at:last], m)] != flat[ragged(right[at:last], m)]
-        apart[at:last] = np.add.reduceat(differ, np.cumsum(m) - m, dtype=np.int64)
-        at = last
-    return apart
+    apart = one ^ other
+    return 2 * ones(np.packbits(apart, axis=-1)) - ones(np.packbits(apart & 1, axis=-1))
 
 
 def compared(rule: Rule, rows: pd.DataFrame):
     """``left, right, apart``: places in whole blocks of pairs that may link, from their
-    sketches, and how many bytes of these differ, some of the pairs at a time.
+    sketches, and how many shingles at least these differ by, some of the pairs at a time.
 
-    ``rows`` are sorted by block, those that are set aside, which are ``left``, last in each.
+    ``rows`` are sorted by block, those that are set aside, which are ``left``, last in
+    each. The sketches of a block have one length; some are compared with all at once.
     """
     block = rows[["key", "i", "j"]].to_numpy()
     new = np.append(True, (block[1:] != block[:-1]).any(1))
-    start = np.flatnonzero(new)
-    number = np.cumsum(new) - 1
+    start = np.flatnonzero(new[: len(rows)])
     aside = rows["aside"].to_numpy(bool)
-    others = np.bincount(number, ~aside, minlength=len(start)).astype(np.int64)
-    size = rows["sketch"].map(len).to_numpy()
-    first = np.cumsum(size) - size
-    flat = np.frombuffer(b"".join(rows["sketch"]), np.uint8)
+    sketch = rows["sketch"].to_numpy()
     group, count = rows["component"].to_numpy(), rows["size"].to_numpy()
-    out = np.flatnonzero(aside)
-    cost = np.cumsum(others[number[out]] * size[out])
-    for part in np.split(out, np.searchsorted(cost, np.arange(COMPARED, cost[-1], COMPARED)) if len(out) else []):
-        if not len(part):
-            continue
-        n = others[number[part]]
-        left, right = np.repeat(part, n), ragged(start[number[part]], n)
-        small = np.minimum(count[left], count[right])
-        use = (group[left] != group[right]) & (
-            100 * small >= rule.percent * np.maximum(count[left], count[right])
-        )
-        left, right = left[use], right[use]
-        if not len(left):
+    held, found = 0, []
+    for first, last in zip(start, np.append(start[1:], len(rows))):
+        own = first + np.flatnonzero(aside[first:last])
+        others = np.arange(first, last - len(own))
+        if not len(own) or not len(others):
             continue
-        apart = differing(flat, first[left], first[right], size[left])
-        use = apart <= rule.differ(count[left] + count[right])
-        yield left[use], right[use], apart[use]
+        one, other = laid(sketch[own]), laid(sketch[others])
+        parity = np.packbits(one & 1, axis=-1), np.packbits(other & 1, axis=-1)
+        step = max(1, COMPARED // other.size)
+        for at in range(0, len(own), step):
+            left = own[at : at + step, None]
+            both = count[left] + count[others]
+            apart = 2 * ones(np.packbits(one[at : at + step, None] ^ other, axis=-1))
+            apart -= ones(parity[0][at : at + step, None] ^ parity[1])
+            use = (apart <= rule.differ(both)) & (group[left] != group[others])
+            small = np.minimum(count[left], count[others])
+            use &= 100 * small >= rule.percent * (both - small)
+            a, b = np.nonzero(use)
+            if len(a):
+                found.append((left[a, 0], others[b], apart[use]))
+                held += len(a)
+            if held > COMPARED // 8:
+                yield tuple(map(np.concatenate, zip(*found)))
+                held, found = 0, []
+    if found:
+        yield tuple(map(np.concatenate, zip(*found)))
 
 
 def allowed(rule: Rule, rows: pd.DataFrame, nearest: bool) -> pd.DataFrame:

@@ -292,6 +292,35 @@ def test_clusters_are_apart_where_no_pair_may_link():
     assert sorted(held) == [[0, 2, 4], [1, 3, 5]]
 
 
+def test_sketches_keep_links_and_leave_out_what_is_a_little_too_far():
+    """Words replaced at places of their own take from a segment as many shingles as they add."""
+    rng, rule = random.Random(9), Rule(5, 80)
+    base = [f"w{k}" for k in range(510)]
+    texts = []
+    for k in range(60):
+        words = base.copy()
+        for place in rng.sample(range(5, 505, 5), 4 if k < 20 else 7):
+            words[place] = f"x{k} {place}".replace(" ", "y")
+        texts.append(" ".join(words))
+    given = pd.DataFrame({"node": range(60), "text": texts})
+    sketches = pd.concat(ngram_join.sketcher(rule)(iter([given])))
+    sketches = sketches[sketches["octave"] == sketches["octave"].min()]
+    rows = sketches.assign(key=7, i=0, j=0, component=sketches["node"], every=True, aside=True)
+    found = ngram_join.allowed(rule, ngram_join.sides(rows), False)
+    held = {tuple(sorted(p)) for p in found.to_numpy().tolist()}
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    apart = {(a, b): len(sets[a] ^ sets[b]) for a in range(60) for b in range(a + 1, 60)}
+    most = {(a, b): rule.differ(len(sets[a]) + len(sets[b])) for a, b in apart}
+    assert {p for p in apart if apart[p] <= most[p]} <= held
+    # Bytes that differ, counted once each, would let pass most of what is a fifth too far.
+    far = [p for p in apart if apart[p] > 1.2 * most[p]]
+    data = np.stack([np.frombuffer(x, np.uint8) for x in rows["sketch"]])
+    assert sum((data[a] != data[b]).sum() <= most[a, b] for a, b in far) > len(far) / 2 > 100
+    assert len(held.intersection(far)) < len(far) / 20
+    a, b = ngram_join.laid(rows["sketch"][:30]), ngram_join.laid(rows["sketch"][30:])
+    assert all(x <= apart[k, 30 + k] for k, x in enumerate(ngram_join.least_apart(a, b)))
+
+
 @pytest.mark.parametrize("met, cells", [(1 << 21, 1 << 22), (3000, 500)])
 def test_few_links_join_a_cluster(monkeypatch, met, cells):
     monkeypatch.setattr(ngram_join, "MET", met)
